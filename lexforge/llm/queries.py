@@ -6,16 +6,29 @@ derives the columns of its contract from the operator's own output.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixture, quality_rules, secrets, url_filters
+from . import exact_dedup, mixture, packing, quality_rules, secrets, tokens, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    """The public tokenizer of the contracts; only its path is used."""
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+# ---- op1: best-fit packing --------------------------------------------------------------
+
+
+def op1_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, end_id=0)
+
+
 # ---- op2: URL filters -------------------------------------------------------------------
 
 #: Dated list entries made from the hosts that occur: which hosts are listed, and when,
@@ -55,6 +68,14 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+# ---- op7: token counts ------------------------------------------------------------------
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lengths = tokens.token_lengths(table(spark, sf_dir, "documents"), tokenizer_path())
+    return tokens.length_report(tokens.length_histogram(lengths))
+
+
 # ---- op8: mixing sources ----------------------------------------------------------------
 
 
@@ -83,9 +104,11 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pack_sequences": op1_pack_sequences,
     "op2_url_filters": op2_url_filters,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_quality_rules": op6_quality_rules,
+    "op7_token_counts": op7_token_counts,
     "op8_mix_sources": op8_mix_sources,
     "op10_secret_scans": op10_secret_scans,
 }
