@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixture, packing, quality_rules, secrets, tokens, url_filters
+from . import exact_dedup, mixture, packing, quality_rules, secrets, tokens, toxicity, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,18 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_captures(captures, entries).withColumn("fetched_at", F.col("fetched_at").cast("string"))
 
 
+# ---- op3: toxicity ----------------------------------------------------------------------
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id", toxicity.held_out("doc_id").alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 # ---- op4: exact dedup -------------------------------------------------------------------
 
 
@@ -106,6 +118,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_pack_sequences": op1_pack_sequences,
     "op2_url_filters": op2_url_filters,
+    "op3_toxicity": op3_toxicity,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_token_counts": op7_token_counts,
