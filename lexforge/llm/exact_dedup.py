@@ -74,8 +74,10 @@ def dedup_decisions(
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", fan_in: int = 8) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; one row of each distinct text."""
-    stay = dedup_decisions(docs, id_col, text_col, keep, fan_in).filter("kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
-    keyed = docs.withColumn("__key", F.unhex(F.sha2(text_of(text_col), 256)))
-    joined = keyed.join(stay, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__digest")), "left_semi")
-    nth = F.row_number().over(W.partitionBy(F.col(id_col), "__key").orderBy(F.col(id_col)))
-    return joined.withColumn("__nth", nth).filter("__nth = 1").drop("__nth", "__key")
+    # The join and the choice of one row use the same plain keys, so the texts are shuffled once.
+    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0"))
+    stay = dedup_decisions(docs, id_col, text_col, keep, fan_in).filter("kept").select(key("doc_id").alias("__id"), F.col("digest").alias("__digest"))
+    keyed = docs.withColumns({"__id": key(id_col), "__digest": F.unhex(F.sha2(text_of(text_col), 256))})
+    joined = keyed.join(stay, ["__id", "__digest"], "left_semi")
+    nth = F.row_number().over(W.partitionBy("__id", "__digest").orderBy("__id"))
+    return joined.withColumn("__nth", nth).filter("__nth = 1").select(*docs.columns)

@@ -90,9 +90,11 @@ def unseen_pairs(paths: DataFrame, ledger: DataFrame | None, rules=RULES) -> Dat
 
 def scan_blobs(versions: DataFrame, todo: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES) -> DataFrame:
     """(blob, rule, kind, kind_order, start, end) of all findings of the unseen pairs."""
-    texts = versions.select(F.col(id_col).alias("__id"), text_of(text_col).alias("text")).withColumn("__blob", F.sha2("text", 256))
-    one = texts.join(todo, F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__blob") == F.col("blob")))
-    one = one.withColumn("__nth", F.row_number().over(W.partitionBy("__id", "__blob").orderBy("__id"))).filter("__nth = 1")
+    # The join and the choice of one row use the same plain keys, so the texts are shuffled once.
+    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0"))
+    texts = versions.select(key(id_col).alias("__id"), text_of(text_col).alias("text")).withColumn("blob", F.sha2("text", 256))
+    one = texts.join(todo.select("blob", "todo", key("doc_id").alias("__id")), ["__id", "blob"])
+    one = one.withColumn("__nth", F.row_number().over(W.partitionBy("__id", "blob").orderBy("__id"))).filter("__nth = 1")
     per_rule = [
         F.struct(
             F.lit(r.key).alias("rule"), F.lit(r.kind).alias("kind"), F.lit(k).alias("kind_order"), F.lit(r.min_value).alias("least"),
