@@ -98,10 +98,25 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM d LEFT JOIN g USING (doc_id)
 """
 
+OP9 = rf"""
+WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+g AS (
+  SELECT doc_id, unnest(list_transform(range(1, len(w) - 18), lambda i: {{'i': i, 'k': array_to_string(w[i:i + 19], ' ')}})) AS x
+  FROM d WHERE len(w) >= 20),
+r AS (SELECT doc_id, x.i AS i, row_number() OVER (PARTITION BY x.k ORDER BY doc_id, x.i) AS n FROM g),
+gone AS (SELECT doc_id, list_distinct(flatten(list(range(i, i + 20)))) AS hole FROM r WHERE n > 1 GROUP BY doc_id),
+k AS (
+  SELECT d.doc_id, len(w) AS n, coalesce(len(hole), 0) AS m,
+         list_filter(list_zip(w, range(1, len(w) + 1)), lambda z: hole IS NULL OR NOT list_contains(hole, z[2])) AS z
+  FROM d LEFT JOIN gone ON d.doc_id = gone.doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(m AS BIGINT) AS n_removed, sha256(coalesce(array_to_string(list_transform(z, lambda y: y[1]), ' '), '')) AS kept_sha256
+FROM k
+"""
 
 ORACLES = {
     "op2_url_filters": OP2,
     "op4_exact_dedup": OP4,
     "op6_quality_rules": OP6,
+    "op9_substring_dedup": OP9,
     "op10_secret_scans": _op10(),
 }

@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixture, near_dedup, packing, quality_rules, secrets, tokens, toxicity, url_filters
+from . import exact_dedup, mixture, near_dedup, packing, quality_rules, secrets, substring_dedup, tokens, toxicity, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -104,6 +104,14 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
+# ---- op9: substring dedup ---------------------------------------------------------------
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), size=20)
+    return kept.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 # ---- op10: secret scans -----------------------------------------------------------------
 
 
@@ -132,5 +140,6 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op7_token_counts": op7_token_counts,
     "op8_mix_sources": op8_mix_sources,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_secret_scans": op10_secret_scans,
 }
