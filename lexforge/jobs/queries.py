@@ -1 +1,313 @@
+"""Registered queries: one per operator, over whole tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import answer as A
+from ..operators import bm25 as B
+from ..operators import chunks as C
+from ..operators import dense as D
+from ..operators import retrieve as R
+from ..operators import structure as S
+from ..sources.chunk_files import upsert_points
+from . import fixtures as X
+
 QUERIES = {}
+
+
+def query(f):
+    QUERIES[f.__name__.removesuffix("_")] = f
+    return f
+
+
+@query
+def tokenize(spark: SparkSession, sf: str) -> DataFrame:
+    return X.table(spark, sf, "documents").select("doc_id", F.array_join(T.tokenize(F.col("text")), " ").alias("tokens"))
+
+
+@query
+def roman_to_int(spark, sf):
+    words = X.table(spark, sf, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"\b[A-Za-z0-9]+\b"), F.lit(0))).alias("word")).distinct()
+    return words.filter(~F.col("word").rlike(r"^\d{10,}$")).select("word", T.roman_to_int(F.col("word")).alias("value"))
+
+
+@query
+def parse_heading(spark, sf):
+    p = T.parse_heading(F.col("text"))
+    return X.blocks(spark, sf).select("doc_key", "block_idx", p["kind"].alias("kind"), p["number"].alias("number"), p["rest"].alias("rest"))
+
+
+@query
+def classify_structure(spark, sf):
+    return S.classify_structure(X.blocks(spark, sf)).select("doc_key", "block_idx", "t", "eff", "active", *[F.col(c).cast("long").alias(c) for c in ("dgrp", "khoan_ord", "diem_ord", "chuong_ord", "muc_ord")])
+
+
+@query
+def structure_nodes(spark, sf):
+    n = S.structure(X.blocks(spark, sf))
+    return n.select("doc_key", *[F.col(c).cast("long").alias(c) for c in ("dgrp", "khoan_ord", "diem_ord", "chuong_so", "muc_so")], "chuong_ten", "muc_ten", "number", "head", "text")
+
+
+@query
+def heading_names(spark, sf):
+    return S.heading_names(S.classify_structure(X.blocks(spark, sf))).select("doc_key", "level", F.col("chuong_ord").cast("long").alias("chuong_ord"), F.col("muc_ord").cast("long").alias("muc_ord"), "so", "ten")
+
+
+@query
+def split_appendix(spark, sf):
+    return S.mark_appendix(X.blocks(spark, sf)).select("doc_key", "block_idx", "in_appendix")
+
+
+@query
+def appendices(spark, sf):
+    return S.appendices(X.blocks(spark, sf)).select("doc_key", F.col("pl_idx").cast("long").alias("pl_idx"), "so", "ten", "noi_dung")
+
+
+@query
+def chunks(spark, sf):
+    c = X.chunks(spark, sf, linked=False)
+    return c.select("doc_key", F.col("chunk_seq").cast("long").alias("chunk_seq"), "metadata.*", "page_content").drop("ngay_het_hieu_luc")
+
+
+@query
+def chunk_counts(spark, sf):
+    return C.chunk_counts(X.chunks(spark, sf, linked=False))
+
+
+@query
+def outline(spark, sf):
+    o = S.outline(S.structure(X.blocks(spark, sf)))
+    return o.select("doc_key", F.col("dgrp").cast("long").alias("dgrp"), "dieu_so", "dieu_preview", F.col("khoan_ord").cast("long").alias("khoan_ord"), "khoan_so", "khoan_preview", F.col("n_diem").cast("long").alias("n_diem"))
+
+
+@query
+def link_appendices(spark, sf):
+    return X.chunks(spark, sf).select("doc_key", F.col("chunk_seq").cast("long").alias("chunk_seq"), F.array_join("noi_dung_tham_chieu", " || ").alias("refs"))
+
+
+@query
+def table_markdown(spark, sf):
+    n = X.table(spark, sf, "nation").join(X.table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    cell = lambda i, t: F.struct(i.alias("cell_id"), t.alias("text"))
+    name, region = F.col("n_name"), F.concat(F.col("r_name"), F.lit("\nregion "))
+    row = F.array(cell(F.lit("a"), name), cell(F.lit("b"), region), cell(F.lit("b"), region), cell(F.lit("c"), name))
+    g = n.groupBy("r_name").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", row.alias("row")))).alias("rs"))
+    return g.select("r_name", T.table_to_markdown(F.transform("rs", lambda x: x["row"])).alias("markdown"))
+
+
+@query
+def row_ids(spark, sf):
+    return C.assign_row_ids(X.chunks(spark, sf, linked=False)).select("doc_key", F.col("chunk_seq").cast("long").alias("chunk_seq"), F.col("row_id").cast("long").alias("row_id"))
+
+
+@query
+def registry_join(spark, sf):
+    return C.attach_registry(X.blocks(spark, sf), X.registry(spark, sf)).groupBy("doc_key", "so_hieu", "co_quan_ban_hanh", "con_hieu_luc").agg(F.count(F.lit(1)).alias("n_blocks"))
+
+
+@query
+def unregistered(spark, sf):
+    return C.unregistered_documents(X.blocks(spark, sf), X.registry(spark, sf))
+
+
+@query
+def payload(spark, sf):
+    p = X.payload(spark, sf, linked=True).drop("ngay_het_hieu_luc")
+    return p.withColumns({"row_id": F.col("row_id").cast("long"), "noi_dung_tham_chieu": F.array_join("noi_dung_tham_chieu", " || ")})
+
+
+@query
+def upsert(spark, sf):
+    e = X.table(spark, sf, "events").select("event_id", "user_id", "event_type")
+    latest = lambda df: df.withColumn("n", F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("event_id")))).filter("n = 1").drop("n")
+    return upsert_points(latest(e.filter("event_id % 2 = 0")), e.filter("event_id % 2 = 1"), "user_id", "event_id")
+
+
+@query
+def points_per_source(spark, sf):
+    return C.points_per_source(X.payload(spark, sf))
+
+
+@query
+def corpus_stats(spark, sf):
+    return B.corpus_stats(X.rows(spark, sf)).select("n_docs", "n_tokens", F.round("avgdl", 6).alias("avgdl"))
+
+
+@query
+def term_stats(spark, sf):
+    r = X.rows(spark, sf)
+    return B.term_stats(B.postings(r), B.corpus_stats(r)).select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query
+def postings(spark, sf):
+    return B.postings(X.rows(spark, sf)).select("row_id", "term", "tf", F.col("dl").cast("long").alias("dl"))
+
+
+@query
+def bm25_topk(spark, sf):
+    top = B.bm25_topk(X.rows(spark, sf), X.bench_queries(spark, sf))
+    return top.join(X.rows(spark, sf), "row_id").select("query_id", "row_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"), F.length("page_content").cast("long").alias("n_chars"))
+
+
+@query
+def dense_topk(spark, sf):
+    top = D.dense_topk(X.vectors(spark, sf), X.query_vectors(spark, sf))
+    return top.select("query_id", "row_id", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def _fused(spark, sf):
+    return R.rrf_fuse(D.dense_topk(X.vectors(spark, sf), X.query_vectors(spark, sf)), B.bm25_topk(X.rows(spark, sf), X.bench_queries(spark, sf)))
+
+
+def _hits(df):
+    return df.select("query_id", F.col("pos").cast("long").alias("pos"), "row_id", F.round("score", 9).alias("score"), "is_sibling")
+
+
+@query
+def rrf_hybrid(spark, sf):
+    f = _fused(spark, sf)
+    return f.select("query_id", "row_id", "score", F.col("dense_rank").cast("long").alias("dense_rank"), F.col("bm25_rank").cast("long").alias("bm25_rank"))
+
+
+@query
+def broad_topk(spark, sf):
+    return _hits(R.top_k_fused(_fused(spark, sf), X.bench_queries(spark, sf)))
+
+
+@query
+def legal_refs(spark, sf):
+    refs = R.extract_legal_refs(X.ref_queries(spark, sf), R.short_numbers(X.payload(spark, sf)))
+    return refs.withColumn("ref_idx", F.col("ref_idx").cast("long"))
+
+
+@query
+def doc_id(spark, sf):
+    q = X.ref_queries(spark, sf)
+    return q.select("query_id", T.full_number(F.col("text")).alias("full_number"), T.short_decree(F.col("text")).alias("short_number"))
+
+
+@query
+def explicit_lookup(spark, sf):
+    p = X.payload(spark, sf)
+    return _hits(R.resolve_explicit_refs(R.extract_legal_refs(X.ref_queries(spark, sf), R.short_numbers(p)), p))
+
+
+@query
+def location_filter(spark, sf):
+    p = X.payload(spark, sf)
+    pick = lambda name, df: df.select(F.lit(name).alias("place"), "row_id", "chunk_id", "score")
+    return (
+        pick("article", R.filter_location(p, "1/2024/NĐ-CP", 4)).unionByName(pick("clause", R.filter_location(p, "2/2024/NĐ-CP", "4", 1)))
+        .unionByName(pick("point", R.filter_location(p, "3/2024/NĐ-CP", 4, 1, "a"))).unionByName(pick("no number", R.filter_location(p, "1/2024/NĐ-CP", "x")))
+    )
+
+
+@query
+def sibling_map(spark, sf):
+    return R.build_sibling_map(X.payload(spark, sf))
+
+
+@query
+def attach_siblings(spark, sf):
+    p = X.payload(spark, sf)
+    hits = R.resolve_explicit_refs(R.extract_legal_refs(X.ref_queries(spark, sf), R.short_numbers(p)), p)
+    return _hits(R.attach_siblings(hits, R.build_sibling_map(p)))
+
+
+@query
+def explicit_else_hybrid(spark, sf):
+    """Questions with references of even number ask by reference too; the others have hybrid hits alone."""
+    p = X.payload(spark, sf)
+    refs = R.extract_legal_refs(X.ref_queries(spark, sf), R.short_numbers(p))
+    explicit = R.resolve_explicit_refs(refs, p)
+    hybrid = R.top_k_fused(_fused(spark, sf), X.bench_queries(spark, sf), 15)
+    return _hits(R.explicit_else_hybrid(explicit, hybrid))
+
+
+@query
+def rerank(spark, sf):
+    q, rows = X.bench_queries(spark, sf), X.rows(spark, sf)
+    hits = R.top_k_fused(_fused(spark, sf), q, 5, rerank_top_n=30)
+    return _hits(R.rerank(hits, R.score_pairs(hits, rows, q), q))
+
+
+@query
+def history(spark, sf):
+    t = X.table(spark, sf, "conversations").withColumn("text", F.when(F.col("turn") % 7 == 3, "").otherwise(F.col("text")))
+    src = F.array(F.struct(F.col("turn").cast("string").alias("dieu_so"), F.lit("2").alias("khoan_so"), F.lit("Nghị định").alias("ten_van_ban"), F.lit(None).cast("string").alias("so_hieu")))
+    none = F.array().cast("array<struct<dieu_so:string,khoan_so:string,ten_van_ban:string,so_hieu:string>>")
+    return A.format_history(t.withColumn("sources", F.when(F.col("turn") % 4 == 1, src).otherwise(none)))
+
+
+@query
+def context(spark, sf):
+    p = X.payload(spark, sf, linked=True)
+    q = X.ref_queries(spark, sf)
+    hits = R.resolve_explicit_refs(R.extract_legal_refs(q, R.short_numbers(p)), p)
+    c = A.build_context(R.attach_payload(R.attach_siblings(hits, R.build_sibling_map(p)), p), q)
+    return c.join(q, "query_id").select("query_id", F.sha2(A.answer_prompt(F.col("context"), F.col("text")), 256).alias("prompt_sha256"), F.length("context").cast("long").alias("n_chars"))
+
+
+@query
+def citations(spark, sf):
+    a = X.answers(spark, sf)
+    return a.select("conv_id", "turn", F.posexplode(T.citations(F.col("answer"))).alias("pos", "c")).select("conv_id", "turn", F.col("pos").cast("long").alias("pos"), "c.*")
+
+
+@query
+def refused(spark, sf):
+    return X.answers(spark, sf).select("conv_id", "turn", T.is_refused(F.col("answer")).alias("refused"))
+
+
+def _analyzed(spark, sf):
+    d = X.table(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 200).alias("raw"))
+    l = X.table(spark, sf, "labels")
+    j = d.join(l.groupBy(F.col("doc_id").alias("query_id")).agg(F.max("quality").alias("quality")), "query_id", "left")
+    return j.select(
+        "query_id", "raw", (F.col("query_id") % 3 == 0).alias("has_history"), F.when(F.col("quality") == 1, "legal_rag").when(F.col("quality") == 0, "out_of_scope").alias("category"),
+        F.when(F.col("quality").isNotNull(), F.upper("raw")).alias("standalone_query"), F.when(F.col("quality").isNotNull(), F.when(F.col("query_id") % 5 == 0, "").otherwise(F.lower("raw"))).alias("retrieval_query"),
+    )
+
+
+@query
+def analyzer_defaults(spark, sf):
+    return A.apply_analyzer_defaults(_analyzed(spark, sf)).select("query_id", "category", "query", "retrieval")
+
+
+@query
+def route(spark, sf):
+    rag, other = A.route_by_category(A.apply_analyzer_defaults(_analyzed(spark, sf)))
+    empty = rag.select("query_id", "category", F.lit(None).cast("string").alias("answer"), F.lit(None).cast("boolean").alias("refused"))
+    return empty.unionByName(other.select("query_id", "category", "answer", "refused"))
+
+
+@query
+def validity(spark, sf):
+    p = X.payload(spark, sf)
+    k = F.col("row_id")
+    changed = F.when(k % 4 == 0, "sua_doi").when(k % 4 == 1, "khac").when(k % 8 == 2, "bai_bo")
+    v = A.annotate_validity(F.col("con_hieu_luc"), F.when(k % 2 == 0, "2025-01-01"), changed, F.when(k % 3 == 0, F.col("so_hieu")))
+    return p.select(k.cast("long").alias("row_id"), v["expired"].alias("expired"), v["changed"].alias("changed"))
+
+
+@query
+def response(spark, sf):
+    q = A.apply_analyzer_defaults(_analyzed(spark, sf))
+    a = X.answers(spark, sf).groupBy(F.col("conv_id").alias("query_id")).agg(F.min_by("answer", "turn").alias("a"), F.count(F.lit(1)).alias("n_hits"))
+    rag, other = A.route_by_category(q)
+    s = A.empty_result_status(F.col("n_hits"), F.col("a"), F.when(F.col("query_id") % 11 == 0, "timeout"))
+    done = rag.join(a, "query_id", "left").withColumn("s", s)
+    got = done.select("query_id", "raw", "query", "category", "s.answer", T.citations(F.col("s.answer")).alias("sources"), "s.refused", F.lit("local/test").alias("model_info"))
+    rest = other.select("query_id", "raw", "query", "category", "answer", F.lit(None).cast(got.schema["sources"].dataType).alias("sources"), "refused", F.lit(None).cast("string").alias("model_info"))
+    r = A.shape_response(got.unionByName(rest))
+    return r.select("query_id", F.sha2("answer", 256).alias("answer_sha256"), F.size("sources").cast("long").alias("n_sources"), "refused", "category", "model_info", "query")
+
+
+@query
+def l2_normalize(spark, sf):
+    return X.table(spark, sf, "embeddings").select("vec_id", F.transform(T.l2_normalize(F.transform("embedding", lambda x: x * 3)), lambda x: F.round(x, 4).cast("string")).alias("v")).select("vec_id", F.size("v").cast("long").alias("dim"), F.round(F.get("v", 0).cast("double"), 4).alias("first"))
