@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import chunks as C
 from ..operators import structure as S
+from ..sources.stage import stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,7 +55,8 @@ def chunks(spark: SparkSession, sf_dir: str, linked: bool = True) -> DataFrame:
 
 
 def payload(spark: SparkSession, sf_dir: str, linked: bool = False) -> DataFrame:
-    return C.flatten_payload(C.assign_row_ids(chunks(spark, sf_dir, linked)))
+    """The point table, stored once as an index build does; queries read it several times."""
+    return C.flatten_payload(C.assign_row_ids(stored(chunks(spark, sf_dir, linked), "chunks")))
 
 
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ from ..operators import dense as D
 from ..operators import retrieve as R
 from ..operators import structure as S
 from ..sources.chunk_files import upsert_points
+from ..sources.stage import stored
 from . import fixtures as X
 
 QUERIES = {}
@@ -31,8 +32,8 @@ def tokenize(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def roman_to_int(spark, sf):
-    words = X.table(spark, sf, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"\b[A-Za-z0-9]+\b"), F.lit(0))).alias("word")).distinct()
-    return words.filter(~F.col("word").rlike(r"^\d{10,}$")).select("word", T.roman_to_int(F.col("word")).alias("value"))
+    words = X.table(spark, sf, "documents").select(F.explode(F.split("text", " ")).alias("word")).distinct()
+    return words.filter(F.col("word").rlike(r"^[A-Za-z0-9]+$") & ~F.col("word").rlike(r"^\d{10,}$")).select("word", T.roman_to_int(F.col("word")).alias("value"))
 
 
 @query
@@ -151,13 +152,13 @@ def postings(spark, sf):
 @query
 def bm25_topk(spark, sf):
     top = B.bm25_topk(X.rows(spark, sf), X.bench_queries(spark, sf))
-    return top.join(X.rows(spark, sf), "row_id").select("query_id", "row_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"), F.length("page_content").cast("long").alias("n_chars"))
+    return top.join(X.rows(spark, sf), "row_id").select("query_id", "row_id", "score", F.col("rank").cast("long").alias("rank"), F.length("page_content").cast("long").alias("n_chars"))
 
 
 @query
 def dense_topk(spark, sf):
     top = D.dense_topk(X.vectors(spark, sf), X.query_vectors(spark, sf))
-    return top.select("query_id", "row_id", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return top.select("query_id", "row_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def _fused(spark, sf):
@@ -193,13 +194,13 @@ def doc_id(spark, sf):
 
 @query
 def explicit_lookup(spark, sf):
-    p = X.payload(spark, sf)
+    p = stored(X.payload(spark, sf), "points")
     return _hits(R.resolve_explicit_refs(R.extract_legal_refs(X.ref_queries(spark, sf), R.short_numbers(p)), p))
 
 
 @query
 def location_filter(spark, sf):
-    p = X.payload(spark, sf)
+    p = stored(X.payload(spark, sf), "points")
     pick = lambda name, df: df.select(F.lit(name).alias("place"), "row_id", "chunk_id", "score")
     return (
         pick("article", R.filter_location(p, "1/2024/NĐ-CP", 4)).unionByName(pick("clause", R.filter_location(p, "2/2024/NĐ-CP", "4", 1)))
@@ -214,7 +215,7 @@ def sibling_map(spark, sf):
 
 @query
 def attach_siblings(spark, sf):
-    p = X.payload(spark, sf)
+    p = stored(X.payload(spark, sf), "points")
     hits = R.resolve_explicit_refs(R.extract_legal_refs(X.ref_queries(spark, sf), R.short_numbers(p)), p)
     return _hits(R.attach_siblings(hits, R.build_sibling_map(p)))
 
@@ -222,7 +223,7 @@ def attach_siblings(spark, sf):
 @query
 def explicit_else_hybrid(spark, sf):
     """Questions with references of even number ask by reference too; the others have hybrid hits alone."""
-    p = X.payload(spark, sf)
+    p = stored(X.payload(spark, sf), "points")
     refs = R.extract_legal_refs(X.ref_queries(spark, sf), R.short_numbers(p))
     explicit = R.resolve_explicit_refs(refs, p)
     hybrid = R.top_k_fused(_fused(spark, sf), X.bench_queries(spark, sf), 15)
@@ -246,7 +247,7 @@ def history(spark, sf):
 
 @query
 def context(spark, sf):
-    p = X.payload(spark, sf, linked=True)
+    p = stored(X.payload(spark, sf, linked=True), "points")
     q = X.ref_queries(spark, sf)
     hits = R.resolve_explicit_refs(R.extract_legal_refs(q, R.short_numbers(p)), p)
     c = A.build_context(R.attach_payload(R.attach_siblings(hits, R.build_sibling_map(p)), p), q)
@@ -270,7 +271,7 @@ def _analyzed(spark, sf):
     j = d.join(l.groupBy(F.col("doc_id").alias("query_id")).agg(F.max("quality").alias("quality")), "query_id", "left")
     return j.select(
         "query_id", "raw", (F.col("query_id") % 3 == 0).alias("has_history"), F.when(F.col("quality") == 1, "legal_rag").when(F.col("quality") == 0, "out_of_scope").alias("category"),
-        F.when(F.col("quality").isNotNull(), F.upper("raw")).alias("standalone_query"), F.when(F.col("quality").isNotNull(), F.when(F.col("query_id") % 5 == 0, "").otherwise(F.lower("raw"))).alias("retrieval_query"),
+        F.when(F.col("quality").isNotNull(), F.concat(F.lit("» "), "raw")).alias("standalone_query"), F.when(F.col("quality").isNotNull(), F.when(F.col("query_id") % 5 == 0, "").otherwise(F.lower("raw"))).alias("retrieval_query"),
     )
 
 
@@ -288,7 +289,7 @@ def route(spark, sf):
 
 @query
 def validity(spark, sf):
-    p = X.payload(spark, sf)
+    p = stored(X.payload(spark, sf), "points")
     k = F.col("row_id")
     changed = F.when(k % 4 == 0, "sua_doi").when(k % 4 == 1, "khac").when(k % 8 == 2, "bai_bo")
     v = A.annotate_validity(F.col("con_hieu_luc"), F.when(k % 2 == 0, "2025-01-01"), changed, F.when(k % 3 == 0, F.col("so_hieu")))
