@@ -87,11 +87,14 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
             left -= more * n
     if left == 0:
         return take
-    # Bounded knapsack for the rest. One document of the shortest length taken is given back, which opens more sums.
-    given = [i for i in order[::-1] if lengths[i] > 0 and take[i] > 0]
-    if given:
-        take[given[0]] -= 1
-        left += int(lengths[given[0]])
+    # Bounded knapsack for the rest. Some of the shortest documents taken are given back, which opens more sums.
+    room = None
+    for i in order[::-1]:
+        if lengths[i] > 0:
+            room = room or left + 12 * int(lengths[i])
+            while take[i] and left < room:
+                take[i] -= 1
+                left += int(lengths[i])
     reached = np.full(left + 1, -1, dtype=np.int64)  # the index of the length that reached a sum last
     used = np.zeros(left + 1, dtype=np.int64)
     reached[0] = len(lengths)
