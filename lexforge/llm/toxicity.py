@@ -41,7 +41,7 @@ from pyspark.sql import types as T
 from .common import materialize
 from .tokens import utf8
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 
 
 @dataclass(frozen=True)
@@ -74,11 +74,11 @@ def normal_word(chunk: bytes) -> str:
 
 def word_buckets(word: str, buckets: int, n_min: int, n_max: int) -> list[int]:
     """Buckets of the n-grams of a word with its boundaries, and of the word itself."""
-    marked = f"<{word}>"
-    grams = [marked]
-    for n in range(n_min, n_max + 1):
-        grams += [marked[i : i + n] for i in range(len(marked) - n + 1)]
-    return [zlib.crc32(g.encode()) % buckets for g in grams]
+    crc, marked = zlib.crc32, f"<{word}>"
+    if marked.isascii():  # the same grams, cut from bytes at once
+        m = marked.encode()
+        return [crc(m) % buckets, *[crc(m[i : i + n]) % buckets for n in range(n_min, n_max + 1) for i in range(len(m) - n + 1)]]
+    return [crc(marked.encode()) % buckets, *[crc(marked[i : i + n].encode()) % buckets for n in range(n_min, n_max + 1) for i in range(len(marked) - n + 1)]]
 
 
 def _bags(batches: Iterator[pa.RecordBatch], buckets: int, n_min: int, n_max: int):
@@ -222,14 +222,21 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
     schema = T.StructType([*docs.schema.fields, T.StructField("toxicity", T.DoubleType())])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = model.part
+        part = model.part.tolist()
+        plain: dict[str, float] = {}  # chunks that differ in punctuation or case share a word
 
         class Words(dict):
             def __missing__(self, chunk: bytes) -> float:
                 if len(self) >= CACHE_WORDS:
                     self.clear()
-                at = word_buckets(normal_word(chunk), len(part), model.n_min, model.n_max)
-                self[chunk] = got = sum([part[i] for i in at]) / len(at)
+                w = normal_word(chunk)
+                got = plain.get(w)
+                if got is None:
+                    if len(plain) >= CACHE_WORDS:
+                        plain.clear()
+                    at = word_buckets(w, len(part), model.n_min, model.n_max)
+                    plain[w] = got = sum([part[i] for i in at]) / len(at)
+                self[chunk] = got
                 return got
 
         word = Words()
