@@ -108,7 +108,7 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), size=20)
+    kept = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), size=20, with_text=False)
     return kept.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 

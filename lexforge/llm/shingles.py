@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
+import xxhash
 
 MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -21,22 +20,21 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """Chunk of bytes -> 64-bit hash; cleared at a fixed number of entries. ``normal`` maps a chunk to the bytes that count, or None."""
+    """Chunk of bytes -> 64-bit hash as bytes; cleared at a fixed number of entries. ``normal`` maps a chunk to the bytes that count, or None."""
 
     def __init__(self, normal=None, entries: int = 500_000):
         super().__init__()
         self.normal, self.entries = normal, entries
 
-    def __missing__(self, chunk: bytes) -> int:
+    def __missing__(self, chunk: bytes) -> bytes:
         if len(self) >= self.entries:
             self.clear()
-        word = self.normal(chunk) if self.normal else chunk
-        got = self[chunk] = (zlib.crc32(word) << 32 | zlib.crc32(word, 0x5BD1E995) ^ zlib.adler32(word)) & 0xFFFFFFFFFFFFFFFF
+        got = self[chunk] = xxhash.xxh3_64_digest(self.normal(chunk) if self.normal else chunk)
         return got
 
     def of(self, data: bytes) -> np.ndarray:
-        words = data.split()
-        return mix(np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words)))
+        """Hashes of all words of a text, in order."""
+        return np.frombuffer(b"".join(map(self.__getitem__, data.split())), dtype="<u8").astype(np.uint64)
 
 
 def plain_word(chunk: bytes) -> bytes:

@@ -39,6 +39,7 @@ table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -147,8 +148,7 @@ def anchors(words: np.ndarray, seps: np.ndarray, size: int, prefix: Prefix) -> t
     lo, hi = (np.concatenate([level[k] for level in levels]) for k in (0, 1))
     span = hi - lo
     fit = (span >= LEAST) & (span <= size) & (lo >= 0)
-    code = np.unique(lo[fit] * 256 + span[fit])  # a boundary that a round left alone is there once
-    every_lo, every_hi = code >> 8, (code >> 8) + (code & 255)
+    every_lo, every_hi = lo[fit], hi[fit]
     found = []
     for least, most in ((LEAST, NARROW), (NARROW + 1, size)):
         tier = (every_hi - every_lo >= least) & (every_hi - every_lo <= most)
@@ -169,7 +169,9 @@ def anchors(words: np.ndarray, seps: np.ndarray, size: int, prefix: Prefix) -> t
         for j, at in enumerate(reach):
             w = first[at] + j
             used[at] |= open_[w] & (best[w] == key[at])
-        found.append((key[used], lo[used], hi[used]))
+        # Several boundaries may have one interval; that is one anchor.
+        _, one = np.unique(lo[used] * 256 + (hi - lo)[used], return_index=True)
+        found.append((key[used][one], lo[used][one], hi[used][one]))
         cover = np.zeros(n + 2, dtype=np.int64)
         np.add.at(cover, first, 1)
         np.add.at(cover, lo + 1, -1)
@@ -356,50 +358,56 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _packed(rows[k : k + 10_000])
 
 
-def _remove(size: int):
+def _remove(size: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
-            n_words, n_removed, texts = [], [], []
-            for text, blobs in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            n_words, n_removed, digests, kept_texts = [], [], [], []
+            for text, blobs, versions in zip(*[b.column(c).to_pylist() for c in (1, 2, 3)], strict=True):
                 chunks = text.split()
                 kept = chunks
                 if blobs:
-                    words = hashes.of(text)
-                    prefix2 = Prefix(words, BASE2)
-                    cover = np.zeros(len(words) + 1, dtype=np.int64)
-                    for blob in blobs:
-                        at, tag = _get(blob, "<u4", "<u4")
-                        at = at.astype(np.int64)
-                        ok = at + size <= len(words)
+                    found = [_get(blob, "<u4", "<u4") for blob in blobs]
+                    at, tag = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+                    at = at.astype(np.int64)
+                    if versions is not None:  # places may be those of another version of this id
+                        prefix2 = Prefix(hashes.of(text), BASE2)
+                        ok = at + size <= len(chunks)
                         at, tag = at[ok], tag[ok]
-                        at = at[(prefix2.of(at, at + size) >> np.uint64(32)).astype(np.uint32) == tag]  # a version of this id that has the window here
-                        np.add.at(cover, at, 1)
-                        np.add.at(cover, at + size, -1)
-                    stays = np.cumsum(cover[: len(words)]) == 0
-                    kept = [c for c, s in zip(chunks, stays.tolist(), strict=True) if s]
+                        at = at[(prefix2.of(at, at + size) >> np.uint64(32)).astype(np.uint32) == tag]
+                    cover = np.zeros(len(chunks) + 1, dtype=np.int64)
+                    np.add.at(cover, at, 1)
+                    np.add.at(cover, at + size, -1)
+                    kept = list(itertools.compress(chunks, (np.cumsum(cover[:-1]) == 0).tolist()))
                 n_words.append(len(chunks))
                 n_removed.append(len(chunks) - len(kept))
-                texts.append(b" ".join(kept))
+                joined = b" ".join(kept)
+                digests.append(hashlib.sha256(joined).hexdigest())
+                kept_texts.append(joined.decode("utf-8", "replace") if with_text else None)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts]),
-                 pa.array([t.decode("utf-8", "replace") for t in texts])], ["id", "n_words", "n_removed", "kept_sha256", "kept_text"]
-            )
+                [b.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string()), pa.array(kept_texts, pa.string())],
+                ["id", "n_words", "n_removed", "kept_sha256", "kept_text"],
+            )
 
     return run
 
 
-def remove_repeats(docs: DataFrame, size: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, kept_sha256 and kept_text (kept words joined by one space)."""
+def remove_repeats(docs: DataFrame, size: int = 20, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
+    """One row per document: doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text (kept words joined by one space)."""
     parts = shuffle_width(docs.sparkSession)
+    # Packed entries are about a tenth of the texts' size, so a quarter of the partitions holds them.
+    few = max(1, parts // 4)
     buckets = 4 * parts
     # The one exchange of the texts; the joins below are on its key.
     dealt = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), utf8(text_col).alias("utf8")).repartition(parts, "id")
     blobs = lambda found: found.groupBy("id").agg(F.collect_list("places").alias("blobs"))
-    shared = dealt.mapInArrow(_find_anchors(size, buckets), PACKED).repartition(parts, "bucket").mapInArrow(_share, PACKED)
+    shared = dealt.mapInArrow(_find_anchors(size, buckets), PACKED).repartition(few, "bucket").mapInArrow(_share, PACKED)
     candidates = dealt.join(blobs(shared).hint("shuffle_hash"), "id")
-    gone = candidates.mapInArrow(_find_windows(size, buckets), PACKED).repartition(parts, "bucket").mapInArrow(_settle, PACKED)
-    result = dealt.join(blobs(gone).hint("shuffle_hash"), "id", "left").mapInArrow(
-        _remove(size), "id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
+    gone = candidates.mapInArrow(_find_windows(size, buckets), PACKED).repartition(few, "bucket").mapInArrow(_settle, PACKED)
+    ids = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"))
+    repeated = ids.groupBy("id").agg(F.count(F.lit(1)).alias("versions")).filter("versions > 1")
+    marks = blobs(gone).join(repeated, "id", "left")
+    result = dealt.join(marks.hint("shuffle_hash"), "id", "left").mapInArrow(
+        _remove(size, with_text), "id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
     )
     return result.withColumn("doc_id", F.when(F.col("id") != NULL_ID, F.col("id"))).select("doc_id", "n_words", "n_removed", "kept_sha256", "kept_text")
