@@ -18,17 +18,19 @@ diagonal: a pair further from it than the similarity allows cannot be matched.
    a given band with probability of about 0.8 ** picks: with 24 bands of 4 picks
    all bands miss with probability 0.000003.
 3. Texts that share a band are a bucket. In a bucket of up to ``small`` texts all
-   pairs are candidates. Larger buckets give a linear number: a text is compared with
-   the smallest of the smallest ids of its large buckets first, and then with those of
-   these ids that are not yet in its class.
+   pairs are candidates. In a larger one a text is first compared with the smallest of
+   the smallest ids of its large buckets.
 4. Candidates are verified by alignment; links make components by label
    propagation in Spark, with a stored table in each round.
-5. The rest of the large buckets: texts that are still apart from the smallest ids of
-   at least ``shared`` of their large buckets (texts at 0.8 share fewer bands than that
-   with probability 0.004, and only such pairs matter here that no small bucket and no
-   smallest id has joined) are dealt into tables of two on average, three times
-   by hashes that change every round, and the pairs of a table that are in different classes are
-   verified. Rounds go on until one finds no new link.
+5. The rest of the large buckets is listed to its end. A pair in one class needs no
+   comparison. Left out first are texts that can have no partner: a link at 0.8 needs
+   0.8 of a text's shingles in the other, so a text is done if fewer of its shingles
+   occur in any other text of the buckets that are left. The home of a bucket is the
+   class that most of its texts are in. Every pair of different classes has a text
+   outside the home: rounds take four times as many of these as the round before, and
+   of the home's texts (near copies often meet only through one of them), and compare
+   each with all texts of its bucket that are in another class and near in length. The
+   last round takes all that are left, whatever the rounds before have found.
 
 Nothing is collected to the driver but counts, and no bucket is gathered in a task.
 
@@ -151,6 +153,23 @@ def verify(docs: DataFrame, pairs: DataFrame, k: int, least: float, id_col: str,
     return both.mapInArrow(check, "a long, b long").distinct()
 
 
+def lonely(docs: DataFrame, members: DataFrame, k: int, least: float, id_col: str, text_col: str) -> DataFrame:
+    """(rep) of the members (rep, n) that no other member can be linked to: more than 1 - ``least`` of their shingles occur in no other."""
+    texts = docs.select(F.col(id_col).cast("long").alias("__id"), utf8(text_col).alias("text"))
+    rows = texts.join(members, texts["__id"] == members["rep"]).select("rep", "text")
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes(plain_word)
+        for b in batches:
+            for rep, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found = text_shingles(text, hashes, k).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), rep)), pa.array(found)], ["rep", "gram"])
+
+    met = rows.mapInArrow(grams, "rep long, gram long").groupBy("gram").agg(F.min("rep").alias("rep"), F.max("rep").alias("other")).filter("rep = other")
+    own = met.groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
+    return own.join(members, "rep").filter(F.col("n") - F.col("own") < least * F.col("n") - 1e-6).select("rep")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, root) for every id of the links (a, b): root is the smallest id of its component.
 
@@ -172,7 +191,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, least: float = 0.8, bands: int = 24, picks: int = 4, k: int = K, small: int = 8, shared: int = 4, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, least: float = 0.8, bands: int = 24, picks: int = 4, k: int = K, small: int = 8, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per document: doc_id, class_id (smallest id of its class) and class_size (rows)."""
     thin = materialize(sketches(docs, bands, picks, k, id_col, text_col), "sketches")
@@ -183,51 +202,49 @@ def near_duplicates(
     sizes = banded.groupBy("value").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("rep", "n")).alias("lead")).filter("size > 1")
     members = materialize(lookup(banded, sizes, ["value"], ["rep"], salts=16).filter("size is not null"), "buckets")
     close = lambda a, b: F.least(a, b) >= least * F.greatest(a, b)
-    big = members.filter((F.col("size") > small) & (F.col("rep") > F.col("lead.rep")))
-    leads = big.filter(close(F.col("n"), F.col("lead.n"))).groupBy(F.col("lead.rep").alias("a"), F.col("rep").alias("b")).agg(F.count(F.lit(1)).alias("times"))
-    leads = materialize(leads, "leads")
+    big = members.filter(F.col("size") > small)
+    leads = big.filter((F.col("rep") > F.col("lead.rep")) & close(F.col("n"), F.col("lead.n")))
     few = _table_pairs(members.filter(F.col("size") <= small).select("value", "rep", "n"), ["value"], close)
-    nearest = leads.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    nearest = leads.groupBy(F.col("rep").alias("b")).agg(F.min("lead.rep").alias("a")).select("a", "b")
     tried = materialize(few.union(nearest).distinct(), "pairs")
     links = materialize(verify(docs, tried, k, least, id_col, text_col), "links")
     roots = components(links)
 
-    def apart(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b, …) that are in different classes so far."""
-        of = lambda c: roots.select(F.col("id").alias(c), F.col("root").alias(f"root_{c}"))
-        known = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-        return known.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).drop("root_a", "root_b")
-
-    turn = 0
-    while True:
-        if turn == 0:
-            new = apart(leads).select("a", "b")
-        else:
-            # Texts whose large buckets mostly have a smallest id of another class.
-            far = apart(leads)
-            many = far.groupBy("b").agg(F.sum("times").alias("buckets")).filter(F.col("buckets") >= shared).select("b")
-            open_ = far.join(many, "b", "left_semi").select("a", F.col("b").alias("rep"))
-            rest = big.withColumn("a", F.col("lead.rep")).join(open_, ["a", "rep"], "left_semi").select("value", "rep", "n")
-            counted = rest.groupBy("value").agg(F.count(F.lit(1)).alias("left"))
-            tables = lookup(rest, counted, ["value"], ["rep"], salts=16)
-            # Three deals a round, as a round costs more than the pairs of a deal.
-            dealt = tables.withColumn("deal", F.explode(F.array(*[F.lit(3 * turn + k) for k in range(3)])))
-            dealt = dealt.withColumn("table", F.pmod(F.xxhash64("deal", "rep"), F.ceil(F.col("left") / 2)))
-            new = apart(_table_pairs(dealt.select("value", "deal", "table", "rep", "n"), ["value", "deal", "table"], close).distinct())
+    def rooted(rows: DataFrame, name: str, root: str) -> DataFrame:
+        """The rows with the class so far of the id in column ``name``."""
+        known = roots.select(F.col("id").alias(name), F.col("root").alias("__root"))
+        return rows.join(known, name, "left").withColumn(root, F.coalesce("__root", name)).drop("__root")
+
+    # The home of a bucket is the class that most of its texts are in now; it only grows.
+    shares = rooted(big, "rep", "root").groupBy("value", "root").agg(F.count(F.lit(1)).alias("texts"))
+    homes = shares.groupBy("value").agg(F.max(F.struct("texts", "root"))["root"].alias("home"))
+    open_ = lookup(big.select("value", "rep", "n", "size"), homes, ["value"], ["rep"], salts=16)
+    mixed = rooted(open_, "rep", "root").groupBy("value").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("value")
+    open_ = lookup(open_, mixed.withColumn("mixed", F.lit(True)), ["value"], ["rep"], salts=16).filter("mixed").drop("mixed")
+    alone = lonely(docs, open_.select("rep", "n").distinct(), k, least, id_col, text_col)
+    open_ = materialize(open_.join(alone, "rep", "left_anti"), "open")
+    largest = open_.agg(F.max("size")).first()[0] or 0
+    reach, done = small // 2, largest == 0
+    while not done:
+        # Round with the last turns takes every text outside its bucket's home.
+        done = reach >= largest
+        now = rooted(rooted(open_, "rep", "root"), "home", "home_root").withColumn("inside", F.col("root") == F.col("home_root"))
+        state = now.groupBy("value").agg(F.count_if("inside").alias("n_inside"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1")
+        now = materialize(lookup(now.drop("home_root"), state, ["value"], ["rep"], salts=16).filter("r0 is not null").drop("r0", "r1"), "apart")
+        turn = F.xxhash64("value", "rep")
+        outer = now.filter(~F.col("inside") & (F.pmod(turn, F.col("size")) < reach))
+        inner = now.filter(F.col("inside") & (F.pmod(turn, F.col("n_inside")) < reach))
+        new = _cross_pairs(outer, now, close, least).union(_cross_pairs(inner, now.filter(~F.col("inside")), close, least)).distinct()
         new = materialize(new.join(tried, ["a", "b"], "left_anti"), "pairs")
         if not new.isEmpty():
+            tried = materialize(tried.union(new), "tried")
             found = materialize(verify(docs, new, k, least, id_col, text_col), "links")
             if not found.isEmpty():
-                tried = materialize(tried.union(new), "tried")
                 links = materialize(links.union(found), "links")
                 roots = components(links)
-            elif turn > 0:
-                break
-            else:
-                tried = materialize(tried.union(new), "tried")
-        elif turn > 0:
+        elif now.isEmpty():
             break
-        turn += 1
+        reach *= 4
     root_of = roots.select(F.col("id").alias("rep"), "root")
     groups = reps.join(root_of, "rep", "left").select("words", F.coalesce("root", "rep").alias("class_id"), "rows")
     sized = groups.join(groups.groupBy("class_id").agg(F.sum("rows").alias("class_size")).withColumnRenamed("class_id", "c"), F.col("class_id").eqNullSafe(F.col("c")))
@@ -242,6 +259,16 @@ def _table_pairs(rows: DataFrame, keys: list[str], close) -> DataFrame:
     return left.join(right, keys).filter((F.col("a") < F.col("b")) & close(F.col("na"), F.col("nb"))).select("a", "b")
 
 
+def _cross_pairs(pivots: DataFrame, rows: DataFrame, close, least: float) -> DataFrame:
+    """(a, b), a < b, of the pivots with the texts of their buckets that are in another class and near in length."""
+    # Lengths that may be linked are in the same or in neighbouring steps.
+    step = F.floor(F.log("n") / F.log(F.lit(1 / least))).cast("int")
+    left = pivots.select("value", F.explode(F.array(*[step + d for d in (-1, 0, 1)])).alias("step"), F.col("rep").alias("p"), F.col("n").alias("np"), F.col("root").alias("root_p"))
+    right = rows.select("value", step.alias("step"), F.col("rep").alias("q"), F.col("n").alias("nq"), F.col("root").alias("root_q"))
+    met = left.join(right, ["value", "step"]).filter((F.col("root_p") != F.col("root_q")) & close(F.col("np"), F.col("nq")))
+    return met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that stay, all columns: the document with the smallest id of every class."""
     classes = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)

@@ -140,6 +140,22 @@ def test_near_dedup(corpus, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def edited(words, at, tag):
+    """The words with those at the places replaced by words of their own."""
+    return " ".join(f"{tag}{i}" if i in at else w for i, w in enumerate(words))
+
+
+def test_near_dedup_hub(spark):
+    """Copies that are linked to one original only, which is in the class of the buckets' smallest id but is not that id."""
+    base = [f"w{i}" for i in range(150)]
+    rows = [(i, edited(base, {(7 * i) % 60 + 5, (11 * i) % 50 + 80}, f"c{i}x")) for i in range(40)] + [(99, " ".join(base))]
+    h = WordHashes(plain_word)
+    s = [near_dedup.text_shingles(t.encode(), h) for _, t in rows]
+    assert all(near_dedup.similarity(x, s[-1]) >= 0.8 for x in s) and near_dedup.similarity(s[0], s[1]) < 0.8
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), small=2).collect()
+    assert {(r["class_id"], r["class_size"]) for r in got} == {(0, 41)}
+
+
 def test_alignment():
     rng = np.random.default_rng(0)
     for _ in range(200):
