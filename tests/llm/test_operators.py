@@ -156,6 +156,22 @@ def test_near_dedup_hub(spark):
     assert {(r["class_id"], r["class_size"]) for r in got} == {(0, 41)}
 
 
+def test_near_dedup_lengths(spark):
+    """Long versions in a bucket that a short original leads."""
+    h, base, n = WordHashes(plain_word), [f"w{i}" for i in range(100)], 0
+    value = lambda t: near_dedup.sketch(near_dedup.text_shingles(t.encode(), h), 1, 1)[0]
+    rows = [(0, " ".join(base))]
+    while len(rows) < 14:
+        n += 1
+        text = " ".join(base + ["more"] + [f"x{i}" for i in range(50)] + [f"end{n}"])
+        if value(text) == value(rows[0][1]):
+            rows.append((len(rows), text))
+        elif n == 40:
+            base, rows, n = [w + "v" for w in base], [(0, " ".join(w + "v" for w in base))], 0
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), bands=1, picks=1).collect()
+    assert {(r["doc_id"], r["class_id"], r["class_size"]) for r in got} == {(0, 0, 1), *((i, 1, 13) for i in range(1, 14))}
+
+
 def test_alignment():
     rng = np.random.default_rng(0)
     for _ in range(200):
