@@ -36,8 +36,9 @@ Nothing is collected to the driver but counts, and no bucket is gathered in a ta
 
 Defined results: null text counts as empty; all texts without a word are one class;
 a text of fewer than five words has one shingle, all its words; a null id is a
-document whose class is the smallest id of the group (null if it is alone); repeated
-rows get the same class; an empty table gives an empty result; other columns are not
+document like any other, and the class of a group is its smallest id (null if no
+document has one); different texts may share an id and are apart unless they are
+linked; repeated rows get the same class; an empty table gives an empty result; other columns are not
 read.
 """
 
@@ -49,7 +50,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -111,9 +112,13 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = 0.8) -> float:
     return m / (na + nb - m)
 
 
+def raw_digest(column: str) -> Column:
+    return F.unhex(F.md5(utf8(column)))
+
+
 def sketches(docs: DataFrame, bands: int, picks: int, k: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, words binary, n, bands array): a digest of the word sequence, the number of shingles and the band values."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("utf8"))
+    """(doc_id, raw binary, words binary, n, bands array): digests of the text and of its word sequence, the number of shingles and the band values."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("utf8"), raw_digest(text_col).alias("raw"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes(plain_word)
@@ -127,16 +132,22 @@ def sketches(docs: DataFrame, bands: int, picks: int, k: int, id_col: str, text_
                 values.append(sketch(grams, bands, picks).view(np.int64) if len(grams) else np.zeros(0, np.int64))
             ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
             flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values) if values else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digest, pa.binary()), pa.array(n, pa.int32()), flat], ["doc_id", "words", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(digest, pa.binary()), pa.array(n, pa.int32()), flat], ["doc_id", "raw", "words", "n", "bands"])
+
+    return rows.mapInArrow(make, "doc_id long, raw binary, words binary, n int, bands array<long>")
+
 
-    return rows.mapInArrow(make, "doc_id long, words binary, n int, bands array<long>")
+def texts_of(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(rep, text) of the representatives (rep, doc_id, raw), one row each; rows are found by id and text, as ids may be null or shared."""
+    rows = docs.select(F.col(id_col).cast("long").alias("__id"), raw_digest(text_col).alias("__raw"), utf8(text_col).alias("text"))
+    found = rows.join(reps, (rows["__raw"] == reps["raw"]) & rows["__id"].eqNullSafe(reps["doc_id"])).select("rep", "text")
+    return found.dropDuplicates(["rep"])
 
 
-def verify(docs: DataFrame, pairs: DataFrame, k: int, least: float, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) of ids whose texts are linked. Texts go to the pairs one side at a time; Spark may split a hot id in both joins."""
-    texts = docs.select(F.col(id_col).cast("long").alias("__id"), utf8(text_col).alias("text"))
-    left = pairs.join(texts, pairs["b"] == texts["__id"]).select("a", "b", F.col("text").alias("text_b"))
-    both = left.join(texts, left["a"] == texts["__id"]).select("a", "b", F.col("text").alias("text_a"), "text_b")
+def verify(texts: DataFrame, pairs: DataFrame, k: int, least: float) -> DataFrame:
+    """The pairs (a, b) of representatives whose texts are linked. Texts go to the pairs one side at a time; Spark may split a hot one in both joins."""
+    left = pairs.join(texts, pairs["b"] == texts["rep"]).select("a", "b", F.col("text").alias("text_b"))
+    both = left.join(texts, left["a"] == texts["rep"]).select("a", "b", F.col("text").alias("text_a"), "text_b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes(plain_word)
@@ -153,10 +164,9 @@ def verify(docs: DataFrame, pairs: DataFrame, k: int, least: float, id_col: str,
     return both.mapInArrow(check, "a long, b long").distinct()
 
 
-def lonely(docs: DataFrame, members: DataFrame, k: int, least: float, id_col: str, text_col: str) -> DataFrame:
+def lonely(texts: DataFrame, members: DataFrame, k: int, least: float) -> DataFrame:
     """(rep) of the members (rep, n) that no other member can be linked to: more than 1 - ``least`` of their shingles occur in no other."""
-    texts = docs.select(F.col(id_col).cast("long").alias("__id"), utf8(text_col).alias("text"))
-    rows = texts.join(members, texts["__id"] == members["rep"]).select("rep", "text")
+    rows = texts.join(members, "rep").select("rep", "text")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes(plain_word)
@@ -194,20 +204,29 @@ def near_duplicates(
     docs: DataFrame, least: float = 0.8, bands: int = 24, picks: int = 4, k: int = K, small: int = 8, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per document: doc_id, class_id (smallest id of its class) and class_size (rows)."""
+    return _classes(docs, least, bands, picks, k, small, id_col, text_col).select("doc_id", "class_id", "class_size")
+
+
+def _classes(docs: DataFrame, least: float, bands: int, picks: int, k: int, small: int, id_col: str, text_col: str) -> DataFrame:
+    """One row per document: doc_id, raw (digest of its text), root (key of its class), class_id and class_size."""
     thin = materialize(sketches(docs, bands, picks, k, id_col, text_col), "sketches")
-    per_run = thin.groupBy("words", F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("run")).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"), F.min(F.struct("n", "bands")).alias("s"))
-    reps = materialize(per_run.groupBy("words").agg(F.min("rep").alias("rep"), F.sum("rows").alias("rows"), F.min("s").alias("s")), "representatives")
+    smallest = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "raw"))
+    per_run = thin.groupBy("words", F.pmod(F.xxhash64("raw", "doc_id"), F.lit(64)).alias("run")).agg(smallest.alias("first"), F.count(F.lit(1)).alias("rows"), F.min(F.struct("n", "bands")).alias("s"))
+    # A representative's key is a number of its own, fixed as the table is stored; ids may be null or shared.
+    whole = per_run.groupBy("words").agg(F.min("first").alias("first"), F.sum("rows").alias("rows"), F.min("s").alias("s"))
+    reps = materialize(whole.select(F.monotonically_increasing_id().alias("rep"), "words", "first.doc_id", "first.raw", "rows", "s"), "representatives")
 
-    banded = reps.filter("rep is not null and s.n > 0").select("rep", F.col("s.n").alias("n"), F.explode("s.bands").alias("value"))
+    banded = reps.filter("s.n > 0").select("rep", F.col("s.n").alias("n"), F.explode("s.bands").alias("value"))
     sizes = banded.groupBy("value").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("rep", "n")).alias("lead")).filter("size > 1")
     members = materialize(lookup(banded, sizes, ["value"], ["rep"], salts=16).filter("size is not null"), "buckets")
+    texts = materialize(texts_of(docs, reps.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "doc_id", "raw"), id_col, text_col), "texts")
     close = lambda a, b: F.least(a, b) >= least * F.greatest(a, b)
     big = members.filter(F.col("size") > small)
     leads = big.filter((F.col("rep") > F.col("lead.rep")) & close(F.col("n"), F.col("lead.n")))
     few = _table_pairs(members.filter(F.col("size") <= small).select("value", "rep", "n"), ["value"], close)
     nearest = leads.groupBy(F.col("rep").alias("b")).agg(F.min("lead.rep").alias("a")).select("a", "b")
     tried = materialize(few.union(nearest).distinct(), "pairs")
-    links = materialize(verify(docs, tried, k, least, id_col, text_col), "links")
+    links = materialize(verify(texts, tried, k, least), "links")
     roots = components(links)
 
     def rooted(rows: DataFrame, name: str, root: str) -> DataFrame:
@@ -221,7 +240,7 @@ def near_duplicates(
     open_ = lookup(big.select("value", "rep", "n", "size"), homes, ["value"], ["rep"], salts=16)
     mixed = rooted(open_, "rep", "root").groupBy("value").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("value")
     open_ = lookup(open_, mixed.withColumn("mixed", F.lit(True)), ["value"], ["rep"], salts=16).filter("mixed").drop("mixed")
-    alone = lonely(docs, open_.select("rep", "n").distinct(), k, least, id_col, text_col)
+    alone = lonely(texts, open_.select("rep", "n").distinct(), k, least)
     open_ = materialize(open_.join(alone, "rep", "left_anti"), "open")
     largest = open_.agg(F.max("size")).first()[0] or 0
     reach, done = small // 2, largest == 0
@@ -238,7 +257,7 @@ def near_duplicates(
         new = materialize(new.join(tried, ["a", "b"], "left_anti"), "pairs")
         if not new.isEmpty():
             tried = materialize(tried.union(new), "tried")
-            found = materialize(verify(docs, new, k, least, id_col, text_col), "links")
+            found = materialize(verify(texts, new, k, least), "links")
             if not found.isEmpty():
                 links = materialize(links.union(found), "links")
                 roots = components(links)
@@ -246,10 +265,9 @@ def near_duplicates(
             break
         reach *= 4
     root_of = roots.select(F.col("id").alias("rep"), "root")
-    groups = reps.join(root_of, "rep", "left").select("words", F.coalesce("root", "rep").alias("class_id"), "rows")
-    sized = groups.join(groups.groupBy("class_id").agg(F.sum("rows").alias("class_size")).withColumnRenamed("class_id", "c"), F.col("class_id").eqNullSafe(F.col("c")))
-    found = lookup(thin.select("doc_id", "words"), sized.select("words", "class_id", "class_size"), ["words"], ["doc_id"])
-    return found.select("doc_id", "class_id", "class_size")
+    groups = reps.join(root_of, "rep", "left").select("words", "doc_id", F.coalesce("root", "rep").alias("root"), "rows")
+    sized = groups.join(groups.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("rows").alias("class_size")), "root")
+    return lookup(thin.select("doc_id", "raw", "words"), sized.select("words", "root", "class_id", "class_size"), ["words"], ["doc_id", "raw"])
 
 
 def _table_pairs(rows: DataFrame, keys: list[str], close) -> DataFrame:
@@ -269,12 +287,14 @@ def _cross_pairs(pivots: DataFrame, rows: DataFrame, close, least: float) -> Dat
     return met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns: the document with the smallest id of every class."""
-    classes = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    # Ids are shuffled, texts once; of rows that share a kept id the smallest text stays.
-    stay = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")).alias("__id")).distinct()
-    keyed = docs.withColumn("__id", F.coalesce(F.col(id_col).cast("string"), F.lit("\0")))
-    joined = keyed.join(stay, "__id", "left_semi")
-    nth = F.row_number().over(W.partitionBy("__id").orderBy(F.xxhash64(text_col)))
+def near_dedup(
+    docs: DataFrame, least: float = 0.8, bands: int = 24, picks: int = 4, k: int = K, small: int = 8, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The rows of ``docs`` that stay, all columns: one of every class, that with the smallest id, if it has one."""
+    classes = _classes(docs, least, bands, picks, k, small, id_col, text_col)
+    # Ids and digests are shuffled, texts once; of rows that share the smallest id the smallest digest stays.
+    stay = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("root").agg(F.min(F.struct("doc_id", "raw")).alias("s")).select(F.col("s.doc_id").alias("__stay"), F.col("s.raw").alias("__digest"))
+    keyed = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__raw", raw_digest(text_col))
+    joined = keyed.join(stay, (F.col("__raw") == F.col("__digest")) & F.col("__id").eqNullSafe(F.col("__stay")), "left_semi")
+    nth = F.row_number().over(W.partitionBy("__id", "__raw").orderBy(F.xxhash64(text_col)))
     return joined.withColumn("__nth", nth).filter("__nth = 1").select(*docs.columns)

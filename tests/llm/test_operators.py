@@ -172,6 +172,17 @@ def test_near_dedup_lengths(spark):
     assert {(r["doc_id"], r["class_id"], r["class_size"]) for r in got} == {(0, 0, 1), *((i, 1, 13) for i in range(1, 14))}
 
 
+def test_near_dedup_null_and_shared_ids(spark):
+    base = [f"w{i}" for i in range(150)]
+    t = [" ".join(base), edited(base, {70}, "a"), "one two three four five six", "six five four three two one", "seven eight", "nine ten"]
+    rows = [(None, t[0]), (None, t[1]), (None, t[2]), (None, t[2]), (None, t[3]), (5, t[4]), (5, t[5]), (5, t[5])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["class_id"], r["class_size"]) for r in near_dedup.near_duplicates(docs).collect())
+    assert got == {(None, None, 2): 4, (None, None, 1): 1, (5, 5, 1): 1, (5, 5, 2): 2}
+    kept = Counter(r["text"] for r in near_dedup.near_dedup(docs).collect())
+    assert kept.pop(t[0], 0) + kept.pop(t[1], 0) == 1 and kept == Counter(t[2:])
+
+
 def test_alignment():
     rng = np.random.default_rng(0)
     for _ in range(200):
