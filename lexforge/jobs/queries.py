@@ -266,7 +266,7 @@ def refused(spark, sf):
 
 
 def _analyzed(spark, sf):
-    d = X.table(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 200).alias("raw"))
+    d = X.table(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("raw"))
     l = X.table(spark, sf, "labels")
     j = d.join(l.groupBy(F.col("doc_id").alias("query_id")).agg(F.max("quality").alias("quality")), "query_id", "left")
     return j.select(

@@ -27,6 +27,17 @@ def test_against_sql(spark, name):
     assert rows(got) == rows(want)
 
 
+@pytest.mark.parametrize("name", ["analyzer_defaults", "response"])
+def test_whole_text(spark, name):
+    """Questions without a rewritten form are the whole texts."""
+    from lexforge.jobs.queries import QUERIES
+
+    text = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    got = {r["query_id"]: r["query"] for r in QUERIES[name](spark, SF).select("query_id", "query").collect()}
+    plain = [i for i in got if i % 3]
+    assert any(len(text[i]) > 200 for i in plain) and all(got[i] == text[i] for i in plain)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
