@@ -53,17 +53,34 @@ def power_at_least(base: int, n: int) -> int:
     return max(1, math.ceil(math.log(max(n, 2)) / math.log(base) - 1e-9))
 
 
-def lookup(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str], salts: int = 64) -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str], salts: int | None = None) -> DataFrame:
     """Left join to a table that has at most one row for each key, safe for hot keys.
 
-    Rows of ``left`` are dealt into ``salts`` parts by a hash of the ``spread``
-    columns. Only distinct (key, part) pairs meet ``right``, so a key that holds
-    a third of all rows sends ``salts`` rows to that join, and its own rows are
-    then joined over ``salts`` separate keys.
+    Rows of ``left`` are dealt into ``salts`` parts (by default twice the shuffle
+    width) by a hash of the ``spread`` columns. Only distinct (key, part) pairs meet
+    ``right``, so a key that holds a third of all rows sends ``salts`` rows to that
+    join, and its own rows are then joined over ``salts`` separate keys.
     """
-    dealt = left.withColumn("__part", F.pmod(F.xxhash64(*spread), F.lit(salts)))
-    found = dealt.select(*keys, "__part").distinct().join(right, keys)
-    return dealt.join(found, [*keys, "__part"], "left").drop("__part")
+    (part,) = fresh(left, "part")
+    dealt = left.withColumn(part, F.pmod(F.xxhash64(*spread), F.lit(salts or 2 * shuffle_width(left.sparkSession))))
+    found = dealt.select(*keys, part).distinct().join(right, keys)
+    return dealt.join(found, [*keys, part], "left").drop(part)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like the given ones that ``df`` does not have, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while f"__{name}" in taken:
+            name += "_"
+        out.append(f"__{name}")
+        taken.add(out[-1])
+    return out
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A number that orders rows by all of their columns (maps, which have no order, as text)."""
+    return F.xxhash64(*[F.col(f"`{f.name}`").cast("string") if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema.fields])
 
 
 def text_of(column: str) -> Column:

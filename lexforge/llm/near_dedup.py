@@ -11,41 +11,44 @@ m is the longest increasing subsequence of the positions, kept to a band around
 diagonal: a pair further from it than the similarity allows cannot be matched.
 
 1. Texts with the same word sequence are one class at once; one of them, the
-   representative, goes on. A group of a third of all rows is folded here, by the
-   tree of merges of the exact dedup.
+   representative, goes on. A group of a third of all rows is folded here, in two
+   steps of aggregation.
 2. An Order MinHash sketch takes, for each of ``bands`` hash functions, the
    ``picks`` smallest labelled shingles and keeps their text order. Texts at 0.8 share
    a given band with probability of about 0.8 ** picks: with 24 bands of 4 picks
-   all bands miss with probability 0.000003.
-3. Texts that share a band are a bucket. In a bucket of up to ``small`` texts all
-   pairs are candidates. In a larger one a text is first compared with the smallest of
-   the smallest ids of its large buckets.
+   all bands miss with probability 0.000003. Texts that share a band are a bucket.
+3. In a bucket of up to ``small`` texts all pairs are candidates. A larger one is a
+   star: each text is compared with the bucket's most central one, that whose band
+   values are shared most often. Near copies of one text have nearly the same centre
+   in all their buckets, so a star has one row for each text and not for each pair.
 4. Candidates are verified by alignment; links make components by label
    propagation in Spark, with a stored table in each round.
-5. The rest of the large buckets is listed to its end. A pair in one class needs no
-   comparison. Left out first are texts that can have no partner: a link at 0.8 needs
-   0.8 of a text's shingles in the other, so a text is done if fewer of its shingles
-   occur in any other text of the buckets that are left. The home of a bucket is the
-   class that most of its texts are in. Every pair of different classes has a text
-   outside the home: rounds take four times as many of these as the round before, and
-   of the home's texts (near copies often meet only through one of them), and compare
-   each with all texts of its bucket that are in another class and near in length. The
-   last round takes all that are left, whatever the rounds before have found.
+5. What the stars leave open is found by an exact filter, over all texts of large
+   buckets that hold more than one component. Two linked texts of a and b shingles
+   share at least t / (1 + t) * (a + b) of them, t = 0.8. Shingles that no other of
+   these texts has count for nothing; the others are put in order of rarity. If two
+   texts share that many, they share one of the first ``own - needed + 1`` of each.
+   Texts meet on these few rare shingles, separately for every pair of length
+   steps (the bound is tight only if the other's length is known), and each text
+   outside a group's commonest component is a candidate with those of other
+   components. Near copies with too many changes of their own have nothing left to
+   meet on. No pair at 0.8 or more among these texts is lost.
 
 Nothing is collected to the driver but counts, and no bucket is gathered in a task.
 
 Defined results: null text counts as empty; all texts without a word are one class;
-a text of fewer than five words has one shingle, all its words; a null id is a
-document like any other, and the class of a group is its smallest id (null if no
-document has one); different texts may share an id and are apart unless they are
-linked; repeated rows get the same class; an empty table gives an empty result; other columns are not
-read.
+a text of fewer than five words has one shingle, all its words; ids may be of any type
+that has an order; a null id is a document like any other, and the class of a group is
+its smallest id (null if no document has one); different texts may share an id and are
+apart unless they are linked; repeated rows get the same class; an empty table gives an
+empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import bisect
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,7 +57,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import lookup, materialize
+from .common import fresh, lookup, materialize, row_hash
 from .shingles import MULT, WordHashes, labelled, mix, plain_word, windows
 from .tokens import utf8
 
@@ -67,18 +70,19 @@ def text_shingles(data: bytes, hashes: WordHashes, k: int = K) -> np.ndarray:
 
 def sketch(grams: np.ndarray, bands: int, picks: int) -> np.ndarray:
     """One 64-bit value per band: the ``picks`` smallest shingles under the band's hash, hashed in text order."""
-    # The band's number is part of its value, so values of different bands do not meet.
     take = min(picks, len(grams))
-    picked = np.empty((take, bands), dtype=np.uint64)
-    for b in range(bands):
-        h = (grams ^ np.uint64((b * 0x632BE59BD9B4E019 + 0x1F123BB5) & 0xFFFFFFFFFFFFFFFF)) * MULT
+    seeds = np.array([(b * 0x632BE59BD9B4E019 + 0x1F123BB5) & 0xFFFFFFFFFFFFFFFF for b in range(bands)], dtype=np.uint64)
+    picked = np.empty((bands, take), dtype=np.uint64)
+    step = max(1, 16384 // len(grams))  # bands at once, so that the work stays in the cache
+    for lo in range(0, bands, step):
+        h = (grams ^ seeds[lo : lo + step, None]) * MULT
         h ^= h >> np.uint64(32)
-        at = np.argpartition(h, take - 1)[:take] if take < len(h) else np.arange(len(h))
-        at.sort()
-        picked[:, b] = grams[at]
+        at = np.argpartition(h, take - 1, axis=1)[:, :take] if take < len(grams) else np.broadcast_to(np.arange(take), (len(h), take))
+        picked[lo : lo + step] = grams[np.sort(at, axis=1)]
+    # The band's number is part of its value, so values of different bands do not meet.
     out = np.arange(1, bands + 1, dtype=np.uint64)
-    for row in picked:
-        out = (out ^ row) * MULT
+    for k in range(take):
+        out = (out ^ picked[:, k]) * MULT
         out ^= out >> np.uint64(31)
     return out
 
@@ -118,7 +122,7 @@ def raw_digest(column: str) -> Column:
 
 def sketches(docs: DataFrame, bands: int, picks: int, k: int, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, raw binary, words binary, n, bands array): digests of the text and of its word sequence, the number of shingles and the band values."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("utf8"), raw_digest(text_col).alias("raw"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), utf8(text_col).alias("utf8"), raw_digest(text_col).alias("raw"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes(plain_word)
@@ -134,12 +138,13 @@ def sketches(docs: DataFrame, bands: int, picks: int, k: int, id_col: str, text_
             flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values) if values else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(digest, pa.binary()), pa.array(n, pa.int32()), flat], ["doc_id", "raw", "words", "n", "bands"])
 
-    return rows.mapInArrow(make, "doc_id long, raw binary, words binary, n int, bands array<long>")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(make, f"doc_id {kind}, raw binary, words binary, n int, bands array<long>")
 
 
 def texts_of(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(rep, text) of the representatives (rep, doc_id, raw), one row each; rows are found by id and text, as ids may be null or shared."""
-    rows = docs.select(F.col(id_col).cast("long").alias("__id"), raw_digest(text_col).alias("__raw"), utf8(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("__id"), raw_digest(text_col).alias("__raw"), utf8(text_col).alias("text"))
     found = rows.join(reps, (rows["__raw"] == reps["raw"]) & rows["__id"].eqNullSafe(reps["doc_id"])).select("rep", "text")
     return found.dropDuplicates(["rep"])
 
@@ -164,20 +169,74 @@ def verify(texts: DataFrame, pairs: DataFrame, k: int, least: float) -> DataFram
     return both.mapInArrow(check, "a long, b long").distinct()
 
 
-def lonely(texts: DataFrame, members: DataFrame, k: int, least: float) -> DataFrame:
-    """(rep) of the members (rep, n) that no other member can be linked to: more than 1 - ``least`` of their shingles occur in no other."""
-    rows = texts.join(members, "rep").select("rep", "text")
+def rare_first(texts: DataFrame, k: int) -> DataFrame:
+    """(rep, n, alive): number of shingles and those that another text has too, rarest first."""
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes(plain_word)
         for b in batches:
             for rep, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 found = text_shingles(text, hashes, k).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), rep)), pa.array(found)], ["rep", "gram"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), rep)), pa.array(np.full(len(found), len(found), np.int32)), pa.array(found)], ["rep", "n", "gram"])
+
+    rows = materialize(texts.mapInArrow(grams, "rep long, n int, gram long"), "shingles")
+    shared = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1")
+    met = lookup(rows, shared, ["gram"], ["rep"]).filter("texts is not null")
+    return met.groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("texts", "gram")))["gram"].alias("alive"))
+
+
+STEPS = 8  # length steps within a factor of ``least``
 
-    met = rows.mapInArrow(grams, "rep long, gram long").groupBy("gram").agg(F.min("rep").alias("rep"), F.max("rep").alias("other")).filter("rep = other")
-    own = met.groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
-    return own.join(members, "rep").filter(F.col("n") - F.col("own") < least * F.col("n") - 1e-6).select("rep")
+
+def rare_prefixes(ranked: DataFrame, least: float) -> DataFrame:
+    """(low, high, gram, rep, n, is_low): the shingles on which a text meets those of another length step.
+
+    low and high are the steps of the two texts, is_low tells which is this one's.
+    """
+    width = math.log(1 / least) / STEPS
+
+    def step(n: float) -> int:
+        return math.floor(math.log(n) / width + 1e-9)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            low, high, gram, reps, ns, is_low = [], [], [], [], [], []
+            for rep, n, alive in zip(*[b.column(c).to_pylist() for c in range(3)], strict=True):
+                own = step(n)
+                for other in range(step(least * n), step(n / least) + 1):
+                    shortest = max(least * n, math.exp(other * width) - 1e-6)
+                    needed = math.ceil(least / (1 + least) * (n + shortest) - 1e-6)
+                    first = alive[: max(0, len(alive) - needed + 1)]
+                    if not first:
+                        break  # and longer texts need more
+                    gram += first
+                    for out, value in ((low, min(own, other)), (high, max(own, other)), (reps, rep), (ns, n), (is_low, own <= other)):
+                        out += [value] * len(first)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(low, pa.int32()), pa.array(high, pa.int32()), pa.array(gram, pa.int64()), pa.array(reps, pa.int64()), pa.array(ns, pa.int32()), pa.array(is_low, pa.bool_())],
+                ["low", "high", "gram", "rep", "n", "is_low"],
+            )
+
+    return ranked.mapInArrow(emit, "low int, high int, gram long, rep long, n int, is_low boolean")
+
+
+def rare_pairs(prefixes: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """(a, b), a < b, of texts of different components that meet on a rare shingle."""
+    key = ["low", "high", "gram"]
+    known = roots.select(F.col("id").alias("rep"), "root")
+    rows = materialize(prefixes.join(known, "rep", "left").withColumn("root", F.coalesce("root", "rep")), "prefixes")
+    per_root = rows.groupBy(*key, "root").agg(F.count(F.lit(1)).alias("texts"))
+    homes = per_root.groupBy(*key).agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("texts", "root"))["root"].alias("home")).filter("roots > 1").drop("roots")
+    mixed = materialize(lookup(rows, homes, key, ["rep"]).filter("home is not null"), "mixed")
+    left = mixed.filter("root <> home").select(*key, F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("root").alias("root_x"), F.col("is_low").alias("low_x"))
+    right = mixed.select(*key, F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("root").alias("root_y"), F.col("is_low").alias("low_y"))
+    steps = (F.col("low") == F.col("high")) | (F.col("low_x") != F.col("low_y"))
+    met = left.join(right, key).filter((F.col("root_x") != F.col("root_y")) & steps & _close("nx", "ny", least))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _close(a: str, b: str, least: float) -> Column:
+    return F.least(a, b) >= least * F.greatest(a, b)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -207,6 +266,19 @@ def near_duplicates(
     return _classes(docs, least, bands, picks, k, small, id_col, text_col).select("doc_id", "class_id", "class_size")
 
 
+def _candidates(members: DataFrame, small: int, least: float) -> DataFrame:
+    """(a, b), a < b: all pairs of small buckets and the stars of large ones, from (value, rep, n, size)."""
+    few = members.filter(F.col("size") <= small)
+    one, two = (few.select("value", F.col("rep").alias(r), F.col("n").alias(n)) for r, n in (("a", "na"), ("b", "nb")))
+    pairs = one.join(two, "value").filter((F.col("a") < F.col("b")) & _close("na", "nb", least)).select("a", "b")
+    large = members.filter(F.col("size") > small)
+    central = large.groupBy("rep").agg(F.sum("size").alias("score"))
+    centres = large.join(central, "rep").groupBy("value").agg(F.max(F.struct("score", (-F.col("rep")).alias("minus"), F.col("n").alias("nc"))).alias("c"))
+    rays = lookup(large.select("value", "rep", "n"), centres.select("value", (-F.col("c.minus")).alias("centre"), "c.nc"), ["value"], ["rep"])
+    rays = rays.filter((F.col("rep") != F.col("centre")) & _close("n", "nc", least))
+    return pairs.union(rays.select(F.least("rep", "centre"), F.greatest("rep", "centre"))).distinct()
+
+
 def _classes(docs: DataFrame, least: float, bands: int, picks: int, k: int, small: int, id_col: str, text_col: str) -> DataFrame:
     """One row per document: doc_id, raw (digest of its text), root (key of its class), class_id and class_size."""
     thin = materialize(sketches(docs, bands, picks, k, id_col, text_col), "sketches")
@@ -217,84 +289,42 @@ def _classes(docs: DataFrame, least: float, bands: int, picks: int, k: int, smal
     reps = materialize(whole.select(F.monotonically_increasing_id().alias("rep"), "words", "first.doc_id", "first.raw", "rows", "s"), "representatives")
 
     banded = reps.filter("s.n > 0").select("rep", F.col("s.n").alias("n"), F.explode("s.bands").alias("value"))
-    sizes = banded.groupBy("value").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("rep", "n")).alias("lead")).filter("size > 1")
-    members = materialize(lookup(banded, sizes, ["value"], ["rep"], salts=16).filter("size is not null"), "buckets")
+    sizes = banded.groupBy("value").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    members = materialize(lookup(banded, sizes, ["value"], ["rep"]).filter("size is not null"), "buckets")
     texts = materialize(texts_of(docs, reps.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "doc_id", "raw"), id_col, text_col), "texts")
-    close = lambda a, b: F.least(a, b) >= least * F.greatest(a, b)
-    big = members.filter(F.col("size") > small)
-    leads = big.filter((F.col("rep") > F.col("lead.rep")) & close(F.col("n"), F.col("lead.n")))
-    few = _table_pairs(members.filter(F.col("size") <= small).select("value", "rep", "n"), ["value"], close)
-    nearest = leads.groupBy(F.col("rep").alias("b")).agg(F.min("lead.rep").alias("a")).select("a", "b")
-    tried = materialize(few.union(nearest).distinct(), "pairs")
-    links = materialize(verify(texts, tried, k, least), "links")
-    roots = components(links)
-
-    def rooted(rows: DataFrame, name: str, root: str) -> DataFrame:
-        """The rows with the class so far of the id in column ``name``."""
-        known = roots.select(F.col("id").alias(name), F.col("root").alias("__root"))
-        return rows.join(known, name, "left").withColumn(root, F.coalesce("__root", name)).drop("__root")
-
-    # The home of a bucket is the class that most of its texts are in now; it only grows.
-    shares = rooted(big, "rep", "root").groupBy("value", "root").agg(F.count(F.lit(1)).alias("texts"))
-    homes = shares.groupBy("value").agg(F.max(F.struct("texts", "root"))["root"].alias("home"))
-    open_ = lookup(big.select("value", "rep", "n", "size"), homes, ["value"], ["rep"], salts=16)
-    mixed = rooted(open_, "rep", "root").groupBy("value").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("value")
-    open_ = lookup(open_, mixed.withColumn("mixed", F.lit(True)), ["value"], ["rep"], salts=16).filter("mixed").drop("mixed")
-    alone = lonely(texts, open_.select("rep", "n").distinct(), k, least)
-    open_ = materialize(open_.join(alone, "rep", "left_anti"), "open")
-    largest = open_.agg(F.max("size")).first()[0] or 0
-    reach, done = small // 2, largest == 0
-    while not done:
-        # Round with the last turns takes every text outside its bucket's home.
-        done = reach >= largest
-        now = rooted(rooted(open_, "rep", "root"), "home", "home_root").withColumn("inside", F.col("root") == F.col("home_root"))
-        state = now.groupBy("value").agg(F.count_if("inside").alias("n_inside"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1")
-        now = materialize(lookup(now.drop("home_root"), state, ["value"], ["rep"], salts=16).filter("r0 is not null").drop("r0", "r1"), "apart")
-        turn = F.xxhash64("value", "rep")
-        outer = now.filter(~F.col("inside") & (F.pmod(turn, F.col("size")) < reach))
-        inner = now.filter(F.col("inside") & (F.pmod(turn, F.col("n_inside")) < reach))
-        new = _cross_pairs(outer, now, close, least).union(_cross_pairs(inner, now.filter(~F.col("inside")), close, least)).distinct()
-        new = materialize(new.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if not new.isEmpty():
-            tried = materialize(tried.union(new), "tried")
-            found = materialize(verify(texts, new, k, least), "links")
-            if not found.isEmpty():
-                links = materialize(links.union(found), "links")
-                roots = components(links)
-        elif now.isEmpty():
-            break
-        reach *= 4
+    tried = materialize(_candidates(members, small, least), "pairs")
+    roots = components(materialize(verify(texts, tried, k, least), "links"))
+
+    # Texts of large buckets with more than one component: the exact filter takes them all.
+    large = members.filter(F.col("size") > small).select("value", "rep").join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    mixed = large.groupBy("value").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1")
+    open_ = lookup(large.select("value", "rep"), mixed, ["value"], ["rep"]).filter("r0 is not null").select("rep").distinct()
+    ranked = rare_first(texts.join(open_, "rep", "left_semi"), k)
+    more = materialize(rare_pairs(rare_prefixes(ranked, least), roots, least).join(tried, ["a", "b"], "left_anti"), "pairs")
+    if not more.isEmpty():
+        # Of the links so far a star of each component is enough.
+        stars = roots.filter("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b"))
+        roots = components(verify(texts, more, k, least).union(stars))
     root_of = roots.select(F.col("id").alias("rep"), "root")
     groups = reps.join(root_of, "rep", "left").select("words", "doc_id", F.coalesce("root", "rep").alias("root"), "rows")
     sized = groups.join(groups.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("rows").alias("class_size")), "root")
     return lookup(thin.select("doc_id", "raw", "words"), sized.select("words", "root", "class_id", "class_size"), ["words"], ["doc_id", "raw"])
 
 
-def _table_pairs(rows: DataFrame, keys: list[str], close) -> DataFrame:
-    """(a, b), a < b, of all pairs in tables that hold a bounded number of rows."""
-    left = rows.select(*keys, F.col("rep").alias("a"), F.col("n").alias("na"))
-    right = rows.select(*keys, F.col("rep").alias("b"), F.col("n").alias("nb"))
-    return left.join(right, keys).filter((F.col("a") < F.col("b")) & close(F.col("na"), F.col("nb"))).select("a", "b")
-
-
-def _cross_pairs(pivots: DataFrame, rows: DataFrame, close, least: float) -> DataFrame:
-    """(a, b), a < b, of the pivots with the texts of their buckets that are in another class and near in length."""
-    # Lengths that may be linked are in the same or in neighbouring steps.
-    step = F.floor(F.log("n") / F.log(F.lit(1 / least))).cast("int")
-    left = pivots.select("value", F.explode(F.array(*[step + d for d in (-1, 0, 1)])).alias("step"), F.col("rep").alias("p"), F.col("n").alias("np"), F.col("root").alias("root_p"))
-    right = rows.select("value", step.alias("step"), F.col("rep").alias("q"), F.col("n").alias("nq"), F.col("root").alias("root_q"))
-    met = left.join(right, ["value", "step"]).filter((F.col("root_p") != F.col("root_q")) & close(F.col("np"), F.col("nq")))
-    return met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
-
-
 def near_dedup(
     docs: DataFrame, least: float = 0.8, bands: int = 24, picks: int = 4, k: int = K, small: int = 8, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns: one of every class, that with the smallest id, if it has one."""
+    """The rows of ``docs`` that stay, all columns: one of every class, that with the smallest id, if it has one.
+
+    Of rows equal in id and text the one with the smallest hash of all columns stays.
+    """
     classes = _classes(docs, least, bands, picks, k, small, id_col, text_col)
+    named, raw, nth = fresh(docs, "id", "raw", "nth")
     # Ids and digests are shuffled, texts once; of rows that share the smallest id the smallest digest stays.
-    stay = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("root").agg(F.min(F.struct("doc_id", "raw")).alias("s")).select(F.col("s.doc_id").alias("__stay"), F.col("s.raw").alias("__digest"))
-    keyed = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__raw", raw_digest(text_col))
-    joined = keyed.join(stay, (F.col("__raw") == F.col("__digest")) & F.col("__id").eqNullSafe(F.col("__stay")), "left_semi")
-    nth = F.row_number().over(W.partitionBy("__id", "__raw").orderBy(F.xxhash64(text_col)))
-    return joined.withColumn("__nth", nth).filter("__nth = 1").select(*docs.columns)
+    stay = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("root").agg(F.min(F.struct("doc_id", "raw")).alias("s"))
+    stay = stay.select(F.col("s.doc_id").alias(named), F.col("s.raw").alias(raw))
+    digest = raw_digest(text_col)
+    keyed = docs.withColumn(nth, digest)
+    joined = keyed.join(stay, (keyed[nth] == stay[raw]) & docs[id_col].eqNullSafe(stay[named]), "left_semi")
+    first = F.row_number().over(W.partitionBy(nth, id_col).orderBy(row_hash(docs)))
+    return joined.withColumn(raw, first).filter(F.col(raw) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
