@@ -18,17 +18,20 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 
 _own_dir: list[str] = []
+_stored: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and every executor can read.
 
-    It is the one the cluster names in ``spark.checkpoint.dir``; a temporary
-    folder is made only where that is unset, as in tests on one machine.
+    It is the one the cluster names in ``spark.checkpoint.dir``. Where that is unset, a
+    temporary folder is made if everything runs in one JVM, as in tests; else it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="spark-lexforge-"))
     return _own_dir[0]
@@ -42,9 +45,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexforge/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _stored.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the tables that this session's operators stored; call it when their results are written."""
+    jvm = spark.sparkContext._jvm
+    while _stored:
+        path = jvm.org.apache.hadoop.fs.Path(_stored.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
