@@ -12,7 +12,7 @@ captures then join over salted keys.
 
 Defined results: a null or unreadable URL or a null time is never listed; repeated
 entries have no effect; of entries of the same pattern and time the last action in
-order add < remove wins; repeated captures are each judged; an empty list blocks
+order add < remove wins; a prefix covers whole steps of a path; repeated captures are each judged; an empty list blocks
 nothing; an empty capture table gives an empty result; extra columns are not read.
 """
 
@@ -30,8 +30,9 @@ PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)"
 
 
 def url_host(url: Column) -> Column:
-    """Lower-case host of a URL, or null."""
-    return F.nullif(F.lower(F.regexp_extract(url, HOST, 1)), F.lit(""))
+    """Lower-case host of a URL without a dot at its end, or null; a host with white space is none."""
+    host = F.lower(F.rtrim(F.regexp_extract(url, HOST, 1), F.lit(".")))
+    return F.when((host != "") & ~host.rlike(r"\s"), host)
 
 
 def url_path(url: Column) -> Column:
@@ -69,9 +70,12 @@ def judge_captures(captures: DataFrame, entries: DataFrame, id_col: str = "page_
     # Intervals that can apply to a host: as many as the list has for its few parent domains, not as the host has captures.
     per_host = reach.groupBy("host").agg(F.collect_list(F.struct("list_name", "domain", "prefix", "valid_from", "valid_until")).alias("rules"))
     joined = lookup(seen, per_host, ["host"], ["id"])
+    path = F.col("path")
+    # "/en" covers "/en" and "/en/x", not "/english".
+    under = lambda prefix: path.startswith(prefix) & (prefix.endswith("/") | (path == prefix) | path.startswith(F.concat(prefix, F.lit("/"))))
     active = F.filter(
         F.coalesce("rules", F.array().cast("array<struct<list_name:string,domain:string,prefix:string,valid_from:date,valid_until:date>>")),
-        lambda r: (r["valid_from"] <= F.col("fetched")) & (r["valid_until"].isNull() | (F.col("fetched") < r["valid_until"])) & F.col("path").startswith(r["prefix"]),
+        lambda r: (r["valid_from"] <= F.col("fetched")) & (r["valid_until"].isNull() | (F.col("fetched") < r["valid_until"])) & under(r["prefix"]),
     )
     return joined.withColumn("active", active).select(
         F.col("id").alias(id_col), "host", F.col("fetched").alias(time_col),
