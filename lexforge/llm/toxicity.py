@@ -7,11 +7,12 @@ embeddings and the softmax are trained jointly in numpy, so a misspelling that w
 never seen shares the vectors of the n-grams it has in common with known words.
 
 Training takes a bounded sample of labelled rows: at most ``max_positive`` and
-``max_negative`` of them, the first by a seeded hash of the id. Buckets whose weight
-does not differ between the classes (Welch's t below ``least_t``) keep the zero
-vector, which keeps rare n-grams from being learned by heart; that statistic is
-summed by Spark, and only the sample's weights of the other buckets reach the driver,
-never texts.
+``max_negative`` of them, the first by a seeded hash of the id. Every n-gram of the
+sample has a vector of its own. What it adds to a text is scaled: by the spread of
+its weights, and by a smooth function of Welch's t between the classes,
+t ** 8 / (t ** 8 + ``typical_t`` ** 8), so that n-grams which differ no more than by
+chance learn slowly and are not learned by heart. The statistics are summed by Spark,
+one row a bucket; of the sample only bucket weights reach the driver, never texts.
 
 Scoring covers every whole text: for a trained model a bucket's part of the logit is
 one number, so the model sent to the tasks is one array of ``buckets`` numbers, and a
@@ -21,8 +22,9 @@ fixed number.
 Defined results: null and empty texts have no word and get the score of the bias
 alone; a null or missing label is not learned from; repeated rows are scored alike;
 an id labelled twice counts once per label row; without labels of both kinds every
-text gets the class that there is (0 if none); empty table gives an empty result;
-other columns are not read.
+text gets the class that there is (0 if none); an empty table gives an empty result;
+ids may be of any type; a column named like the score is replaced by ``score`` and kept
+by ``drop_toxic``; other columns are kept and not read.
 """
 
 from __future__ import annotations
@@ -36,9 +38,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import materialize
+from .common import fresh, materialize
 from .tokens import utf8
 
 CACHE_WORDS = 600_000
@@ -122,43 +123,39 @@ def bucket_statistics(texts: DataFrame, buckets: int, n_min: int, n_max: int) ->
     return rows.groupBy("bucket", "toxic").agg(*[F.sum(c).alias(c) for c in ("n", "total", "squares")])
 
 
-def informative_buckets(statistics: DataFrame, n_docs: tuple[int, int], least_t: float, least_docs: int, most: int) -> DataFrame:
-    """(bucket, deviation) of the at most ``most`` buckets whose mean weight differs most between the classes."""
-    one = lambda c, y: F.coalesce(F.sum(F.when(F.col("toxic") == y, F.col(c))), F.lit(0.0))
-    wide = statistics.groupBy("bucket").agg(F.sum("n").alias("docs"), *[one(c, y).alias(f"{c}{y}") for c in ("total", "squares") for y in (0, 1)])
-    mean = lambda y: F.col(f"total{y}") / n_docs[y]
-    var = lambda y: F.greatest(F.lit(0.0), F.col(f"squares{y}") / n_docs[y] - mean(y) * mean(y))
-    t = F.abs(mean(1) - mean(0)) / F.sqrt(var(0) / n_docs[0] + var(1) / n_docs[1] + F.lit(1e-12))
-    told = wide.filter(F.col("docs") >= least_docs).select("bucket", F.sqrt((var(0) + var(1)) / 2).alias("deviation"), t.alias("t"))
-    return told.filter(F.col("t") >= least_t).orderBy(F.desc("t"), "bucket").limit(most).select("bucket", "deviation")
+def bucket_scales(statistics: DataFrame, n_docs: tuple[int, int], buckets: int, typical_t: float, typical_docs: int) -> np.ndarray:
+    """What each bucket's weight is multiplied by, from at most two rows of statistics a bucket."""
+    rows = statistics.toPandas()
+    n, total, squares = (np.zeros((2, buckets)) for _ in range(3))
+    for out, column in ((n, "n"), (total, "total"), (squares, "squares")):
+        out[rows["toxic"], rows["bucket"]] = rows[column]
+    of = np.array(n_docs)[:, None]
+    mean = total / of
+    variance = np.maximum(0, squares / of - mean * mean)
+    t = np.abs(mean[1] - mean[0]) / np.sqrt((variance / of).sum(axis=0) + 1e-12)
+    docs = n.sum(axis=0)
+    trust = t**8 / (t**8 + typical_t**8) * docs / (docs + typical_docs)
+    return trust / (np.sqrt(variance.sum(axis=0) / 2) + 1e-6) / math.sqrt(max((trust * trust).sum(), 10) / 10)
 
 
-def selected_features(texts: DataFrame, scale: np.ndarray, n_min: int, n_max: int) -> DataFrame:
-    """(doc_id, toxic, idx, weight): scaled weights of the buckets with a scale, as little-endian arrays."""
+def features(texts: DataFrame, buckets: int, n_min: int, n_max: int) -> DataFrame:
+    """(doc_id, toxic, idx, weight): the buckets of each text and their weights, as little-endian arrays."""
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, labels, idx, weight = [], [], [], []
-            for doc_id, toxic, at, w in _bags(iter([b]), len(scale), n_min, n_max):
-                keep = scale[at] > 0
-                ids.append(doc_id)
-                labels.append(toxic)
-                idx.append(at[keep].astype("<i4").tobytes())
-                weight.append((w[keep] * scale[at[keep]]).astype("<f4").tobytes())
+            ids, labels, idx, weight = zip(*[(i, y, at.astype("<i4").tobytes(), w.astype("<f4").tobytes()) for i, y, at, w in _bags(iter([b]), buckets, n_min, n_max)], strict=True)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(labels, pa.int32()), pa.array(idx, pa.binary()), pa.array(weight, pa.binary())], ["doc_id", "toxic", "idx", "weight"]
+                [pa.array(ids, pa.string()), pa.array(labels, pa.int32()), pa.array(idx, pa.binary()), pa.array(weight, pa.binary())], ["doc_id", "toxic", "idx", "weight"]
             )
 
-    return texts.mapInArrow(features, "doc_id long, toxic int, idx binary, weight binary")
+    return texts.mapInArrow(make, "doc_id string, toxic int, idx binary, weight binary")
 
 
-def fit(idx: list[np.ndarray], weight: list[np.ndarray], label: np.ndarray, buckets: int, dim: int = 4, epochs: int = 6, batch: int = 32, rate: float = 0.02, seed: int = 7) -> tuple[np.ndarray, float]:
+def fit(idx: list[np.ndarray], weight: list[np.ndarray], label: np.ndarray, scale: np.ndarray, dim: int = 4, epochs: int = 5, batch: int = 32, rate: float = 0.02, seed: int = 7) -> tuple[np.ndarray, float]:
     """Joint training of embeddings and softmax by Adam. Returns each bucket's part of the logit and the bias."""
     rng = np.random.default_rng(seed)
-    used, at = np.unique(np.concatenate([*idx, np.zeros(0, np.int32)]), return_inverse=True)
-    ends = np.cumsum([0, *map(len, idx)])
-    idx = [at[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-    table = np.zeros((len(used), dim), dtype=np.float32)
+    buckets = len(scale)
+    table = np.zeros((buckets, dim), dtype=np.float32)
     out = rng.normal(0, 0.5, (dim, 2)).astype(np.float32)
     bias = np.zeros(2, dtype=np.float32)
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (table, out, bias)]
@@ -168,10 +165,9 @@ def fit(idx: list[np.ndarray], weight: list[np.ndarray], label: np.ndarray, buck
         lr = rate * (1 - epoch / epochs)
         for lo in range(0, len(order), batch):
             rows = order[lo : lo + batch]
-            sizes = np.array([len(idx[r]) for r in rows])
             cols = np.concatenate([idx[r] for r in rows])
-            w = np.concatenate([weight[r] for r in rows])
-            owner = np.repeat(np.arange(len(rows)), sizes)
+            w = np.concatenate([weight[r] for r in rows]) * scale[cols]
+            owner = np.repeat(np.arange(len(rows)), [len(idx[r]) for r in rows])
             hidden = np.stack([np.bincount(owner, weights=w * table[cols, k], minlength=len(rows)) for k in range(dim)], axis=1).astype(np.float32)
             logits = hidden @ out + bias
             p = np.exp(logits - logits.max(axis=1, keepdims=True))
@@ -179,20 +175,18 @@ def fit(idx: list[np.ndarray], weight: list[np.ndarray], label: np.ndarray, buck
             p[np.arange(len(rows)), label[rows]] -= 1
             p /= len(rows)
             g_hidden = p @ out.T
-            g_table = np.stack([np.bincount(cols, weights=w * g_hidden[owner, k], minlength=len(used)) for k in range(dim)], axis=1).astype(np.float32)
+            g_table = np.stack([np.bincount(cols, weights=w * g_hidden[owner, k], minlength=buckets) for k in range(dim)], axis=1).astype(np.float32)
             step += 1
             for param, grad, (m, v) in zip((table, out, bias), (g_table, hidden.T @ p, p.sum(axis=0)), state, strict=True):
                 m += 0.1 * (grad - m)
                 v += 0.001 * (grad * grad - v)
                 param -= lr * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    part = np.zeros(buckets)
-    part[used] = table @ (out[:, 1] - out[:, 0])
-    return part, float(bias[1] - bias[0])
+    return scale * (table @ (out[:, 1] - out[:, 0])), float(bias[1] - bias[0])
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, max_positive: int = 5000, max_negative: int = 10000, buckets: int = 1 << 17, n_min: int = 3, n_max: int = 6,
-    least_t: float = 3.5, least_docs: int = 5, most_buckets: int = 1500, id_col: str = "doc_id", text_col: str = "text", seed: int = 7,
+    docs: DataFrame, labels: DataFrame, max_positive: int = 1500, max_negative: int = 4500, buckets: int = 1 << 17, n_min: int = 3, n_max: int = 6,
+    typical_t: float = 4.0, typical_docs: int = 5, id_col: str = "doc_id", text_col: str = "text", seed: int = 7,
 ) -> ToxicityModel:
     """Fit on a bounded sample of the labelled rows that are not held out."""
     usable = labels.select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("toxic")).filter(~held_out("__id") & F.col("toxic").isin(0, 1))
@@ -200,26 +194,26 @@ def train(
     sample = pick(1, max_positive).unionByName(pick(0, max_negative))
     # At most max_positive + max_negative rows: the proven bound of this broadcast.
     found = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text")).join(F.broadcast(sample), F.col("__doc") == F.col("__id"))
-    texts = materialize(found.select(F.col("__id").cast("long").alias("doc_id"), "toxic", utf8("__text").alias("utf8")), "toxic-sample")
+    texts = materialize(found.select(F.col("__id").cast("string").alias("doc_id"), "toxic", utf8("__text").alias("utf8")), "toxic-sample")
     n = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
     if len(n) < 2:
         return ToxicityModel(np.zeros(buckets), math.inf if 1 in n else -math.inf, n_min, n_max)
-    chosen = informative_buckets(bucket_statistics(texts, buckets, n_min, n_max), (n[0], n[1]), least_t, least_docs, most_buckets).collect()
-    scale = np.zeros(buckets)
-    for r in chosen:
-        scale[r["bucket"]] = 1.0 / ((r["deviation"] + 1e-6) * math.sqrt(max(len(chosen), 10) / 10))
-    rows = selected_features(texts, scale, n_min, n_max).collect()
+    scale = bucket_scales(bucket_statistics(texts, buckets, n_min, n_max), (n[0], n[1]), buckets, typical_t, typical_docs)
+    rows = features(texts, buckets, n_min, n_max).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["toxic"], r["idx"]))
     label = np.array([r["toxic"] for r in rows], dtype=np.int64)
-    part, bias = fit([np.frombuffer(r["idx"], "<i4") for r in rows], [np.frombuffer(r["weight"], "<f4") for r in rows], label, buckets, seed=seed)
-    return ToxicityModel(part * scale, bias, n_min, n_max)
+    part, bias = fit([np.frombuffer(r["idx"], "<i4") for r in rows], [np.frombuffer(r["weight"], "<f4") for r in rows], label, scale, seed=seed)
+    return ToxicityModel(part, bias, n_min, n_max)
 
 
-def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with all columns and ``toxicity``, a probability from the text alone."""
-    held = [c for c in docs.columns]
-    rows = docs.withColumn("__utf8", utf8(text_col))
-    schema = T.StructType([*docs.schema.fields, T.StructField("toxicity", T.DoubleType())])
+def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", score_col: str = "toxicity") -> DataFrame:
+    """``docs`` with all columns and ``score_col``, a probability from the text alone."""
+    text = utf8(text_col)
+    (given,) = fresh(docs, "utf8")
+    rows = docs.withColumn(given, text).drop(score_col)
+    held = [c for c in rows.columns if c != given]
+    rows = rows.select(*[f"`{c}`" for c in held], given)
+    schema = rows.drop(given).withColumn(score_col, F.lit(0.0)).schema
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = model.part.tolist()
@@ -247,11 +241,12 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
                 logits.append(model.bias + (sum(map(word.__getitem__, chunks)) / len(chunks) if chunks else 0.0))
             with np.errstate(over="ignore"):
                 p = 1.0 / (1.0 + np.exp(-np.array(logits, dtype=np.float64)))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(held)], pa.array(p)], [*held, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(held)], pa.array(p)], [*held, score_col])
 
     return rows.mapInArrow(scored, schema)
 
 
-def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows that the model does not reject, with their columns."""
-    return score(docs, model, id_col, text_col).filter(F.col("toxicity") < threshold).drop("toxicity")
+    (toxicity,) = fresh(docs, "toxicity")
+    return score(docs, model, text_col, toxicity).filter(F.col(toxicity) < threshold).drop(toxicity)
