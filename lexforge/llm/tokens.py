@@ -120,31 +120,44 @@ def length_histogram(lengths: DataFrame, groups: tuple[str, ...] = ()) -> DataFr
     return lengths.groupBy(*groups, "n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
-def length_report(histogram: DataFrame, block: int = 1024) -> DataFrame:
-    """For every length that occurs, taken as a context limit.
+LIMITS = (512, 1024, 2048, 4096, 8192)
+SHARES = (0.5, 0.9, 0.99)
 
-    limit, n_docs (of exactly this length), docs_upto and tokens_upto (not longer),
-    docs_over (longer), truncated_total (tokens left when every text is cut at the
-    limit), total_docs, total_tokens, and cum_share (share of documents not longer:
-    the quantile function read from its values).
 
-    Sums run in two steps, blocks of lengths and then within a block, so no task
-    sees the whole histogram, however long texts are.
+def length_report(histogram: DataFrame, limits: tuple[int, ...] = LIMITS, shares: tuple[float, ...] = SHARES, block: int = 1024) -> DataFrame:
+    """One row for every context limit: those given and every length that occurs.
+
+    limit, n_docs (of exactly this length), docs_upto and tokens_upto (not longer),
+    docs_over and tokens_over (longer), truncated_total (tokens left when every text is
+    cut at the limit), total_docs, total_tokens, cum_share (share of documents not
+    longer) and q50, q90, ...: the quantiles of the cut lengths, for each share the
+    smallest length that at least so many documents do not exceed.
+
+    What is longer is a suffix sum over the histogram, taken in two steps, blocks of
+    lengths and then within a block, so no task sees the whole histogram, however long
+    texts are. An empty histogram gives an empty report.
     """
-    h = materialize(histogram.select("n_tokens", "n_docs", F.floor(F.col("n_tokens") / block).alias("block")), "lengths")
-    sums = h.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("t"))
-    past = W.partitionBy(F.lit(1)).orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    every = W.partitionBy(F.lit(1))
+    spark = histogram.sparkSession
+    some = histogram.select(F.lit(True).alias("some")).limit(1)
+    given = spark.createDataFrame([(int(n),) for n in limits], "n_tokens long").join(F.broadcast(some)).select("n_tokens", F.lit(0).cast("long").alias("n_docs"))
+    every = histogram.select(F.col("n_tokens").cast("long").alias("n_tokens"), "n_docs").unionByName(given).groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+    h = materialize(every.withColumn("block", F.floor(F.col("n_tokens") / block)), "lengths")
+    tokens = F.col("n_docs") * F.col("n_tokens")
+    sums = h.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum(tokens).alias("t"))
+    longer = W.partitionBy(F.lit(1)).orderBy(F.desc("block")).rowsBetween(W.unboundedPreceding, -1)
+    whole = W.partitionBy(F.lit(1))
     blocks = sums.select(
-        "block", F.coalesce(F.sum("d").over(past), F.lit(0)).alias("d0"), F.coalesce(F.sum("t").over(past), F.lit(0)).alias("t0"),
-        F.sum("d").over(every).alias("total_docs"), F.sum("t").over(every).alias("total_tokens"),
-    )
-    upto = W.partitionBy("block").orderBy("n_tokens")
+        "block", F.coalesce(F.sum("d").over(longer), F.lit(0)).alias("d1"), F.coalesce(F.sum("t").over(longer), F.lit(0)).alias("t1"),
+        F.sum("d").over(whole).alias("total_docs"), F.sum("t").over(whole).alias("total_tokens"),
+    )
+    after = W.partitionBy("block").orderBy(F.desc("n_tokens")).rowsBetween(W.unboundedPreceding, -1)
+    suffix = lambda c: F.coalesce(F.sum(c).over(after), F.lit(0))
     r = h.join(blocks, "block").select(
-        F.col("n_tokens").alias("limit"), "n_docs", (F.col("d0") + F.sum("n_docs").over(upto)).alias("docs_upto"),
-        (F.col("t0") + F.sum(F.col("n_docs") * F.col("n_tokens")).over(upto)).alias("tokens_upto"), "total_docs", "total_tokens",
-    )
-    over = F.col("total_docs") - F.col("docs_upto")
-    return r.withColumn("docs_over", over).withColumn("truncated_total", F.col("tokens_upto") + over * F.col("limit")).withColumn(
-        "cum_share", F.col("docs_upto") / F.col("total_docs")
+        F.col("n_tokens").alias("limit"), "n_docs", (F.col("d1") + suffix("n_docs")).alias("docs_over"), (F.col("t1") + suffix(tokens)).alias("tokens_over"), "total_docs", "total_tokens"
     )
+    r = r.withColumns({"docs_upto": F.col("total_docs") - F.col("docs_over"), "tokens_upto": F.col("total_tokens") - F.col("tokens_over")})
+    r = materialize(r.withColumns({"truncated_total": F.col("tokens_upto") + F.col("docs_over") * F.col("limit"), "cum_share": F.col("docs_upto") / F.col("total_docs")}), "limits")
+    names = [f"q{round(100 * q)}" for q in shares]
+    # One row.
+    cuts = r.agg(*[F.min(F.when(F.col("docs_upto") >= q * F.col("total_docs"), F.col("limit"))).alias(n) for q, n in zip(shares, names, strict=True)])
+    return r.join(F.broadcast(cuts)).select(*r.columns, *[F.least("limit", n).alias(n) for n in names])
