@@ -7,19 +7,21 @@
    form over the sources, one row each).
 3. A source takes every document floor(target / size) times; the remaining budget
    is fitted on its length counts: first the same fraction of each length, then the
-   longest lengths that still fit, then bounded-knapsack dynamic programming over
-   what little is left, which never exceeds one document's length.
+   longest lengths that still fit, then bounded-knapsack dynamic programming over what
+   is left. If no choice of the documents left meets it, some of those taken are given
+   back, twice as many words each time, until the sum is met or all are given back: the
+   sum is the closest to the budget that any choice of documents has.
 4. The documents to take of one length are the first by seeded hash. Their quota is
-   dealt over the parts of the histogram, so a length that a third of all rows share
-   is ranked in ``parts`` separate groups.
+   dealt over the parts of the histogram, about ``rows_in_part`` documents each, so a
+   length that a third of all rows share is ranked in many separate groups.
 
 Results depend on ids, lengths and the seed alone, so reruns agree.
 
 Defined results: null text has size 0 and is never taken (0 words); null source is
 a source of its own, ordered last; rows equal in id and size are ranked in any
-order, which leaves the result the same; a source without words has target 0; an
-empty table gives an empty result; extra columns are not looked at by
-``mixture_plan`` and are all kept by ``mix_documents``.
+order, which leaves the result the same; a source without words has target 0; ids may be
+of any type; an empty table gives an empty result; extra columns are not looked at by
+``mixture_plan`` and are all kept by ``mix_documents``, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, text_of, word_count
+from .common import fresh, materialize, row_hash, text_of, word_count
 
 CYCLE = (3.0, 1.0, 2.0)
 
@@ -58,7 +60,7 @@ def source_targets(sizes: DataFrame, weights=CYCLE, share: float = 1.5, max_repe
 
 
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each length to take, so that their words sum to the budget or the closest sum below it that the last step finds."""
+    """How many documents of each length to take, so that their words sum to the budget or, if no choice does, to the largest sum below it."""
     take = np.zeros(len(lengths), dtype=np.int64)
     order = np.argsort(-lengths, kind="stable")
     total = int((lengths * counts).sum())
@@ -87,41 +89,55 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
             left -= more * n
     if left == 0:
         return take
-    # Bounded knapsack for the rest. Some of the shortest documents taken are given back, which opens more sums.
-    room = None
-    for i in order[::-1]:
-        if lengths[i] > 0:
-            room = room or left + 12 * int(lengths[i])
-            while take[i] and left < room:
-                take[i] -= 1
-                left += int(lengths[i])
-    reached = np.full(left + 1, -1, dtype=np.int64)  # the index of the length that reached a sum last
-    used = np.zeros(left + 1, dtype=np.int64)
-    reached[0] = len(lengths)
-    for i in order[::-1]:
-        n, spare = int(lengths[i]), int(counts[i] - take[i])
-        if n == 0 or n > left or spare == 0:
+    goal = budget // (unit := int(np.gcd.reduce(lengths[lengths > 0]))) * unit  # sums are multiples of the lengths' common divisor
+    if left == budget - goal:
+        return take
+    room, longest = 12 * int(lengths[lengths > 0].min()), int(lengths.max())
+    while room < min(budget, total - budget + longest):
+        # Documents are given back, short and long ones in turn: both open sums that the others lack.
+        given, freed = take.copy(), left
+        ends = [i for i in order if lengths[i] > 0 and given[i]]
+        while ends and freed < room:
+            for i in (ends[-1], ends[0]):
+                if given[i] and freed < room:
+                    given[i] -= 1
+                    freed += int(lengths[i])
+            ends = [i for i in (ends[0], *ends[1:-1], ends[-1]) if given[i]] if len(ends) > 1 else [i for i in ends if given[i]]
+        chosen, met = subset_sum(lengths, counts - given, freed)
+        if met == freed - (budget - goal):
+            return given + chosen
+        room = 2 * max(room, freed)
+    # No more can be given back than that: all sums are looked at, of what is taken or of what is left out.
+    if budget <= total - budget + longest:
+        return subset_sum(lengths, counts, budget)[0]
+    return np.where(lengths > 0, counts, 0) - subset_sum(lengths, counts, total - budget + longest, total - budget)[0]
+
+
+def subset_sum(lengths: np.ndarray, counts: np.ndarray, budget: int, least: int | None = None) -> tuple[np.ndarray, int]:
+    """(documents of each length, their sum), by dynamic programming over sums: the largest sum up to the budget or, if ``least`` is given, the smallest from there."""
+    goal = budget if least is None else least
+    by = np.full(budget + 1, -1, dtype=np.int32)  # the length that a sum was first reached with
+    by[0] = len(lengths)
+    for i in np.argsort(lengths, kind="stable"):
+        n, spare = int(lengths[i]), int(counts[i])
+        if n == 0 or n > budget or spare == 0 or by[goal] >= 0:
             continue
-        open_ = reached >= 0
-        used[:] = 0
-        for _ in range(min(spare, left // n)):
-            new = np.zeros(left + 1, dtype=bool)
-            src = open_[:-n]
-            new[n:] = src & (reached[n:] < 0)
-            if not new.any():
-                break
-            at = np.flatnonzero(new)
-            reached[at] = i
-            open_ = np.zeros(left + 1, dtype=bool)
-            open_[at] = True
-        if reached[left] >= 0:
-            break
-    at = int(np.flatnonzero(reached >= 0)[-1])
+        # Sums that are equal but for multiples of n are a column; a sum is reached from the last one above it, at most ``spare`` rows away.
+        rows = -(-(budget + 1) // n)
+        open_ = np.zeros(rows * n, dtype=bool)
+        open_[: budget + 1] = by >= 0
+        row = np.arange(rows, dtype=np.int64)[:, None]
+        last = np.maximum.accumulate(np.where(open_.reshape(rows, n), row, -spare - rows), axis=0)
+        new = ((row - last) <= spare).reshape(-1)[: budget + 1] & (by < 0)
+        by[new] = i
+    reached = np.flatnonzero(by >= 0)
+    at = met = int(reached[-1] if least is None else reached[np.searchsorted(reached, least)])
+    take = np.zeros(len(lengths), dtype=np.int64)
     while at > 0:
-        i = int(reached[at])
+        i = int(by[at])
         take[i] += 1
         at -= int(lengths[i])
-    return take
+    return take, met
 
 
 FITTED = "src string, size long, full long, quota long, source_size long, target double"
@@ -146,13 +162,14 @@ def mixture_plan(
     share: float = 1.5,
     max_repeats: int = 2,
     seed: int = 17,
-    parts: int = 64,
+    rows_in_part: int = 50_000,
 ) -> DataFrame:
     """One row per document: doc_id, src, size, source_size, target, times (how often the mix takes it)."""
     rank = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"))
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("src"), word_count(text_of(text_col)).alias("size"))
-    sized = sized.withColumn("rank", rank).withColumn("part", F.shiftrightunsigned("rank", 40) % parts)
-    sized = materialize(sized, "mix-sizes")
+    sized = materialize(sized.withColumn("rank", rank), "mix-sizes")
+    most = sized.groupBy("src", "size").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    sized = sized.withColumn("part", F.shiftrightunsigned("rank", 40) % (1 + most // rows_in_part))
     cells = materialize(sized.groupBy("src", "size", "part").agg(F.count(F.lit(1)).alias("n")), "mix-histogram")
     targets = source_targets(cells.groupBy("src").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, max_repeats)
     lengths = cells.groupBy("src", "size").agg(F.sum("n").alias("n"))
@@ -176,13 +193,17 @@ def mixture_plan(
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mixture itself: rows of ``docs`` with all columns, each as often as the plan takes it.
 
-    Rows that share an id are told apart by source and size; rows equal in all three
-    are repeated by the largest number the plan gives one of them.
+    Rows that share id, source and size get the numbers that the plan has for them,
+    larger ones first, in order of a hash of all their columns.
     """
+    named, src, size, times, nth = fresh(docs, "id", "src", "size", "times", "nth")
+    # Plain keys, the same for the join and for the numbering: the texts are shuffled once.
+    key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
     plan = mixture_plan(docs, id_col, text_col, source_col, **options)
-    times = plan.groupBy("doc_id", "src", "size").agg(F.max("times").alias("__times")).filter("__times > 0")
-    times = times.select(F.col("doc_id").alias("__id"), F.col("src").alias("__src"), F.col("size").alias("__size"), "__times")
-    keyed = docs.withColumn("__words", word_count(text_of(text_col)))
-    on = F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).cast("string").eqNullSafe(F.col("__src")) & (F.col("__words") == F.col("__size"))
-    joined = keyed.join(times, on).withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int"))))
-    return joined.select(*docs.columns)
+    plan = plan.select(key("doc_id").alias(named), key("src").alias(src), F.col("size").alias(size), "times")
+    plan = plan.groupBy(named, src, size).agg(F.sort_array(F.collect_list("times"), asc=False).alias(times)).filter(F.get(times, F.lit(0)) > 0)
+    keyed = docs.withColumns({named: key(id_col), src: key(source_col), size: word_count(text_of(text_col)), nth: row_hash(docs)})
+    joined = keyed.join(plan, [named, src, size])
+    number = F.row_number().over(W.partitionBy(named, src, size).orderBy(nth))
+    counted = joined.withColumn(nth, number).withColumn(nth, F.get(times, F.col(nth) - 1).cast("int")).filter(F.col(nth) > 0)
+    return counted.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(nth)))).select(*[f"`{c}`" for c in docs.columns])
