@@ -28,12 +28,14 @@ Rows are packed: a task sorts its keys into buckets and sends one row of arrays
 bucket. Before sending, a task settles what it can: of a key that occurs several
 times in it one place is sent, and of a window several times in it the earliest. A
 passage in a third of all documents thus sends one entry per task and flush, not one
-per document. The texts are dealt by id once, and that exchange serves all steps.
+per document. The receiving task has its rows sorted by bucket (by Spark, which spills)
+and settles one bucket at a time, so its memory is that of one bucket. The texts are dealt by id once, and that exchange serves all steps.
 
 Defined results: null text has no words; a text shorter than a window keeps all its
-words; a null id sorts before all others; rows that share an id are versions of one
-document, and a window at the same place in two of them is one occurrence; an empty
-table gives an empty result; other columns are not read.
+words; rows without an id are documents of their own, before all others, in the order
+in which they are read; rows that share an id are versions of one document, and a window
+at the same place in two of them is one occurrence; ids that are not whole numbers are
+replaced by their rank; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -45,14 +47,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import shuffle_width
+from .common import materialize, shuffle_width
 from .shingles import WordHashes, mix
 from .tokens import utf8
 
-NULL_ID = -(2**63)
+NO_ID = -(2**63)  # rows without an id are numbered from here
+IDS = -(2**62)  # and ids begin here
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE2 = np.uint64(0xD1342543DE82EF95)
 FLUSH_WORDS = 1_000_000
@@ -260,30 +264,39 @@ def _find_anchors(size: int, buckets: int):
     return run
 
 
-def _share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the anchors of this partition's buckets, those whose key occurs more than once, by document."""
-    keys, ids, place, span = [], [], [], []
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[tuple]]]:
+    """Rows sorted by bucket, as (rows to pass on, rows of one bucket): what is known already, then bucket by bucket."""
+    rows, now = [], None
     for b in batches:
         passed = []
-        for bucket, i, k, p in zip(*[b.column(c).to_pylist() for c in range(4)], strict=True):
-            if bucket < 0:
-                passed.append((bucket, i, None, p))
-            else:
-                d, at, n = _get(p, "<i8", "<u4", "u1")
-                keys.append(np.frombuffer(k, "<u8"))
-                ids.append(d)
-                place.append(at)
-                span.append(n)
-        yield _packed(passed)
-    if not keys:
-        return
-    key, doc, place, span = map(np.concatenate, (keys, ids, place, span))
-    order = np.argsort(key, kind="stable")
-    same = key[order][1:] == key[order][:-1]
-    shared = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
-    rows = [(-1, d, None, _put(place[shared[at]], span[shared[at]])) for d, at in _by(doc[shared])]
-    for k in range(0, len(rows), 10_000):
-        yield _packed(rows[k : k + 10_000])
+        for row in zip(*[b.column(c).to_pylist() for c in range(4)], strict=True):
+            if row[0] < 0:
+                passed.append((row[0], row[1], None, row[3]))
+                continue
+            if row[0] != now and rows:
+                yield [], rows
+                rows = []
+            now = row[0]
+            rows.append(row)
+        if passed:
+            yield passed, []
+    if rows:
+        yield [], rows
+
+
+def _share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the anchors of this partition's buckets, those whose key occurs more than once, by document."""
+    for passed, rows in _buckets(batches):
+        if passed:
+            yield _packed(passed)
+            continue
+        parts = [_get(p, "<i8", "<u4", "u1") for _, _, _, p in rows]
+        doc, place, span = (np.concatenate([x[k] for x in parts]) for k in range(3))
+        key = np.concatenate([np.frombuffer(k, "<u8") for _, _, k, _ in rows])
+        order = np.argsort(key, kind="stable")
+        same = key[order][1:] == key[order][:-1]
+        shared = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
+        yield _packed([(-1, d, None, _put(place[shared[at]], span[shared[at]])) for d, at in _by(doc[shared])])
 
 
 def _window_keys(prefix: Prefix, prefix2: Prefix, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -331,31 +344,21 @@ def _find_windows(size: int, buckets: int):
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of the windows of this partition's buckets, the places that are not the earliest of theirs, by document."""
-    h1s, h2s, ids, places = [], [], [], []
-    for b in batches:
-        passed = []
-        for bucket, i, k, p in zip(*[b.column(c).to_pylist() for c in range(4)], strict=True):
-            if bucket < 0:
-                passed.append((bucket, i, None, p))
-            else:
-                n = len(k) // 12
-                h1s.append(np.frombuffer(k, "<u8", n))
-                h2s.append(np.frombuffer(k, "<u4", n, 8 * n))
-                d, at = _get(p, "<i8", "<u4")
-                ids.append(d)
-                places.append(at)
-        yield _packed(passed)
-    if not h1s:
-        return
-    h1, h2, doc, place = map(np.concatenate, (h1s, h2s, ids, places))
-    order = np.lexsort((place, doc, h2, h1))
-    a, b = h1[order], h2[order]
-    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-    first = order[np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))]
-    gone = np.sort(order[(doc[order] != doc[first]) | (place[order] != place[first])])
-    rows = [(-1, d, None, _put(place[gone[p]], h2[gone[p]])) for d, p in _by(doc[gone])]
-    for k in range(0, len(rows), 10_000):
-        yield _packed(rows[k : k + 10_000])
+    for passed, rows in _buckets(batches):
+        if passed:
+            yield _packed(passed)
+            continue
+        parts = [_get(p, "<i8", "<u4") for _, _, _, p in rows]
+        doc, place = (np.concatenate([x[k] for x in parts]) for k in range(2))
+        sizes = [len(k) // 12 for _, _, k, _ in rows]
+        h1 = np.concatenate([np.frombuffer(k, "<u8", n) for (_, _, k, _), n in zip(rows, sizes, strict=True)])
+        h2 = np.concatenate([np.frombuffer(k, "<u4", n, 8 * n) for (_, _, k, _), n in zip(rows, sizes, strict=True)])
+        order = np.lexsort((place, doc, h2, h1))
+        a, b = h1[order], h2[order]
+        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        first = order[np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))]
+        gone = np.sort(order[(doc[order] != doc[first]) | (place[order] != place[first])])
+        yield _packed([(-1, d, None, _put(place[gone[p]], h2[gone[p]])) for d, p in _by(doc[gone])])
 
 
 def _remove(size: int, with_text: bool):
@@ -392,22 +395,43 @@ def _remove(size: int, with_text: bool):
     return run
 
 
+def ranked_ids(docs: DataFrame, id_col: str) -> DataFrame:
+    """(id, rank): distinct ids that are there, numbered in their order from 0. Ranges of ids are counted, then numbered each by itself."""
+    ids = docs.select(F.col(id_col).alias("id")).filter("id is not null").distinct().repartitionByRange("id")
+    dealt = materialize(ids.withColumn("part", F.spark_partition_id()), "ids")
+    # One row a partition.
+    before = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n")).withColumn("base", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    nth = F.row_number().over(W.partitionBy("part").orderBy("id"))
+    return dealt.withColumn("nth", nth).join(F.broadcast(before), "part").select("id", (F.col("base") + F.col("nth") - 1).alias("rank"))
+
+
+def numbered(key: Column) -> Column:
+    """The id as a long; rows without one get numbers of their own below all ids."""
+    return F.when(key.isNotNull(), key.cast("long")).otherwise(F.lit(NO_ID) + F.monotonically_increasing_id())
+
+
 def remove_repeats(docs: DataFrame, size: int = 20, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text (kept words joined by one space)."""
+    kind = docs.select(id_col).schema[0].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        ranks = ranked_ids(docs, id_col)
+        rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ranks, "id", "left").select(F.col("rank").alias("doc_id"), "text")
+        done = remove_repeats(rows, size, with_text=with_text)
+        return done.join(ranks, done["doc_id"] == ranks["rank"], "left").select(F.col("id").alias("doc_id"), *done.columns[1:])
     parts = shuffle_width(docs.sparkSession)
     # Packed entries are about a tenth of the texts' size, so a quarter of the partitions holds them.
     few = max(1, parts // 4)
-    buckets = 4 * parts
+    buckets = 16 * parts
     # The one exchange of the texts; the joins below are on its key.
-    dealt = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), utf8(text_col).alias("utf8")).repartition(parts, "id")
+    dealt = docs.select(numbered(F.col(id_col)).alias("id"), utf8(text_col).alias("utf8")).repartition(parts, "id")
     blobs = lambda found: found.groupBy("id").agg(F.collect_list("places").alias("blobs"))
-    shared = dealt.mapInArrow(_find_anchors(size, buckets), PACKED).repartition(few, "bucket").mapInArrow(_share, PACKED)
+    by_bucket = lambda rows: rows.repartition(few, "bucket").sortWithinPartitions("bucket")
+    shared = by_bucket(dealt.mapInArrow(_find_anchors(size, buckets), PACKED)).mapInArrow(_share, PACKED)
     candidates = dealt.join(blobs(shared).hint("shuffle_hash"), "id")
-    gone = candidates.mapInArrow(_find_windows(size, buckets), PACKED).repartition(few, "bucket").mapInArrow(_settle, PACKED)
-    ids = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"))
-    repeated = ids.groupBy("id").agg(F.count(F.lit(1)).alias("versions")).filter("versions > 1")
+    gone = by_bucket(candidates.mapInArrow(_find_windows(size, buckets), PACKED)).mapInArrow(_settle, PACKED)
+    repeated = docs.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.count(F.lit(1)).alias("versions")).filter("versions > 1")
     marks = blobs(gone).join(repeated, "id", "left")
     result = dealt.join(marks.hint("shuffle_hash"), "id", "left").mapInArrow(
         _remove(size, with_text), "id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
     )
-    return result.withColumn("doc_id", F.when(F.col("id") != NULL_ID, F.col("id"))).select("doc_id", "n_words", "n_removed", "kept_sha256", "kept_text")
+    return result.withColumn("doc_id", F.when(F.col("id") >= IDS, F.col("id"))).select("doc_id", "n_words", "n_removed", "kept_sha256", "kept_text")
