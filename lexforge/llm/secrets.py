@@ -117,18 +117,43 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, known: D
 
     ledger: (blob, rule) scanned so far; known: findings so far. Returns
     (paths, ledger, findings): (doc_id, blob) of every version, all scanned pairs
-    and all findings, new ones included.
+    and the findings of the rules in force, new ones included. Findings of a version
+    of a rule that is no longer in force are left out; their pairs stay in the ledger.
     """
     paths = materialize(path_blobs(versions, id_col, text_col), "paths")
     todo = materialize(unseen_pairs(paths, ledger, rules), "unseen")
     found = materialize(scan_blobs(versions, todo, id_col, text_col, rules), "findings")
     scanned = todo.select("blob", F.explode("todo").alias("rule"))
-    return paths, scanned if ledger is None else ledger.unionByName(scanned), found if known is None else known.unionByName(found)
+    return paths, scanned if ledger is None else ledger.unionByName(scanned), found if known is None else in_force(known, rules).unionByName(found)
 
 
-def findings_by_path(paths: DataFrame, findings: DataFrame) -> DataFrame:
-    """(doc_id, blob, found): every path with the findings of its blob, an array in order of start, then kind."""
-    per_blob = findings.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", "kind_order", "end", "kind"))).alias("found"))
+def in_force(findings: DataFrame, rules=RULES) -> DataFrame:
+    """Findings of the given versions of the rules, with the kinds' present order."""
+    order = F.create_map(*[x for k, r in enumerate(rules) for x in (F.lit(r.key), F.lit(k))])
+    return findings.filter(F.col("rule").isin([r.key for r in rules])).withColumn("kind_order", order[F.col("rule")])
+
+
+def scan_into(versions: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", rules=RULES) -> DataFrame:
+    """Scan what the ledger stored at ``path`` lacks, add it there, and return every path of ``versions`` with its findings.
+
+    Findings are added before their pairs: a scan that breaks off in between is done
+    again, and what it finds twice is read once.
+    """
+    spark = versions.sparkSession
+    pairs_schema, found_schema = "blob string, rule string", "blob string, rule string, kind string, kind_order int, start bigint, end bigint"
+    for name, schema in (("findings", found_schema), ("ledger", pairs_schema)):
+        spark.createDataFrame([], schema).write.mode("append").parquet(f"{path}/{name}")
+    ledger = spark.read.schema(pairs_schema).parquet(f"{path}/ledger").distinct()
+    paths = materialize(path_blobs(versions, id_col, text_col), "paths")
+    todo = materialize(unseen_pairs(paths, ledger, rules), "unseen")
+    scan_blobs(versions, todo, id_col, text_col, rules).write.mode("append").parquet(f"{path}/findings")
+    todo.select("blob", F.explode("todo").alias("rule")).write.mode("append").parquet(f"{path}/ledger")
+    return findings_by_path(paths, spark.read.schema(found_schema).parquet(f"{path}/findings").distinct(), rules)
+
+
+def findings_by_path(paths: DataFrame, findings: DataFrame, rules=RULES) -> DataFrame:
+    """(doc_id, blob, found): every path with the findings of its blob by the rules in force, an array in order of start, then kind."""
+    per_blob = in_force(findings, rules).groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", "kind_order", "end", "kind"))).alias("found"))
     joined = lookup(paths, per_blob, ["blob"], ["doc_id"])
     empty = F.array().cast("array<struct<start:bigint,kind_order:int,end:bigint,kind:string>>")
     return joined.withColumn("found", F.coalesce("found", empty))
