@@ -1,7 +1,9 @@
 import numpy as np
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, run int, part int, keep_id long"
+# Names that operators use or might use inside.
+ODD = ["run", "part", "keep_id", "__id", "__nth", "__digest", "__n", "__utf8", "__raw", "__times", "__part", "toxicity", "id", "words", "utf8", "Row"]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in ODD)
 
 
 def words(rng, n, vocabulary=400):
@@ -22,8 +24,8 @@ def corpus(spark):
     shared = " ".join(words(rng, 50, 5000))
     passages = [" ".join(words(rng, 30, 9000)) + " " + shared + " " + " ".join(words(rng, 30, 9000)) for _ in range(4)]
     texts += [None, "", " \n\t", texts[5], texts[5], "a", "a a a a a a", " ".join(["x"] * 300), " ".join(words(rng, 9000, 90_000)), "dòng một\ndòng một\n\ndòng hai", *near, *passages]
-    rows = [(i, t, "en", f"s{i % 3}" if i % 7 else None, None, 1, 2, 3) for i, t in enumerate(texts)]
-    rows += [rows[3], rows[3], (None, "không có số", None, None, None, None, None, None)]
+    rows = [(i, t, "en", f"s{i % 3}" if i % 7 else None, None, *[f"{c} {i}" for c in ODD]) for i, t in enumerate(texts)]
+    rows += [rows[3], rows[3], (None, "không có số", *[None] * (3 + len(ODD))), (None, texts[5], *[None] * (3 + len(ODD)))]
     return spark.createDataFrame(rows, SCHEMA).cache()
 
 
