@@ -210,7 +210,8 @@ def embedding_dim(model: Column) -> Column:
 
 
 def embedding_provider(model: Column) -> Column:
-    out = F.lit(None).cast("string")
+    """Provider of a known model; an unknown one is an error."""
+    out = F.raise_error(F.concat(F.lit("unknown embedding model: "), model)).cast("string")
     for name, (_, provider) in MODELS.items():
         out = F.when(model == name, provider).otherwise(out)
     return out

@@ -160,6 +160,12 @@ rf AS (
 rg AS (SELECT doc_key, chunk_seq, string_agg(ref, ' || ' ORDER BY pos) AS refs FROM rf GROUP BY ALL),
 pay AS (SELECT ch.*, coalesce(refs, '') AS refs, row_number() OVER (ORDER BY ch.doc_key, ch.chunk_seq) - 1 AS row_id FROM ch LEFT JOIN rg ON rg.doc_key = ch.doc_key AND rg.chunk_seq = ch.chunk_seq)"""
 
+STATS = f"""
+tk AS (SELECT doc_id AS row_id, {tokens('text')} AS w FROM documents),
+cs AS (SELECT count(*) AS n_docs FROM tk),
+dc AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(w)) AS term FROM tk) GROUP BY term),
+df AS (SELECT term, df, ln(n_docs - df + 0.5) - ln(df + 0.5) AS idf0 FROM dc CROSS JOIN cs),
+ts AS (SELECT term, df, CASE WHEN idf0 >= 0 THEN idf0 ELSE 0.25 * (SELECT avg(idf0) FROM df) END AS idf FROM df)"""
 BM = f"""
 bq AS (SELECT item_id AS query_id, CASE WHEN item_id % 5 = 0 THEN text || ' ' || text ELSE text END || CASE WHEN item_id % 4 = 0 THEN ' các hành vi' ELSE '' END AS text FROM benchmark),
 tk AS (SELECT doc_id AS row_id, {tokens('text')} AS w FROM documents),
@@ -226,7 +232,7 @@ at AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY g, pos
 AN = """
 an0 AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id),
 an1 AS (
-  SELECT d.doc_id AS query_id, substr(text, 1, 200) AS raw, d.doc_id % 3 = 0 AS has_history, quality, CASE quality WHEN 1 THEN 'legal_rag' WHEN 0 THEN 'out_of_scope' END AS cat
+  SELECT d.doc_id AS query_id, text AS raw, d.doc_id % 3 = 0 AS has_history, quality, CASE quality WHEN 1 THEN 'legal_rag' WHEN 0 THEN 'out_of_scope' END AS cat
   FROM documents d LEFT JOIN an0 ON an0.doc_id = d.doc_id),
 an2 AS (SELECT *, CASE WHEN cat IS NULL OR NOT has_history THEN raw ELSE '» ' || raw END AS query FROM an1),
 an AS (SELECT *, coalesce(cat, 'legal_rag') AS category, CASE WHEN cat IS NULL THEN raw WHEN query_id % 5 = 0 THEN query ELSE coalesce(nullif(lower(raw), ''), query) END AS retrieval FROM an2)"""
@@ -275,7 +281,7 @@ o AS (SELECT event_id, user_id, event_type FROM e WHERE n = 1 AND event_id % 2 =
 SELECT * FROM o UNION ALL SELECT * FROM b WHERE user_id NOT IN (SELECT user_id FROM o)""",
     "points_per_source": f"WITH {CHUNKS} SELECT source_file, count(*) AS n_points FROM pay GROUP BY ROLLUP (source_file)",
     "corpus_stats": f"WITH {BM} SELECT n_docs, n_tokens, round(avgdl, 6) AS avgdl FROM cs",
-    "term_stats": f"WITH {BM} SELECT term, df, round(idf, 6) AS idf FROM ts",
+    "term_stats": f"WITH {STATS} SELECT term, df, round(idf, 6) AS idf FROM ts",
     "postings": f"WITH {BM} SELECT row_id, term, tf, dl FROM po",
     "bm25_topk": f"WITH {BM} SELECT query_id, row_id, score, rank, length(text) AS n_chars FROM bt JOIN documents ON doc_id = row_id",
     "dense_topk": f"WITH {DE} SELECT query_id, row_id, score, rank FROM dt",
@@ -307,7 +313,8 @@ SELECT conv_id, coalesce(string_agg(line, chr(10) ORDER BY turn), '(chưa có)')
 CASE WHEN NOT con_hieu_luc THEN '⚠️ Điều này đã hết hiệu lực' || CASE WHEN row_id % 2 = 0 THEN ' từ 2025-01-01' ELSE '' END END AS expired,
 CASE WHEN row_id % 4 IN (0, 1) OR row_id % 8 = 2 THEN '⚠️ Điều này ' || CASE WHEN row_id % 4 = 0 THEN 'đã được sửa đổi' WHEN row_id % 4 = 1 THEN 'có thay đổi (khac)' ELSE 'đã bị bãi bỏ' END
   || CASE WHEN row_id % 3 = 0 THEN ' bởi `' || so_hieu || '`' ELSE '' END END AS changed FROM pay""",
-    "l2_normalize": "SELECT vec_id, len(embedding) AS dim, round(embedding[1] / sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 4) AS first FROM embeddings",
+    "l2_normalize": """SELECT vec_id, array_to_string(list_transform(v, lambda x: CAST(CAST(round(x / n * 10000) AS BIGINT) AS VARCHAR)), ' ') AS unit
+FROM (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 3) AS v FROM embeddings))""",
     "response": f"""WITH {AN},{ANS},
 f AS (SELECT conv_id AS query_id, min(turn) AS turn, min_by(answer, turn) AS answer, count(*) AS n FROM ans GROUP BY conv_id),
 s AS (SELECT an.query_id, query, category, f.turn, CASE WHEN category <> 'legal_rag' THEN '{OUT}' WHEN an.query_id % 11 = 0 OR n IS NULL THEN '' ELSE answer END AS answer,
@@ -321,3 +328,42 @@ bl AS (SELECT a.query_id, pos, '[' || CASE WHEN a.is_sibling THEN 'Ngữ cảnh
 c AS (SELECT rq.query_id, rq.text, coalesce(string_agg(t, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY pos), '(Không có ngữ cảnh nào được truy xuất.)') AS context FROM rq LEFT JOIN bl ON bl.query_id = rq.query_id GROUP BY ALL)
 SELECT query_id, sha256('NGỮ CẢNH:' || chr(10) || context || chr(10) || chr(10) || 'CÂU HỎI: ' || text || chr(10) || chr(10) || 'Hãy trả lời dựa CHỈ trên ngữ cảnh trên, tuân thủ các quy tắc ở hệ thống.') AS prompt_sha256, length(context) AS n_chars FROM c""",
 }
+
+
+def _embedded(table: str, key: str, prefix: str) -> str:
+    return f"""WITH t AS (SELECT {key} AS id, '{prefix}: ' || coalesce(text, '') AS t FROM {table}),
+c AS (SELECT id, [CAST(length(t) AS DOUBLE), length(t) - length(replace(t, ' ', '')), length(t) - length(replace(t, '.', ''))] AS v FROM t)
+SELECT id, array_to_string(list_transform(v, lambda x: CAST(CAST(round(CAST(CAST(x / sqrt(v[1] * v[1] + v[2] * v[2] + v[3] * v[3]) AS FLOAT) AS DOUBLE) * 1000) AS BIGINT) AS VARCHAR)), ' ') AS unit FROM c"""
+
+
+_PROMPTS = f"""
+lt AS (SELECT conv_id, max(turn) AS last, max_by(text, turn) AS raw FROM conversations GROUP BY conv_id),
+pt AS (SELECT conv_id, turn, role, {strip('text')} AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations JOIN lt USING (conv_id) WHERE turn < last),
+hi AS (SELECT conv_id, string_agg('  ' || CASE WHEN role = 'user' THEN 'user' ELSE 'assistant' END || ': ' || x, chr(10) ORDER BY turn) AS history FROM pt WHERE rn <= 6 AND coalesce(x, '') <> '' GROUP BY conv_id),
+pr AS (SELECT conv_id AS query_id, raw, history IS NOT NULL AS has_history,
+              'Lịch sử hội thoại:' || chr(10) || coalesce(history, '(chưa có)') || chr(10) || chr(10) || 'Câu hỏi mới nhất: ' || raw AS prompt
+       FROM lt LEFT JOIN hi USING (conv_id))"""
+
+ORACLES |= {
+    "read_blocks": r"""WITH d AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '[\x00-\x08\x0B-\x1F]', ' ', 'g'), chr(10)) AS l, lang, coalesce(source, '-') AS source FROM documents)
+SELECT CAST(doc_id AS VARCHAR) AS doc_key, CAST(i - 1 AS BIGINT) AS block_idx, 'p' AS kind, l[i] AS text FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM d)
+UNION ALL
+SELECT CAST(doc_id AS VARCHAR), CAST(len(l) AS BIGINT), 't', '| ' || lang || ' | ' || source || ' |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || doc_id || ' | n | x y |' FROM d""",
+    "load_registry": f"WITH {CHUNKS} SELECT doc_key, so_hieu, ten_van_ban, loai_van_ban, co_quan_ban_hanh, ngay_ban_hanh, ngay_hieu_luc, con_hieu_luc FROM reg",
+    "chunk_files": f"WITH {CHUNKS} SELECT {PAY_COLUMNS} FROM ch",
+    "reset_index": ORACLES["points_per_source"],
+    "embed_passages": _embedded("documents", "doc_id", "passage"),
+    "embed_queries": _embedded("benchmark", "item_id", "query"),
+    "embedding_models": """WITH d AS (SELECT doc_id, ['text-embedding-3-small', 'text-embedding-3-large', 'intfloat/multilingual-e5-small', 'intfloat/multilingual-e5-base', 'intfloat/multilingual-e5-large', 'BAAI/bge-m3'][1 + doc_id % 6] AS model FROM documents)
+SELECT doc_id, model, CAST([1536, 3072, 384, 768, 1024, 1024][1 + doc_id % 6] AS BIGINT) AS dim, CASE WHEN doc_id % 6 < 2 THEN 'openai' ELSE 'local' END AS provider, CASE WHEN contains(model, 'e5') THEN 'query: ' ELSE '' END AS prefix FROM d""",
+    "analyzer_prompts": f"WITH {_PROMPTS} SELECT query_id, sha256(prompt) AS prompt_sha256 FROM pr",
+    "analyze": f"""WITH {_PROMPTS},
+v AS (SELECT *, length(prompt) % 7 = 0 AS failed FROM pr),
+q AS (SELECT *, CASE WHEN failed OR NOT has_history THEN raw ELSE right(prompt, 20) END AS query FROM v)
+SELECT query_id, CASE WHEN failed OR length(prompt) % 2 = 1 THEN 'legal_rag' ELSE 'out_of_scope' END AS category, query,
+       coalesce(nullif(CASE WHEN NOT failed AND length(prompt) % 3 = 0 THEN right(prompt, 10) ELSE raw END, ''), query) AS retrieval, CASE WHEN failed THEN 'timeout' END AS analyzer_error
+FROM q""",
+    "answer": f"""WITH p AS (SELECT item_id AS query_id, item_id % 4 AS n, 'NGỮ CẢNH:' || chr(10) || '» ' || text || chr(10) || chr(10) || 'CÂU HỎI: ' || text || chr(10) || chr(10) || 'Hãy trả lời dựa CHỈ trên ngữ cảnh trên, tuân thủ các quy tắc ở hệ thống.' AS prompt FROM benchmark)
+SELECT query_id, CASE WHEN n = 0 OR length(prompt) % 5 = 0 THEN '' WHEN length(prompt) % 3 = 0 THEN '{REFUSAL}' ELSE CAST(length(prompt) AS VARCHAR) END AS answer,
+       n = 0 OR (length(prompt) % 5 <> 0 AND length(prompt) % 3 = 0) AS refused, CASE WHEN n > 0 AND length(prompt) % 5 = 0 THEN 'timeout' END AS error FROM p""",
+}

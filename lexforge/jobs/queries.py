@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,8 +15,10 @@ from ..operators import chunks as C
 from ..operators import dense as D
 from ..operators import retrieve as R
 from ..operators import structure as S
+from ..sources import chunk_files as CF
+from ..sources import documents as S1
 from ..sources.chunk_files import upsert_points
-from ..sources.stage import stored
+from ..sources.stage import shared_folder, stored
 from . import fixtures as X
 
 QUERIES = {}
@@ -222,7 +226,7 @@ def attach_siblings(spark, sf):
 
 @query
 def explicit_else_hybrid(spark, sf):
-    """Questions with references of even number ask by reference too; the others have hybrid hits alone."""
+    """Questions of two sets with ids of their own: a question with references has the hits of these, any other the hybrid hits."""
     p = stored(X.payload(spark, sf), "points")
     refs = R.extract_legal_refs(X.ref_queries(spark, sf), R.short_numbers(p))
     explicit = R.resolve_explicit_refs(refs, p)
@@ -311,4 +315,115 @@ def response(spark, sf):
 
 @query
 def l2_normalize(spark, sf):
-    return X.table(spark, sf, "embeddings").select("vec_id", F.transform(T.l2_normalize(F.transform("embedding", lambda x: x * 3)), lambda x: F.round(x, 4).cast("string")).alias("v")).select("vec_id", F.size("v").cast("long").alias("dim"), F.round(F.get("v", 0).cast("double"), 4).alias("first"))
+    v = T.l2_normalize(F.transform("embedding", lambda x: x * 3))
+    return X.table(spark, sf, "embeddings").select("vec_id", F.array_join(F.transform(v, lambda x: F.round(x * 10000).cast("long").cast("string")), " ").alias("unit"))
+
+
+@query
+def read_blocks(spark, sf):
+    """Files of all documents, decoded as a directory of them is."""
+    return S1.decode_files(X.statute_files(spark, sf)).select("doc_key", F.col("block_idx").cast("long").alias("block_idx"), "kind", "text")
+
+
+@query
+def load_registry(spark, sf):
+    path = f"{shared_folder(spark)}/lexforge/registry-{uuid.uuid4().hex}"
+    X.registry(spark, sf).drop("source_file").write.json(path)
+    return S1.load_registry(spark, path)
+
+
+@query
+def chunk_files(spark, sf):
+    """Chunks written document by document, read, merged into one set of files, and read again."""
+    path = f"{shared_folder(spark)}/lexforge/chunk-files-{uuid.uuid4().hex}"
+    made = stored(X.chunks(spark, sf, linked=False), "chunks")
+    CF.write_chunks_per_document(made, f"{path}/each")
+    # A document's chunks are read in the order of its file.
+    back = CF.read_chunks(spark, f"{path}/each").withColumns({"doc_key": F.col("doc_key").cast("string"), "chunk_seq": F.monotonically_increasing_id()})
+    CF.merge_chunks(back, f"{path}/all")
+    return CF.read_chunks(spark, f"{path}/all").select("metadata.*", "page_content").drop("ngay_het_hieu_luc")
+
+
+@query
+def reset_index(spark, sf):
+    """Stored points replaced by those of other files."""
+    path = f"{shared_folder(spark)}/lexforge/index-{uuid.uuid4().hex}"
+    points = stored(X.payload(spark, sf), "points")
+    CF.reset_index(points.withColumn("source_file", F.lit("old")), path)
+    CF.reset_index(points, path)
+    return C.points_per_source(spark.read.parquet(path))
+
+
+def _embedded(rows, kind):
+    e5 = "intfloat/multilingual-e5-small"
+    prefix = rows.sparkSession.range(1).select(T.model_prefix(F.lit(e5), kind)).first()[0]
+    v = D.embed(rows, "text", X.shape_encoder, 3, prefix=prefix)
+    return v.select("id", F.array_join(F.transform("embedding", lambda x: F.round(x.cast("double") * 1000).cast("long").cast("string")), " ").alias("unit"))
+
+
+@query
+def embed_passages(spark, sf):
+    return _embedded(X.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), "passage")
+
+
+@query
+def embed_queries(spark, sf):
+    return _embedded(X.table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text"), "query")
+
+
+@query
+def embedding_models(spark, sf):
+    """Dimension, provider and prefix of the model that each document is given in turn."""
+    names = F.array(*[F.lit(m) for m in T.MODELS])
+    d = X.table(spark, sf, "documents").select("doc_id", F.get(names, (F.col("doc_id") % len(T.MODELS)).cast("int")).alias("model"))
+    m = F.col("model")
+    return d.select("doc_id", "model", T.embedding_dim(m).cast("long").alias("dim"), T.embedding_provider(m).alias("provider"), T.model_prefix(m, "query").alias("prefix"))
+
+
+def _turns(spark, sf):
+    """Each conversation's history and its last question."""
+    t = X.table(spark, sf, "conversations")
+    none = F.array().cast("array<struct<dieu_so:string,khoan_so:string,ten_van_ban:string,so_hieu:string>>")
+    last = t.groupBy("conv_id").agg(F.max("turn").alias("last"), F.max_by("text", "turn").alias("raw"))
+    before = t.join(last.select("conv_id", "last"), "conv_id").filter("turn < last").drop("last")
+    return last.join(A.format_history(before.withColumn("sources", none)), "conv_id", "left").select(F.col("conv_id").alias("query_id"), "raw", F.coalesce("history", F.lit(A.NO_HISTORY)).alias("history"))
+
+
+@query
+def analyzer_prompts(spark, sf):
+    q = _turns(spark, sf)
+    return q.select("query_id", F.sha2(A.analyzer_prompt(F.col("history"), F.col("raw")), 256).alias("prompt_sha256"))
+
+
+def _analyst():
+    """A stand-in for a model: the category goes by the length of the prompt; some prompts fail."""
+
+    def verdict(prompt):
+        if len(prompt) % 7 == 0:
+            raise ValueError("timeout")
+        return {"category": "legal_rag" if len(prompt) % 2 else "out_of_scope", "standalone_query": prompt[-20:], "retrieval_query": None if len(prompt) % 3 else prompt[-10:]}
+
+    return lambda pdf: [verdict(p) for p in pdf["prompt"]]
+
+
+@query
+def analyze(spark, sf):
+    return A.analyze(_turns(spark, sf), _analyst).select("query_id", "category", "query", "retrieval", "analyzer_error")
+
+
+def _responder():
+    """A stand-in for a model: refuses some prompts, fails on others."""
+
+    def say(prompt):
+        if len(prompt) % 5 == 0:
+            raise ValueError("timeout")
+        return T.REFUSAL if len(prompt) % 3 == 0 else f"{len(prompt)}"
+
+    return lambda pdf: [say(p) for p in pdf["prompt"]]
+
+
+@query
+def answer(spark, sf):
+    """Benchmark passages as contexts of as many hits as their number says, asked about themselves."""
+    b = X.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.concat(F.lit("» "), "text").alias("context"), (F.col("item_id") % 4).alias("n_hits"))
+    return A.answer(b, _responder).select("query_id", "answer", "refused", "error")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..schemas import HISTORY_TURNS
+from .dense import map_model
 
 # Texts of prompts and answers.
 NO_HISTORY = "(chưa có)"
@@ -131,3 +132,29 @@ def annotate_validity(con_hieu_luc: Column, ngay_het: Column, loai_thay_doi: Col
         label = F.when(loai_thay_doi == k, v).otherwise(label)
     changed = F.concat(F.lit("⚠️ Điều này "), label, F.when(_some(bi_sua_doi_boi), F.concat(F.lit(" bởi `"), bi_sua_doi_boi, F.lit("`"))).otherwise(""))
     return F.struct(F.when(~F.coalesce(con_hieu_luc, F.lit(True)), gone).alias("expired"), F.when(_some(loai_thay_doi), changed).alias("changed"))
+
+
+ANALYSIS = "struct<category:string,standalone_query:string,retrieval_query:string>"
+
+
+def analyze(questions: DataFrame, make) -> DataFrame:
+    """(query_id, raw, history) with the analyzer's verdict: category, query and retrieval, by defaults where the model fails.
+
+    make() gives a model from prompts (a column ``prompt``) to dicts of the three fields.
+    """
+    asked = questions.withColumn("prompt", analyzer_prompt(F.col("history"), F.col("raw")))
+    said = map_model(asked, make, "verdict", ANALYSIS, "analyzer_error")
+    fields = {c: F.col(f"verdict.{c}") for c in ("category", "standalone_query", "retrieval_query")}
+    known = said.withColumns({**fields, "has_history": F.col("history") != NO_HISTORY})
+    return apply_analyzer_defaults(known.drop("verdict", "prompt"))
+
+
+def answer(contexts: DataFrame, make) -> DataFrame:
+    """(query_id, query, context, n_hits) with answer, refused and error.
+
+    make() gives a model from prompts to answers. Questions without hits are refused without asking it.
+    """
+    asked = contexts.filter("n_hits > 0").withColumn("prompt", answer_prompt(F.col("context"), F.col("query")))
+    said = map_model(asked, make, "said", "string").select("query_id", "said", "error")
+    s = empty_result_status(F.col("n_hits"), F.col("said"), F.col("error"))
+    return contexts.join(said, "query_id", "left").withColumn("s", s).drop("said", "error").select("*", "s.*").drop("s")

@@ -93,19 +93,27 @@ def hashing_encoder(dim: int = 64) -> Callable[[list[str]], np.ndarray]:
     return encode
 
 
-def map_model(df: DataFrame, make: Callable[[], Callable[[pd.DataFrame], list]], out_col: str, out_type: str) -> DataFrame:
-    """df with one column from a user's model: ``make`` is called once per task, the model once per batch. An exception gives null."""
-    from pyspark.sql import types as T
+def map_model(df: DataFrame, make: Callable[[], Callable[[pd.DataFrame], list]], out_col: str, out_type: str, error_col: str = "error") -> DataFrame:
+    """df with one column from a user's model and one with its error.
 
-    schema = T.StructType([*df.schema.fields, T.StructField(out_col, T._parse_datatype_string(out_type))])
+    ``make`` is called once per task, the model once per batch. A batch that fails is
+    tried again row by row: rows that fail then have a null value and the error's text.
+    """
+    schema = df.withColumns({out_col: F.lit(None).cast(out_type), error_col: F.lit(None).cast("string")}).schema
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make()
         for pdf in it:
+            errors: list[str | None] = [None] * len(pdf)
             try:
                 values = list(model(pdf))
             except Exception:  # noqa: BLE001 - a failing model must not fail the job
                 values = [None] * len(pdf)
-            yield pdf.assign(**{out_col: values})
+                for i in range(len(pdf)):
+                    try:
+                        values[i] = list(model(pdf.iloc[i : i + 1]))[0]
+                    except Exception as e:  # noqa: BLE001
+                        errors[i] = str(e)
+            yield pdf.assign(**{out_col: pd.Series(values, index=pdf.index, dtype=object), error_col: errors})
 
     return df.mapInPandas(run, schema)

@@ -50,7 +50,12 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
 
     Files are read by Spark, one file per row, and decoded in the tasks.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").load(path).select("path", "content")
+    return decode_files(spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").load(path))
+
+
+def decode_files(found: DataFrame) -> DataFrame:
+    """The blocks of files (path, content)."""
+    files = found.select("path", "content")
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -5,19 +5,29 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet under ``spark.checkpoint.dir`` (a temporary folder only where that is unset) and read it back."""
+    """Write df as Parquet under ``spark.checkpoint.dir`` and read it back.
+
+    Where that is unset a temporary folder serves if everything runs in one JVM, as in tests; else it is an error.
+    """
     spark = df.sparkSession
+    path = f"{shared_folder(spark)}/lexforge/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Folder that the driver and every executor can read."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="spark-lexforge-"))
         base = _own[0]
-    path = f"{base}/lexforge/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return base

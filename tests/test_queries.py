@@ -15,7 +15,8 @@ def rows(df):
     return sorted([clean(v) for v in r] for r in df[cols].astype(object).itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", ["structure_nodes", "chunks", "bm25_topk", "dense_topk", "sibling_map", "citations", "upsert", "history"])
+@pytest.mark.parametrize("name", ["structure_nodes", "chunks", "bm25_topk", "dense_topk", "sibling_map", "citations", "upsert", "history", "read_blocks", "load_registry", "chunk_files", "reset_index", "embed_passages", "embed_queries",
+                                  "embedding_models", "analyzer_prompts", "analyze", "answer", "l2_normalize", "term_stats", "analyzer_defaults", "route", "response"])
 def test_against_sql(spark, name):
     from lexforge.jobs.oracles import ORACLES
     from lexforge.jobs.queries import QUERIES
