@@ -364,6 +364,6 @@ SELECT query_id, CASE WHEN failed OR length(prompt) % 2 = 1 THEN 'legal_rag' ELS
        coalesce(nullif(CASE WHEN NOT failed AND length(prompt) % 3 = 0 THEN right(prompt, 10) ELSE raw END, ''), query) AS retrieval, CASE WHEN failed THEN 'timeout' END AS analyzer_error
 FROM q""",
     "answer": f"""WITH p AS (SELECT item_id AS query_id, item_id % 4 AS n, 'NGỮ CẢNH:' || chr(10) || '» ' || text || chr(10) || chr(10) || 'CÂU HỎI: ' || text || chr(10) || chr(10) || 'Hãy trả lời dựa CHỈ trên ngữ cảnh trên, tuân thủ các quy tắc ở hệ thống.' AS prompt FROM benchmark)
-SELECT query_id, CASE WHEN n = 0 OR length(prompt) % 5 = 0 THEN '' WHEN length(prompt) % 3 = 0 THEN '{REFUSAL}' ELSE CAST(length(prompt) AS VARCHAR) END AS answer,
+SELECT query_id, CASE WHEN n = 0 OR length(prompt) % 5 = 0 THEN '' WHEN length(prompt) % 3 = 0 THEN '{REFUSAL}.' ELSE CAST(length(prompt) AS VARCHAR) END AS answer,
        n = 0 OR (length(prompt) % 5 <> 0 AND length(prompt) % 3 = 0) AS refused, CASE WHEN n > 0 AND length(prompt) % 5 = 0 THEN 'timeout' END AS error FROM p""",
 }
