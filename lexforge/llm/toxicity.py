@@ -12,7 +12,7 @@ sample has a vector of its own. What it adds to a text is scaled: by the spread
 its weights, and by a smooth function of Welch's t between the classes,
 t ** 8 / (t ** 8 + ``typical_t`` ** 8), so that n-grams which differ no more than by
 chance learn slowly and are not learned by heart. The statistics are summed by Spark,
-one row a bucket; of the sample only bucket weights reach the driver, never texts.
+one row a bucket, and one task fits the sample: the driver gets the model alone.
 
 Scoring covers every whole text: for a trained model a bucket's part of the logit is
 one number, so the model sent to the tasks is one array of ``buckets`` numbers, and a
@@ -199,11 +199,16 @@ def train(
     if len(n) < 2:
         return ToxicityModel(np.zeros(buckets), math.inf if 1 in n else -math.inf, n_min, n_max)
     scale = bucket_scales(bucket_statistics(texts, buckets, n_min, n_max), (n[0], n[1]), buckets, typical_t, typical_docs)
-    rows = features(texts, buckets, n_min, n_max).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["toxic"], r["idx"]))
-    label = np.array([r["toxic"] for r in rows], dtype=np.int64)
-    part, bias = fit([np.frombuffer(r["idx"], "<i4") for r in rows], [np.frombuffer(r["weight"], "<f4") for r in rows], label, scale, seed=seed)
-    return ToxicityModel(part, bias, n_min, n_max)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(row for b in batches for row in zip(*[b.column(c).to_pylist() for c in range(4)], strict=True))
+        label = np.array([r[1] for r in rows], dtype=np.int64)
+        part, bias = fit([np.frombuffer(r[2], "<i4") for r in rows], [np.frombuffer(r[3], "<f4") for r in rows], label, scale, seed=seed)
+        yield pa.RecordBatch.from_arrays([pa.array([part.astype("<f8").tobytes()], pa.binary()), pa.array([bias], pa.float64())], ["part", "bias"])
+
+    # One task fits the bounded sample; the driver gets the model alone.
+    fitted = features(texts, buckets, n_min, n_max).repartition(1).mapInArrow(learn, "part binary, bias double").first()
+    return ToxicityModel(np.frombuffer(fitted["part"], "<f8"), fitted["bias"], n_min, n_max)
 
 
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", score_col: str = "toxicity") -> DataFrame:
