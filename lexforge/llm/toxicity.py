@@ -208,7 +208,10 @@ def train(
 
     # One task fits the bounded sample; the driver gets the model alone.
     fitted = features(texts, buckets, n_min, n_max).repartition(1).mapInArrow(learn, "part binary, bias double").first()
-    return ToxicityModel(np.frombuffer(fitted["part"], "<f8"), fitted["bias"], n_min, n_max)
+    # The sample has another share of toxic rows than all labelled rows; the bias is put back to theirs.
+    every = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
+    shift = math.log(every[1] / every[0]) - math.log(n[1] / n[0])
+    return ToxicityModel(np.frombuffer(fitted["part"], "<f8"), fitted["bias"] + shift, n_min, n_max)
 
 
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", score_col: str = "toxicity") -> DataFrame:
