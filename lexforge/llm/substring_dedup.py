@@ -421,7 +421,7 @@ def remove_repeats(docs: DataFrame, size: int = 20, id_col: str = "doc_id", text
     parts = shuffle_width(docs.sparkSession)
     # Packed entries are about a tenth of the texts' size, so a quarter of the partitions holds them.
     few = max(1, parts // 4)
-    buckets = 16 * parts
+    buckets = 4 * parts
     # The one exchange of the texts; the joins below are on its key.
     dealt = docs.select(numbered(F.col(id_col)).alias("id"), utf8(text_col).alias("utf8")).repartition(parts, "id")
     blobs = lambda found: found.groupBy("id").agg(F.collect_list("places").alias("blobs"))
