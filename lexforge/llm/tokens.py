@@ -138,6 +138,8 @@ def length_report(histogram: DataFrame, limits: tuple[int, ...] = LIMITS, shares
     texts are. An empty histogram gives an empty report.
     """
     spark = histogram.sparkSession
+    # Two branches below read it: stored, so that the texts are encoded once.
+    histogram = materialize(histogram, "histogram")
     some = histogram.select(F.lit(True).alias("some")).limit(1)
     given = spark.createDataFrame([(int(n),) for n in limits], "n_tokens long").join(F.broadcast(some)).select("n_tokens", F.lit(0).cast("long").alias("n_docs"))
     every = histogram.select(F.col("n_tokens").cast("long").alias("n_tokens"), "n_docs").unionByName(given).groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
