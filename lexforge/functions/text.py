@@ -57,14 +57,14 @@ def group(c: Column, pattern: str, n: int) -> Column:
 
 
 def roman_to_int(c: Column) -> Column:
-    """Digits as they are; else the additive and subtractive sum of Roman digits in either case, other characters counting 0."""
+    """Digits as they are (null beyond 32 bits); else the additive and subtractive sum of Roman digits in either case, other characters counting 0."""
     digits = F.split(F.upper(c), "")
     value = lambda x: (
         F.when(x == "I", 1).when(x == "V", 5).when(x == "X", 10).when(x == "L", 50).when(x == "C", 100).when(x == "D", 500).when(x == "M", 1000).otherwise(0)
     )
     values = F.transform(digits, value)
     signed = F.transform(values, lambda v, i: F.when(v < F.coalesce(F.get(values, i + 1), F.lit(0)), -v).otherwise(v))
-    return F.when(c.rlike(r"^\d+$"), c.cast("int")).otherwise(F.aggregate(signed, F.lit(0), lambda a, v: a + v))
+    return F.when(c.rlike(r"^\d+$"), c.try_cast("int")).otherwise(F.aggregate(signed, F.lit(0), lambda a, v: a + v))
 
 
 def heading_kind(line: Column) -> Column:

@@ -39,7 +39,7 @@ def strip(c: str) -> str:
 def roman(e: str) -> str:
     v = lambda i: f"CASE upper(substr({e}, {i}, 1)) WHEN 'I' THEN 1 WHEN 'V' THEN 5 WHEN 'X' THEN 10 WHEN 'L' THEN 50 WHEN 'C' THEN 100 WHEN 'D' THEN 500 WHEN 'M' THEN 1000 ELSE 0 END"
     one = f"CASE WHEN ({v('i')}) < ({v('i + 1')}) THEN -({v('i')}) ELSE ({v('i')}) END"
-    return rf"CASE WHEN {e} IS NULL THEN NULL WHEN regexp_matches({e}, '^\d+$') THEN CAST({e} AS INTEGER) ELSE CAST(list_sum(list_transform(range(1, length({e}) + 1), lambda i: {one})) AS INTEGER) END"
+    return rf"CASE WHEN {e} IS NULL THEN NULL WHEN regexp_matches({e}, '^\d+$') THEN TRY_CAST({e} AS INTEGER) ELSE CAST(coalesce(list_sum(list_transform(range(1, length({e}) + 1), lambda i: {one})), 0) AS INTEGER) END"
 
 
 def tokens(c: str) -> str:
@@ -143,7 +143,8 @@ lf AS (
 reg AS (
   SELECT CAST(doc_id AS VARCHAR) AS doc_key, doc_id || '/2024/NĐ-CP' AS so_hieu, 'Nghị định ' || doc_id AS ten_van_ban, 'nghi_dinh' AS loai_van_ban, source AS co_quan_ban_hanh,
          '2024-06-27' AS ngay_ban_hanh, '2025-01-01' AS ngay_hieu_luc, doc_id % 10 <> 0 AS con_hieu_luc, 'raw/' || doc_id || '.docx' AS source_file
-  FROM documents WHERE doc_id % 17 <> 0),
+  FROM documents),
+gap AS (SELECT * FROM reg WHERE CAST(doc_key AS BIGINT) % 17 <> 0),
 ch AS (
   SELECT doc_key, chunk_seq, replace(replace(so_hieu, '/', '_'), '-', '_') || '_d' || dieu_so || CASE WHEN khoan_so IS NULL THEN '' ELSE '_k' || khoan_so END || CASE WHEN diem IS NULL THEN '' ELSE '_d' || diem END AS chunk_id,
          so_hieu, ten_van_ban, loai_van_ban, coalesce(co_quan_ban_hanh, '') AS co_quan_ban_hanh, ngay_ban_hanh, ngay_hieu_luc, con_hieu_luc, chuong_so, chuong_ten, muc_so, muc_ten, dieu_so, khoan_so, diem,
@@ -255,7 +256,7 @@ OUT = "\n    Xin lỗi, tôi chỉ tư vấn về Luật Giao thông Việt Nam
 
 ORACLES = {
     "tokenize": f"SELECT doc_id, array_to_string({tokens('text')}, ' ') AS tokens FROM documents",
-    "roman_to_int": rf"WITH w AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS word FROM documents) SELECT word, {roman('word')} AS value FROM w WHERE regexp_matches(word, '^[A-Za-z0-9]+$') AND NOT regexp_matches(word, '^\d{{10,}}$')",
+    "roman_to_int": rf"WITH w AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS word FROM documents) SELECT word, {roman('word')} AS value FROM w",
     "parse_heading": f"WITH {BLOCKS}, k AS (SELECT doc_key, block_idx, raw AS x, {KIND.replace('(x,', '(raw,')} AS t FROM blk) SELECT doc_key, CAST(block_idx AS INTEGER) AS block_idx, t AS kind, {_part(1)} AS number, {strip(_part(2))} AS rest FROM k",
     "classify_structure": f"WITH {STATE} SELECT doc_key, CAST(block_idx AS INTEGER) AS block_idx, t, eff, active, {L('dgrp', 'khoan_ord', 'diem_ord', 'chuong_ord', 'muc_ord')} FROM st",
     "structure_nodes": f"WITH {NODES} SELECT doc_key, {L('dgrp', 'khoan_ord', 'diem_ord', 'chuong_so', 'muc_so')}, chuong_ten, muc_ten, number, head, text FROM nd",
@@ -273,8 +274,8 @@ SELECT a.doc_key, CAST(a.dgrp AS BIGINT) AS dgrp, dieu_so, dieu_preview, CAST(kh
     "table_markdown": """WITH r AS (SELECT r_name, '| ' || n_name || ' | ' || r_name || ' region | ' || n_name || ' |' AS line, n_nationkey AS k FROM nation JOIN region ON n_regionkey = r_regionkey),
 g AS (SELECT r_name, list(line ORDER BY k) AS l FROM r GROUP BY r_name) SELECT r_name, l[1] || chr(10) || '| --- | --- | --- |' || coalesce(chr(10) || nullif(array_to_string(l[2:], chr(10)), ''), '') AS markdown FROM g""",
     "row_ids": f"WITH {CHUNKS} SELECT doc_key, {L('chunk_seq', 'row_id')} FROM pay",
-    "registry_join": f"WITH {CHUNKS} SELECT doc_key, so_hieu, co_quan_ban_hanh, con_hieu_luc, count(*) AS n_blocks FROM blk JOIN reg USING (doc_key) GROUP BY ALL",
-    "unregistered": f"WITH {CHUNKS} SELECT DISTINCT doc_key FROM blk WHERE doc_key NOT IN (SELECT doc_key FROM reg)",
+    "registry_join": f"WITH {CHUNKS} SELECT doc_key, so_hieu, co_quan_ban_hanh, con_hieu_luc, count(*) AS n_blocks FROM blk JOIN gap USING (doc_key) GROUP BY ALL",
+    "unregistered": f"WITH {CHUNKS} SELECT DISTINCT doc_key FROM blk WHERE doc_key NOT IN (SELECT doc_key FROM gap)",
     "payload": f"WITH {CHUNKS} SELECT {L('row_id')}, {PAY_COLUMNS}, refs AS noi_dung_tham_chieu FROM pay",
     "upsert": """WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_id % 2 ORDER BY event_id DESC) AS n FROM events),
 o AS (SELECT event_id, user_id, event_type FROM e WHERE n = 1 AND event_id % 2 = 1), b AS (SELECT event_id, user_id, event_type FROM e WHERE n = 1 AND event_id % 2 = 0)

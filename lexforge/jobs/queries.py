@@ -37,7 +37,7 @@ def tokenize(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def roman_to_int(spark, sf):
     words = X.table(spark, sf, "documents").select(F.explode(F.split("text", " ")).alias("word")).distinct()
-    return words.filter(F.col("word").rlike(r"^[A-Za-z0-9]+$") & ~F.col("word").rlike(r"^\d{10,}$")).select("word", T.roman_to_int(F.col("word")).alias("value"))
+    return words.select("word", T.roman_to_int(F.col("word")).alias("value"))
 
 
 @query
@@ -111,12 +111,12 @@ def row_ids(spark, sf):
 
 @query
 def registry_join(spark, sf):
-    return C.attach_registry(X.blocks(spark, sf), X.registry(spark, sf)).groupBy("doc_key", "so_hieu", "co_quan_ban_hanh", "con_hieu_luc").agg(F.count(F.lit(1)).alias("n_blocks"))
+    return C.attach_registry(X.blocks(spark, sf), X.registry(spark, sf, gaps=True)).groupBy("doc_key", "so_hieu", "co_quan_ban_hanh", "con_hieu_luc").agg(F.count(F.lit(1)).alias("n_blocks"))
 
 
 @query
 def unregistered(spark, sf):
-    return C.unregistered_documents(X.blocks(spark, sf), X.registry(spark, sf))
+    return C.unregistered_documents(X.blocks(spark, sf), X.registry(spark, sf, gaps=True))
 
 
 @query
