@@ -407,7 +407,8 @@ def ranked_ids(docs: DataFrame, id_col: str) -> DataFrame:
 
 def numbered(key: Column) -> Column:
     """The id as a long; rows without one get numbers of their own below all ids."""
-    return F.when(key.isNotNull(), key.cast("long")).otherwise(F.lit(NO_ID) + F.monotonically_increasing_id())
+    # Never null by its form too: a filter on nulls before one of the joins would keep Spark from using the texts' exchange again.
+    return F.coalesce(key.cast("long"), F.lit(NO_ID) + F.monotonically_increasing_id())
 
 
 def remove_repeats(docs: DataFrame, size: int = 20, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
