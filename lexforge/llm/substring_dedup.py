@@ -29,7 +29,8 @@ bucket. Before sending, a task settles what it can: of a key that occurs several
 times in it one place is sent, and of a window several times in it the earliest. A
 passage in a third of all documents thus sends one entry per task and flush, not one
 per document. The receiving task has its rows sorted by bucket (by Spark, which spills)
-and settles one bucket at a time, so its memory is that of one bucket. The texts are dealt by id once, and that exchange serves all steps.
+and settles one bucket at a time; what it finds is packed by document over several buckets, HELD places at a time.
+Its memory is that of one bucket and of these places. The texts are dealt by id once, and that exchange serves all steps.
 
 Defined results: null text has no words; a text shorter than a window keeps all its
 words; rows without an id are documents of their own, before all others, in the order
@@ -60,6 +61,7 @@ IDS = -(2**62)  # and ids begin here
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE2 = np.uint64(0xD1342543DE82EF95)
 FLUSH_WORDS = 1_000_000
+HELD = 6_000_000  # places that a task holds before it packs them by document
 ROUNDS = 3
 LONGEST = 10  # words in a symbol
 LEAST = 6  # words in an anchor's interval
@@ -284,19 +286,41 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[tup
         yield [], rows
 
 
-def _share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the anchors of this partition's buckets, those whose key occurs more than once, by document."""
-    for passed, rows in _buckets(batches):
-        if passed:
-            yield _packed(passed)
-            continue
-        parts = [_get(p, "<i8", "<u4", "u1") for _, _, _, p in rows]
-        doc, place, span = (np.concatenate([x[k] for x in parts]) for k in range(3))
-        key = np.concatenate([np.frombuffer(k, "<u8") for _, _, k, _ in rows])
-        order = np.argsort(key, kind="stable")
-        same = key[order][1:] == key[order][:-1]
-        shared = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
-        yield _packed([(-1, d, None, _put(place[shared[at]], span[shared[at]])) for d, at in _by(doc[shared])])
+def _settled(settle):
+    """What is known already passes; the places that ``settle`` finds in each bucket are packed by document, HELD at a time."""
+
+    def pack(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        doc, *more = (np.concatenate(c) for c in zip(*held, strict=True))
+        rows = ((-1, d, None, _put(*(m[at] for m in more))) for d, at in _by(doc))
+        while some := list(itertools.islice(rows, 10_000)):
+            yield _packed(some)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
+        for passed, rows in _buckets(batches):
+            if passed:
+                yield _packed(passed)
+                continue
+            held.append(settle(rows))
+            total += len(held[-1][0])
+            if total >= HELD:
+                yield from pack(held)
+                held, total = [], 0
+        if held:
+            yield from pack(held)
+
+    return run
+
+
+def _shared(rows: list[tuple]) -> tuple[np.ndarray, ...]:
+    """(document, place, span) of the anchors of a bucket whose key occurs more than once."""
+    parts = [_get(p, "<i8", "<u4", "u1") for _, _, _, p in rows]
+    doc, place, span = (np.concatenate([x[k] for x in parts]) for k in range(3))
+    key = np.concatenate([np.frombuffer(k, "<u8") for _, _, k, _ in rows])
+    order = np.argsort(key, kind="stable")
+    same = key[order][1:] == key[order][:-1]
+    shared = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
+    return doc[shared], place[shared], span[shared]
 
 
 def _window_keys(prefix: Prefix, prefix2: Prefix, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -342,23 +366,19 @@ def _find_windows(size: int, buckets: int):
     return run
 
 
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the windows of this partition's buckets, the places that are not the earliest of theirs, by document."""
-    for passed, rows in _buckets(batches):
-        if passed:
-            yield _packed(passed)
-            continue
-        parts = [_get(p, "<i8", "<u4") for _, _, _, p in rows]
-        doc, place = (np.concatenate([x[k] for x in parts]) for k in range(2))
-        sizes = [len(k) // 12 for _, _, k, _ in rows]
-        h1 = np.concatenate([np.frombuffer(k, "<u8", n) for (_, _, k, _), n in zip(rows, sizes, strict=True)])
-        h2 = np.concatenate([np.frombuffer(k, "<u4", n, 8 * n) for (_, _, k, _), n in zip(rows, sizes, strict=True)])
-        order = np.lexsort((place, doc, h2, h1))
-        a, b = h1[order], h2[order]
-        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        first = order[np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))]
-        gone = np.sort(order[(doc[order] != doc[first]) | (place[order] != place[first])])
-        yield _packed([(-1, d, None, _put(place[gone[p]], h2[gone[p]])) for d, p in _by(doc[gone])])
+def _later(rows: list[tuple]) -> tuple[np.ndarray, ...]:
+    """(document, place, hash) of the windows of a bucket that are not the earliest of theirs."""
+    parts = [_get(p, "<i8", "<u4") for _, _, _, p in rows]
+    doc, place = (np.concatenate([x[k] for x in parts]) for k in range(2))
+    sizes = [len(k) // 12 for _, _, k, _ in rows]
+    h1 = np.concatenate([np.frombuffer(k, "<u8", n) for (_, _, k, _), n in zip(rows, sizes, strict=True)])
+    h2 = np.concatenate([np.frombuffer(k, "<u4", n, 8 * n) for (_, _, k, _), n in zip(rows, sizes, strict=True)])
+    order = np.lexsort((place, doc, h2, h1))
+    a, b = h1[order], h2[order]
+    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    first = order[np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))]
+    gone = np.sort(order[(doc[order] != doc[first]) | (place[order] != place[first])])
+    return doc[gone], place[gone], h2[gone]
 
 
 def _remove(size: int, with_text: bool):
@@ -427,9 +447,9 @@ def remove_repeats(docs: DataFrame, size: int = 20, id_col: str = "doc_id", text
     dealt = docs.select(numbered(F.col(id_col)).alias("id"), utf8(text_col).alias("utf8")).repartition(parts, "id")
     blobs = lambda found: found.groupBy("id").agg(F.collect_list("places").alias("blobs"))
     by_bucket = lambda rows: rows.repartition(few, "bucket").sortWithinPartitions("bucket")
-    shared = by_bucket(dealt.mapInArrow(_find_anchors(size, buckets), PACKED)).mapInArrow(_share, PACKED)
+    shared = by_bucket(dealt.mapInArrow(_find_anchors(size, buckets), PACKED)).mapInArrow(_settled(_shared), PACKED)
     candidates = dealt.join(blobs(shared).hint("shuffle_hash"), "id")
-    gone = by_bucket(candidates.mapInArrow(_find_windows(size, buckets), PACKED)).mapInArrow(_settle, PACKED)
+    gone = by_bucket(candidates.mapInArrow(_find_windows(size, buckets), PACKED)).mapInArrow(_settled(_later), PACKED)
     repeated = docs.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.count(F.lit(1)).alias("versions")).filter("versions > 1")
     marks = blobs(gone).join(repeated, "id", "left")
     result = dealt.join(marks.hint("shuffle_hash"), "id", "left").mapInArrow(
