@@ -29,8 +29,9 @@ bucket. Before sending, a task settles what it can: of a key that occurs several
 times in it one place is sent, and of a window several times in it the earliest. A
 passage in a third of all documents thus sends one entry per task and flush, not one
 per document. The receiving task has its rows sorted by bucket (by Spark, which spills)
-and settles one bucket at a time; what it finds is packed by document over several buckets, HELD places at a time.
-Its memory is that of one bucket and of these places. The texts are dealt by id once, and that exchange serves all steps.
+and settles one bucket at a time; what it finds is packed by block of documents over several buckets, HELD places at a
+time, and a last step makes one row of each document's places, one block at a time.
+Memory is that of one bucket or block and of these places. The texts are dealt by id once, and that exchange serves all steps.
 
 Defined results: null text has no words; a text shorter than a window keeps all its
 words; rows without an id are documents of their own, before all others, in the order
@@ -286,14 +287,15 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[tup
         yield [], rows
 
 
-def _settled(settle):
-    """What is known already passes; the places that ``settle`` finds in each bucket are packed by document, HELD at a time."""
+def _settled(settle, blocks: int, *kinds: str):
+    """What is known already passes; what ``settle`` finds in each bucket is packed by block of documents, HELD places at a time.
 
-    def pack(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+    A row for each document would be sent by every task; blocks keep these rows few.
+    """
+
+    def pack(held: list[tuple]) -> pa.RecordBatch:
         doc, *more = (np.concatenate(c) for c in zip(*held, strict=True))
-        rows = ((-1, d, None, _put(*(m[at] for m in more))) for d, at in _by(doc))
-        while some := list(itertools.islice(rows, 10_000)):
-            yield _packed(some)
+        return _packed([(-1 - b, None, doc[at].astype("<i8").tobytes(), _put(*(m[at].astype(k) for m, k in zip(more, kinds, strict=True)))) for b, at in _by(doc % blocks)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
@@ -304,10 +306,35 @@ def _settled(settle):
             held.append(settle(rows))
             total += len(held[-1][0])
             if total >= HELD:
-                yield from pack(held)
+                yield pack(held)
                 held, total = [], 0
         if held:
-            yield from pack(held)
+            yield pack(held)
+
+    return run
+
+
+def _unpacked(*kinds: str):
+    """(id, places): one row for each document, from rows sorted by block; one block at a time is in memory."""
+
+    def spread(rows: list[tuple]) -> pa.RecordBatch:
+        parts = [_get(p, *kinds) for _, _, p in rows]
+        doc = np.concatenate([np.full(len(x[0]), i, np.int64) if k is None else np.frombuffer(k, "<i8") for (i, k, _), x in zip(rows, parts, strict=True)])
+        more = [np.concatenate([x[k] for x in parts]) for k in range(len(kinds))]
+        found = [(d, _put(*(m[at] for m in more))) for d, at in _by(doc)]
+        return pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.int64()), pa.array([p for _, p in found], pa.binary())], ["id", "places"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, now = [], None
+        for b in batches:
+            for block, *row in zip(*[b.column(c).to_pylist() for c in range(4)], strict=True):
+                if block != now and rows:
+                    yield spread(rows)
+                    rows = []
+                now = block
+                rows.append(row)
+        if rows:
+            yield spread(rows)
 
     return run
 
@@ -445,13 +472,13 @@ def remove_repeats(docs: DataFrame, size: int = 20, id_col: str = "doc_id", text
     buckets = 4 * parts
     # The one exchange of the texts; the joins below are on its key.
     dealt = docs.select(numbered(F.col(id_col)).alias("id"), utf8(text_col).alias("utf8")).repartition(parts, "id")
-    blobs = lambda found: found.groupBy("id").agg(F.collect_list("places").alias("blobs"))
     by_bucket = lambda rows: rows.repartition(few, "bucket").sortWithinPartitions("bucket")
-    shared = by_bucket(dealt.mapInArrow(_find_anchors(size, buckets), PACKED)).mapInArrow(_settled(_shared), PACKED)
-    candidates = dealt.join(blobs(shared).hint("shuffle_hash"), "id")
-    gone = by_bucket(candidates.mapInArrow(_find_windows(size, buckets), PACKED)).mapInArrow(_settled(_later), PACKED)
+    blobs = lambda found, *kinds: by_bucket(found).mapInArrow(_unpacked(*kinds), "id long, places binary").groupBy("id").agg(F.collect_list("places").alias("blobs"))
+    shared = by_bucket(dealt.mapInArrow(_find_anchors(size, buckets), PACKED)).mapInArrow(_settled(_shared, buckets, "<u4", "u1"), PACKED)
+    candidates = dealt.join(blobs(shared, "<u4", "u1").hint("shuffle_hash"), "id")
+    gone = by_bucket(candidates.mapInArrow(_find_windows(size, buckets), PACKED)).mapInArrow(_settled(_later, buckets, "<u4", "<u4"), PACKED)
     repeated = docs.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.count(F.lit(1)).alias("versions")).filter("versions > 1")
-    marks = blobs(gone).join(repeated, "id", "left")
+    marks = blobs(gone, "<u4", "<u4").join(repeated, "id", "left")
     result = dealt.join(marks.hint("shuffle_hash"), "id", "left").mapInArrow(
         _remove(size, with_text), "id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
     )
