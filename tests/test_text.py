@@ -10,7 +10,7 @@ def one(spark, value, f, kind="string"):
     return spark.createDataFrame([(value,)], f"x {kind}").select(f(F.col("x")).alias("y")).head()["y"]
 
 
-@pytest.mark.parametrize(("raw", "n"), [("IV", 4), ("XII", 12), ("3", 3), ("1A", 0), ("IIII", 4), ("IC", 99), ("xii", 12), ("", 0), ("99999999999", None), ("Điều", 501)])
+@pytest.mark.parametrize(("raw", "n"), [("IV", 4), ("XII", 12), ("3", 3), ("1A", 0), ("IIII", 4), ("IC", 99), ("xii", 12), ("", 0), ("99999999999", None), ("Điều", 1)])
 def test_roman(spark, raw, n):
     assert one(spark, raw, T.roman_to_int) == n
 
