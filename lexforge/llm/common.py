@@ -44,11 +44,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexforge/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _stored.append(path)
+    df.write.parquet(keep_until_release(path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep_until_release(path: str) -> str:
+    """The path of files that an operator stores, noted for ``release``."""
+    _stored.append(path)
+    return path
+
+
 def release(spark: SparkSession) -> None:
     """Delete the tables that this session's operators stored; call it when their results are written."""
     jvm = spark.sparkContext._jvm

@@ -113,10 +113,70 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(m AS BIGINT) AS n_removed, sha
 FROM k
 """
 
+OP11 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+r AS (SELECT doc_id, t, u, len(u) AS n, list_transform(range(0, 4), lambda i: CAST('0x' || substr(h, 8 * i + 1, 8) AS UBIGINT)) AS k FROM d),
+c AS (
+  SELECT *, CASE WHEN t = '' OR regexp_matches(t, '<[PSM]>') OR k[3] % 100 >= 90 THEN 'plain' WHEN k[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+         CAST(least(k[1] % (n + 1), k[2] % (n + 1)) AS BIGINT) AS a, CAST(greatest(k[1] % (n + 1), k[2] % (n + 1)) AS BIGINT) AS b
+  FROM r),
+m AS (SELECT *, CAST(coalesce(list_sum(list_transform(u[1:a], lambda x: length(x))), 0) AS BIGINT) AS p, CAST(coalesce(list_sum(list_transform(u[a + 1:b], lambda x: length(x))), 0) AS BIGINT) AS q FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN p END AS prefix_chars, CASE WHEN form <> 'plain' THEN q END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t
+                        WHEN 'psm' THEN '<P>' || substr(t, 1, p) || '<S>' || substr(t, p + q + 1) || '<M>' || substr(t, p + 1, q)
+                        ELSE '<S>' || substr(t, p + q + 1) || '<P>' || substr(t, 1, p) || '<M>' || substr(t, p + 1, q) END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM m
+"""
+
+# CRC-32 by half bytes, low half first, over the distinct n-grams.
+OP12 = r"""
+WITH half AS (SELECT list_transform(range(0, 16), lambda i: list_reduce(range(0, 4), lambda v, s: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END, CAST(i AS BIGINT))) AS t),
+txt AS (SELECT 0 AS side, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+num AS (SELECT *, row_number() OVER () AS r FROM txt),
+w AS MATERIALIZED (
+  SELECT side, id, r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM num),
+f AS MATERIALIZED (
+  SELECT side, r, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS g
+  FROM w),
+u AS (SELECT DISTINCT g FROM f),
+x AS (SELECT g, hex(encode(g)) AS h FROM u),
+b AS MATERIALIZED (
+  SELECT g, xor(list_reduce(
+           list_transform(range(0, 2 * strlen(g)), lambda j: CAST(instr('0123456789ABCDEF', substr(h, CAST(CASE WHEN j % 2 = 0 THEN j + 2 ELSE j END AS BIGINT), 1)) - 1 AS BIGINT)),
+           lambda c, v: xor(c // 16, t[CAST(xor(c % 16, v) AS BIGINT) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) % 10000 AS bucket
+  FROM x, half),
+n AS MATERIALIZED (SELECT side, bucket, count(*) AS k FROM f JOIN b USING (g) GROUP BY side, bucket),
+total AS (SELECT coalesce(sum(k) FILTER (WHERE side = 0), 0) AS s, coalesce(sum(k) FILTER (WHERE side = 1), 0) AS t FROM n),
+gain AS MATERIALIZED (
+  SELECT i AS bucket, CAST(floor(1000 * ln((CAST(coalesce(d.k, 0) AS DOUBLE) + 1) * (CAST(s AS DOUBLE) + 10000) / ((CAST(c.k AS DOUBLE) + 1) * (CAST(t AS DOUBLE) + 10000)))) AS BIGINT) AS gain
+  FROM (SELECT bucket AS i, k FROM n WHERE side = 0) c LEFT JOIN (SELECT bucket, k FROM n WHERE side = 1) d ON i = d.bucket, total),
+per AS (SELECT r, count(*) AS n_features, sum(gain) AS weight FROM f JOIN b USING (g) JOIN gain USING (bucket) WHERE side = 0 GROUP BY r),
+sc AS (
+  SELECT id AS doc_id, r, len(w) >= 20 AS may, coalesce(n_features, 0) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+         CAST(floor(-1000 * ln(-ln((CAST(CAST('0x' || substr(sha256('42:' || coalesce(CAST(id AS VARCHAR), '')), 1, 8) AS UBIGINT) AS DOUBLE) + 0.5) / 4294967296.0))) AS BIGINT) AS noise
+  FROM w LEFT JOIN per USING (r) WHERE side = 0),
+rk AS (SELECT *, weight + noise AS score, row_number() OVER (ORDER BY may DESC, weight + noise DESC, doc_id NULLS LAST) AS place FROM sc)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score,
+       CASE WHEN may AND place <= 5 * (SELECT count(*) FROM sc WHERE may) // 100 THEN CAST(place AS BIGINT) END AS rank
+FROM rk
+"""
+
+OP13 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+q AS (SELECT page_id, octet_length(b) AS n, sha256(b) AS h, min(page_id) OVER (PARTITION BY sha256(b)) AS k FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest, CASE WHEN n >= 100 AND page_id IS DISTINCT FROM k THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id IS DISTINCT FROM k THEN k END AS refers_to
+FROM q
+"""
+
 ORACLES = {
     "op2_url_filters": OP2,
     "op4_exact_dedup": OP4,
     "op6_quality_rules": OP6,
     "op9_substring_dedup": OP9,
     "op10_secret_scans": _op10(),
+    "op11_fill_in_middle": OP11,
+    "op12_importance_resampling": OP12,
+    "op13_warc": OP13,
 }

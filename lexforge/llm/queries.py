@@ -10,7 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixture, near_dedup, packing, quality_rules, secrets, substring_dedup, tokens, toxicity, url_filters
+from . import exact_dedup, fill_in_middle, importance, mixture, near_dedup, packing, quality_rules, secrets, substring_dedup, tokens, toxicity, url_filters, warc
+from .common import keep_until_release
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -131,6 +132,33 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# ---- op11: fill-in-middle transformation -------------------------------------------------
+
+
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"), seed=1, rate=90, spm=20)
+    back = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+# ---- op12: target-distribution importance resampling ------------------------------------
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=5, least_words=20, buckets=10_000, seed=42)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+# ---- op13: WARC -------------------------------------------------------------------------
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = keep_until_release(warc.archive_path(spark))
+    warc.write_archive(table(spark, sf_dir, "pages"), path, least=100)
+    read = warc.read_archive(spark, path, least=100)
+    return read.select(F.col("id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
 QUERIES = {
     "op1_pack_sequences": op1_pack_sequences,
     "op2_url_filters": op2_url_filters,
@@ -142,4 +170,7 @@ QUERIES = {
     "op8_mix_sources": op8_mix_sources,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_secret_scans": op10_secret_scans,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_warc": op13_warc,
 }
