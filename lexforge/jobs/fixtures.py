@@ -54,18 +54,17 @@ def registry(spark: SparkSession, sf_dir: str, gaps: bool = False) -> DataFrame:
     )
 
 
-def leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.chunk_leaves(S.structure(blocks(spark, sf_dir)))
-
-
 def chunks(spark: SparkSession, sf_dir: str, linked: bool = True) -> DataFrame:
-    made = C.build_chunks(leaves(spark, sf_dir), registry(spark, sf_dir))
-    return C.link_appendices(made, S.appendices(blocks(spark, sf_dir))) if linked else made
+    # With appendices the marked lines are read twice, so they are stored.
+    marked = S.mark_appendix(blocks(spark, sf_dir))
+    marked = stored(marked, "marked") if linked else marked
+    made = C.build_chunks(C.chunk_leaves(S.marked_structure(marked)), registry(spark, sf_dir))
+    return C.link_appendices(stored(made, "chunks"), S.marked_appendices(marked)) if linked else made
 
 
 def payload(spark: SparkSession, sf_dir: str, linked: bool = False) -> DataFrame:
-    """The point table, stored once as an index build does; queries read it several times."""
-    return C.flatten_payload(C.assign_row_ids(stored(chunks(spark, sf_dir, linked), "chunks")))
+    """The point table; its chunks are stored with their ids as an index build does."""
+    return C.flatten_payload(C.assign_row_ids(chunks(spark, sf_dir, linked)))
 
 
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,9 +79,8 @@ def bench_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors of rows that exist."""
-    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), "embedding")
-    return v.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id")), "row_id", "left_semi")
+    """All vectors; those beyond the documents are rows that only dense search can find."""
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), "embedding")
 
 
 def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,21 +114,22 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def statute_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(path, content): every document as a .docx file, its lines as paragraphs and a table with a merged cell after them."""
+    """(path, content): every document as a .docx file, its lines as paragraphs and a table with cells merged over columns and rows after them."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-\x08\x0B-\x1F]", " ").alias("text"), "lang", F.coalesce("source", F.lit("-")).alias("source"))
 
     def write(batches):
         for pdf in batches:
-            made = [docx(t.split("\n"), [[(lang, 2), (source, 1)], [(str(i), 1), ("n", 1), ("x\ny", 1)]]) for i, t, lang, source in pdf.itertuples(index=False)]
+            made = [docx(t.split("\n"), [[(lang, 2), (source, 1)], [(str(i), 1, "restart"), ("n", 1), ("x\ny", 1)], [("", 1, "continue"), ("last", 2)]]) for i, t, lang, source in pdf.itertuples(index=False)]
             yield pd.DataFrame({"path": [f"files/{i}.docx" for i in pdf["doc_id"]], "content": made})
 
     return d.mapInPandas(write, "path string, content binary")
 
 
-def docx(lines: list[str], rows: list[list[tuple[str, int]]]) -> bytes:
-    """A word-processing file of paragraphs and one table of (text, columns) cells."""
-    p = lambda t: f'<w:p><w:r><w:t xml:space="preserve">{escape(t)}</w:t></w:r></w:p>'
-    cell = lambda t, n: f'<w:tc><w:tcPr><w:gridSpan w:val="{n}"/></w:tcPr>{"".join(map(p, t.split(chr(10))))}</w:tc>'
+def docx(lines: list[str], rows: list[list[tuple]]) -> bytes:
+    """A word-processing file of paragraphs, each with a tab stop, and one table of cells (text, columns[, "restart" or "continue" of a merge over rows])."""
+    p = lambda t: f'<w:p><w:pPr><w:tabs><w:tab w:val="left" w:pos="720"/></w:tabs></w:pPr><w:r><w:t xml:space="preserve">{escape(t)}</w:t></w:r></w:p>'
+    merge = lambda over: f'<w:vMerge w:val="{over[0]}"/>' if over else ""
+    cell = lambda t, n, *over: f'<w:tc><w:tcPr><w:gridSpan w:val="{n}"/>{merge(over)}</w:tcPr>{"".join(map(p, t.split(chr(10))))}</w:tc>'
     body = "".join(map(p, lines)) + "<w:tbl>" + "".join("<w:tr>" + "".join(cell(*c) for c in row) + "</w:tr>" for row in rows) + "</w:tbl>"
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:

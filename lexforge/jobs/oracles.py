@@ -147,7 +147,7 @@ reg AS (
 gap AS (SELECT * FROM reg WHERE CAST(doc_key AS BIGINT) % 17 <> 0),
 ch AS (
   SELECT doc_key, chunk_seq, replace(replace(so_hieu, '/', '_'), '-', '_') || '_d' || dieu_so || CASE WHEN khoan_so IS NULL THEN '' ELSE '_k' || khoan_so END || CASE WHEN diem IS NULL THEN '' ELSE '_d' || diem END AS chunk_id,
-         so_hieu, ten_van_ban, loai_van_ban, coalesce(co_quan_ban_hanh, '') AS co_quan_ban_hanh, ngay_ban_hanh, ngay_hieu_luc, con_hieu_luc, chuong_so, chuong_ten, muc_so, muc_ten, dieu_so, khoan_so, diem,
+         so_hieu, ten_van_ban, loai_van_ban, coalesce(co_quan_ban_hanh, '') AS co_quan_ban_hanh, ngay_ban_hanh, ngay_hieu_luc, CAST(NULL AS VARCHAR) AS ngay_het_hieu_luc, con_hieu_luc, chuong_so, chuong_ten, muc_so, muc_ten, dieu_so, khoan_so, diem,
          source_file, dieu_ten, noi_dung_dieu, noi_dung_khoan, noi_dung_diem, CASE WHEN noi_dung_diem <> '' THEN 3 WHEN noi_dung_khoan <> '' THEN 2 ELSE 1 END AS level, false AS is_sibling,
          'Điều ' || dieu_so || ': ' || dieu_ten || CASE WHEN noi_dung_dieu <> '' THEN chr(10) || noi_dung_dieu ELSE '' END || chr(10) || CASE WHEN khoan_so IS NULL THEN '' ELSE khoan_so || '. ' || noi_dung_khoan END
            || chr(10) || CASE WHEN diem IS NULL THEN '' ELSE diem || '. ' || noi_dung_diem END AS page_content
@@ -159,14 +159,13 @@ rf AS (
   SELECT f.doc_key, f.chunk_seq, pos, 'Phụ lục ' || raw || ': ' || ten || ' ' || noi_dung AS ref FROM mf f JOIN la ON la.doc_key = f.doc_key AND la.so = f.so
   UNION ALL SELECT c.doc_key, c.chunk_seq, 1000000, 'Phụ lục kèm theo: ' || ten || ' ' || noi_dung FROM ch c JOIN la ON la.doc_key = c.doc_key AND la.so IS NULL WHERE {has('page_content', ATTACHED)}),
 rg AS (SELECT doc_key, chunk_seq, string_agg(ref, ' || ' ORDER BY pos) AS refs FROM rf GROUP BY ALL),
-pay AS (SELECT ch.*, coalesce(refs, '') AS refs, row_number() OVER (ORDER BY ch.doc_key, ch.chunk_seq) - 1 AS row_id FROM ch LEFT JOIN rg ON rg.doc_key = ch.doc_key AND rg.chunk_seq = ch.chunk_seq)"""
+pay AS MATERIALIZED (SELECT ch.*, coalesce(refs, '') AS refs, row_number() OVER (ORDER BY ch.doc_key, ch.chunk_seq) - 1 AS row_id FROM ch LEFT JOIN rg ON rg.doc_key = ch.doc_key AND rg.chunk_seq = ch.chunk_seq)"""
 
 STATS = f"""
-tk AS (SELECT doc_id AS row_id, {tokens('text')} AS w FROM documents),
-cs AS (SELECT count(*) AS n_docs FROM tk),
-dc AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(w)) AS term FROM tk) GROUP BY term),
-df AS (SELECT term, df, ln(n_docs - df + 0.5) - ln(df + 0.5) AS idf0 FROM dc CROSS JOIN cs),
-ts AS (SELECT term, df, CASE WHEN idf0 >= 0 THEN idf0 ELSE 0.25 * (SELECT avg(idf0) FROM df) END AS idf FROM df)"""
+tk AS MATERIALIZED (SELECT list_distinct({tokens('text')}) AS w FROM documents),
+dc AS MATERIALIZED (SELECT term, count(*) AS df FROM (SELECT unnest(w) AS term FROM tk) GROUP BY term),
+df AS MATERIALIZED (SELECT term, df, ln(n_docs - df + 0.5) - ln(df + 0.5) AS idf0 FROM dc, (SELECT count(*) AS n_docs FROM tk)),
+ts AS (SELECT term, df, CASE WHEN idf0 >= 0 THEN idf0 ELSE 0.25 * avg(idf0) OVER () END AS idf FROM df)"""
 BM = f"""
 bq AS (SELECT item_id AS query_id, CASE WHEN item_id % 5 = 0 THEN text || ' ' || text ELSE text END || CASE WHEN item_id % 4 = 0 THEN ' các hành vi' ELSE '' END AS text FROM benchmark),
 tk AS (SELECT doc_id AS row_id, {tokens('text')} AS w FROM documents),
@@ -175,27 +174,27 @@ cs AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_tokens, avg(l
 df AS (SELECT term, count(*) AS df, ln(max(n_docs) - count(*) + 0.5) - ln(count(*) + 0.5) AS idf0 FROM po, cs GROUP BY term),
 ts AS (SELECT term, df, CASE WHEN idf0 >= 0 THEN idf0 ELSE 0.25 * (SELECT avg(idf0) FROM df) END AS idf FROM df),
 qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({tokens('text')}) AS term FROM bq) GROUP BY ALL),
-sc AS (SELECT query_id, row_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM qt JOIN ts USING (term) JOIN po USING (term), cs GROUP BY ALL),
+sc AS (SELECT query_id, row_id, list_reduce(list(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)) ORDER BY term), lambda a, b: a + b) AS score FROM qt JOIN ts USING (term) JOIN po USING (term), cs GROUP BY ALL),
 sa AS (SELECT query_id, doc_id AS row_id, coalesce(score, 0) AS score FROM bq CROSS JOIN documents LEFT JOIN sc ON sc.query_id = bq.query_id AND sc.row_id = documents.doc_id),
 bt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row_id) AS rank FROM sa) WHERE rank <= 30)"""
 BM = BM.replace("SELECT query_id, doc_id AS row_id, coalesce", "SELECT bq.query_id, doc_id AS row_id, coalesce")
 
 DE = """
-dv AS (SELECT vec_id AS row_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)),
+dv AS (SELECT vec_id AS row_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 qv AS (SELECT item_id AS query_id, CAST(embedding AS DOUBLE[]) AS q FROM benchmark JOIN embeddings ON vec_id = item_id),
-ds AS (SELECT query_id, row_id, round(list_cosine_similarity(v, q), 6) AS score FROM dv, qv),
+ds AS (SELECT query_id, row_id, list_cosine_similarity(v, q) AS score FROM dv, qv),
 dt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row_id) AS rank FROM ds) WHERE rank <= 30)"""
 
 FU = f"""{BM},{DE},
 fu AS (
   SELECT coalesce(d.query_id, b.query_id) AS query_id, coalesce(d.row_id, b.row_id) AS row_id, d.rank AS dense_rank, b.rank AS bm25_rank,
-         round(coalesce(1.0 / (60 + CAST(d.rank AS DOUBLE)), 0) + coalesce(1.0 / (60 + CAST(b.rank AS DOUBLE)), 0), 9) AS score
+         coalesce(1.0 / (60 + CAST(d.rank AS DOUBLE)), 0) + coalesce(1.0 / (60 + CAST(b.rank AS DOUBLE)), 0) AS score
   FROM dt d FULL JOIN bt b ON d.query_id = b.query_id AND d.row_id = b.row_id),
 fp AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, dense_rank NULLS LAST, bm25_rank NULLS LAST, row_id) AS pos FROM fu)"""
 
 
 def _hybrid(k: int) -> str:
-    return f"SELECT f.query_id, pos, row_id, score, false AS is_sibling FROM fp f JOIN bq USING (query_id) WHERE pos <= CASE WHEN {has('text', BROAD)} THEN 25 ELSE {k} END"
+    return f"SELECT f.query_id, pos, row_id, round(score, 9) AS score, false AS is_sibling FROM fp f JOIN bq USING (query_id) WHERE pos <= CASE WHEN {has('text', BROAD)} THEN 25 ELSE {k} END"
 
 
 RQ = """
@@ -250,7 +249,7 @@ ct1 AS (
 ct2 AS (SELECT conv_id, turn, so_hieu, dieu_so, khoan_so, diem, min(i) AS i, min_by(ten_van_ban, i) AS ten_van_ban FROM ct1 WHERE so_hieu IS NOT NULL GROUP BY ALL),
 ct AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) - 1 AS pos, so_hieu, ten_van_ban, dieu_so, khoan_so, diem FROM ct2)"""
 REFUSED = rf"regexp_replace({strip('answer')}, '\.+$', '') = '{REFUSAL}'"
-PAY_COLUMNS = "page_content, chunk_id, so_hieu, ten_van_ban, loai_van_ban, co_quan_ban_hanh, ngay_ban_hanh, ngay_hieu_luc, con_hieu_luc, chuong_so, chuong_ten, muc_so, muc_ten, dieu_so, khoan_so, diem, source_file, dieu_ten, noi_dung_dieu, noi_dung_khoan, noi_dung_diem, level, is_sibling"
+PAY_COLUMNS = "page_content, chunk_id, so_hieu, ten_van_ban, loai_van_ban, co_quan_ban_hanh, ngay_ban_hanh, ngay_hieu_luc, ngay_het_hieu_luc, con_hieu_luc, chuong_so, chuong_ten, muc_so, muc_ten, dieu_so, khoan_so, diem, source_file, dieu_ten, noi_dung_dieu, noi_dung_khoan, noi_dung_diem, level, is_sibling"
 L = lambda *cs: ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in cs)
 OUT = "\n    Xin lỗi, tôi chỉ tư vấn về Luật Giao thông Việt Nam và không giải quyết các \n    vấn đề ngoài phạm vi này. Bạn có thể hỏi tôi về mức phạt vi phạm, quy định \n    đăng ký xe, đăng kiểm, cấp giấy phép lái xe, v.v.\n"
 
@@ -284,9 +283,9 @@ SELECT * FROM o UNION ALL SELECT * FROM b WHERE user_id NOT IN (SELECT user_id F
     "corpus_stats": f"WITH {BM} SELECT n_docs, n_tokens, round(avgdl, 6) AS avgdl FROM cs",
     "term_stats": f"WITH {STATS} SELECT term, df, round(idf, 6) AS idf FROM ts",
     "postings": f"WITH {BM} SELECT row_id, term, tf, dl FROM po",
-    "bm25_topk": f"WITH {BM} SELECT query_id, row_id, score, rank, length(text) AS n_chars FROM bt JOIN documents ON doc_id = row_id",
-    "dense_topk": f"WITH {DE} SELECT query_id, row_id, score, rank FROM dt",
-    "rrf_hybrid": f"WITH {FU} SELECT query_id, row_id, score, dense_rank, bm25_rank FROM fu",
+    "bm25_topk": f"WITH {BM} SELECT query_id, row_id, round(score, 6) AS score, rank, length(text) AS n_chars FROM bt JOIN documents ON doc_id = row_id",
+    "dense_topk": f"WITH {DE} SELECT query_id, row_id, round(score, 6) AS score, rank FROM dt",
+    "rrf_hybrid": f"WITH {FU} SELECT query_id, row_id, round(score, 9) AS score, dense_rank, bm25_rank FROM fu",
     "broad_topk": f"WITH {FU} {_hybrid(5)}",
     "legal_refs": f"WITH {REFS} SELECT * FROM rr",
     "doc_id": f"WITH {RQ} SELECT query_id, CASE WHEN {has('upper(text)', FULL_NUMBER)} THEN {ex('upper(text)', FULL_NUMBER, 1)} || '/' || {ex('upper(text)', FULL_NUMBER, 2)} || '/' || {ex('upper(text)', FULL_NUMBER, 3)} END AS full_number, nullif({ex('text', SHORT_DECREE, 1)}, '') AS short_number FROM rq",
@@ -349,9 +348,9 @@ ORACLES |= {
     "read_blocks": r"""WITH d AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '[\x00-\x08\x0B-\x1F]', ' ', 'g'), chr(10)) AS l, lang, coalesce(source, '-') AS source FROM documents)
 SELECT CAST(doc_id AS VARCHAR) AS doc_key, CAST(i - 1 AS BIGINT) AS block_idx, 'p' AS kind, l[i] AS text FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM d)
 UNION ALL
-SELECT CAST(doc_id AS VARCHAR), CAST(len(l) AS BIGINT), 't', '| ' || lang || ' | ' || source || ' |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || doc_id || ' | n | x y |' FROM d""",
+SELECT CAST(doc_id AS VARCHAR), CAST(len(l) AS BIGINT), 't', '| ' || lang || ' | ' || source || ' |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || doc_id || ' | n | x y |' || chr(10) || '| ' || doc_id || ' | last |' FROM d""",
     "load_registry": f"WITH {CHUNKS} SELECT doc_key, so_hieu, ten_van_ban, loai_van_ban, co_quan_ban_hanh, ngay_ban_hanh, ngay_hieu_luc, con_hieu_luc FROM reg",
-    "chunk_files": f"WITH {CHUNKS} SELECT {PAY_COLUMNS} FROM ch",
+    "chunk_files": f"WITH {CHUNKS} SELECT row_number() OVER (ORDER BY doc_key, chunk_seq) - 1 AS line, {PAY_COLUMNS} FROM ch",
     "reset_index": ORACLES["points_per_source"],
     "embed_passages": _embedded("documents", "doc_id", "passage"),
     "embed_queries": _embedded("benchmark", "item_id", "query"),

@@ -75,7 +75,7 @@ def appendices(spark, sf):
 @query
 def chunks(spark, sf):
     c = X.chunks(spark, sf, linked=False)
-    return c.select("doc_key", F.col("chunk_seq").cast("long").alias("chunk_seq"), "metadata.*", "page_content").drop("ngay_het_hieu_luc")
+    return c.select("doc_key", F.col("chunk_seq").cast("long").alias("chunk_seq"), "metadata.*", "page_content")
 
 
 @query
@@ -121,7 +121,7 @@ def unregistered(spark, sf):
 
 @query
 def payload(spark, sf):
-    p = X.payload(spark, sf, linked=True).drop("ngay_het_hieu_luc")
+    p = X.payload(spark, sf, linked=True)
     return p.withColumns({"row_id": F.col("row_id").cast("long"), "noi_dung_tham_chieu": F.array_join("noi_dung_tham_chieu", " || ")})
 
 
@@ -156,13 +156,13 @@ def postings(spark, sf):
 @query
 def bm25_topk(spark, sf):
     top = B.bm25_topk(X.rows(spark, sf), X.bench_queries(spark, sf))
-    return top.join(X.rows(spark, sf), "row_id").select("query_id", "row_id", "score", F.col("rank").cast("long").alias("rank"), F.length("page_content").cast("long").alias("n_chars"))
+    return top.join(X.rows(spark, sf), "row_id").select("query_id", "row_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"), F.length("page_content").cast("long").alias("n_chars"))
 
 
 @query
 def dense_topk(spark, sf):
     top = D.dense_topk(X.vectors(spark, sf), X.query_vectors(spark, sf))
-    return top.select("query_id", "row_id", "score", F.col("rank").cast("long").alias("rank"))
+    return top.select("query_id", "row_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 def _fused(spark, sf):
@@ -176,7 +176,7 @@ def _hits(df):
 @query
 def rrf_hybrid(spark, sf):
     f = _fused(spark, sf)
-    return f.select("query_id", "row_id", "score", F.col("dense_rank").cast("long").alias("dense_rank"), F.col("bm25_rank").cast("long").alias("bm25_rank"))
+    return f.select("query_id", "row_id", F.round("score", 9).alias("score"), F.col("dense_rank").cast("long").alias("dense_rank"), F.col("bm25_rank").cast("long").alias("bm25_rank"))
 
 
 @query
@@ -221,7 +221,7 @@ def sibling_map(spark, sf):
 def attach_siblings(spark, sf):
     p = stored(X.payload(spark, sf), "points")
     hits = R.resolve_explicit_refs(R.extract_legal_refs(X.ref_queries(spark, sf), R.short_numbers(p)), p)
-    return _hits(R.attach_siblings(hits, R.build_sibling_map(p)))
+    return _hits(R.attach_index_siblings(hits, p, R.clause_index(p)))
 
 
 @query
@@ -334,14 +334,11 @@ def load_registry(spark, sf):
 
 @query
 def chunk_files(spark, sf):
-    """Chunks written document by document, read, merged into one set of files, and read again."""
+    """Chunks written document by document, read, merged into one set of files, and read again with the number of their line."""
     path = f"{shared_folder(spark)}/lexforge/chunk-files-{uuid.uuid4().hex}"
-    made = stored(X.chunks(spark, sf, linked=False), "chunks")
-    CF.write_chunks_per_document(made, f"{path}/each")
-    # A document's chunks are read in the order of its file.
-    back = CF.read_chunks(spark, f"{path}/each").withColumns({"doc_key": F.col("doc_key").cast("string"), "chunk_seq": F.monotonically_increasing_id()})
-    CF.merge_chunks(back, f"{path}/all")
-    return CF.read_chunks(spark, f"{path}/all").select("metadata.*", "page_content").drop("ngay_het_hieu_luc")
+    CF.write_chunks_per_document(stored(X.chunks(spark, sf, linked=False), "chunks"), f"{path}/each")
+    CF.merge_chunks(CF.read_chunks_per_document(spark, f"{path}/each"), f"{path}/all")
+    return CF.read_merged(spark, f"{path}/all").select("line", "metadata.*", "page_content")
 
 
 @query

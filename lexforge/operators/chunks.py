@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..schemas import METADATA_FIELDS
+from ..sources.stage import stored
+from .numbering import numbered
 
 ORDER = ["dgrp", "khoan_ord", "diem_ord"]
 
@@ -85,21 +87,9 @@ def chunk_counts(chunks: DataFrame) -> DataFrame:
 
 
 def assign_row_ids(chunks: DataFrame) -> DataFrame:
-    """Dense 0-based row_id in order of (doc_key, chunk_seq).
-
-    Offsets are running sums in two steps, over ranges of documents and within a
-    range, so no window sees all documents: the range of a document is the hash-free
-    prefix of its key.
-    """
-    per_doc = chunks.groupBy("doc_key").agg(F.count(F.lit(1)).alias("n"))
-    per_doc = per_doc.withColumn("prefix", F.substring("doc_key", 1, 3))
-    per_prefix = per_doc.groupBy("prefix").agg(F.sum("n").alias("n"))
-    past = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
-    base = per_prefix.select("prefix", F.coalesce(F.sum("n").over(past(W.partitionBy(F.lit(1)).orderBy("prefix"))), F.lit(0)).alias("base"))
-    within = F.coalesce(F.sum("n").over(past(W.partitionBy("prefix").orderBy("doc_key"))), F.lit(0))
-    offsets = per_doc.withColumn("within", within).join(base, "prefix").select("doc_key", (F.col("base") + F.col("within")).alias("offset"))
-    nth = F.row_number().over(W.partitionBy("doc_key").orderBy("chunk_seq")) - 1
-    return chunks.withColumn("nth", nth).join(offsets, "doc_key").withColumn("row_id", F.col("offset") + F.col("nth")).drop("offset", "nth")
+    """Dense 0-based row_id in order of (doc_key, chunk_seq), by sorted ranges and their exact counts; neither a document nor a key's prefix is ever one task."""
+    # The ranges are found from a sample of the rows, which are read again to be dealt.
+    return numbered(stored(chunks, "chunks"), [F.col("doc_key"), F.col("chunk_seq")], "row_id")
 
 
 def flatten_payload(chunks: DataFrame) -> DataFrame:

@@ -17,6 +17,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.stage import stored
+
 
 def _doc(last: int):
     """The document's blocks from its first to the current one (0) or the one before (-1)."""
@@ -48,7 +50,12 @@ def classify_structure(blocks: DataFrame) -> DataFrame:
     eff: chuong, chuong_name, muc, muc_name, dieu, khoan, diem, body. active: the line
     belongs to an article. (dgrp, khoan_ord, diem_ord) is the node; 0 where there is none.
     """
-    lines = mark_appendix(blocks).filter(~F.col("in_appendix")).select("doc_key", "block_idx", "kind", "text")
+    return classify_marked(mark_appendix(blocks))
+
+
+def classify_marked(marked: DataFrame) -> DataFrame:
+    """``classify_structure`` of lines that ``mark_appendix`` has marked."""
+    lines = marked.filter(~F.col("in_appendix")).select("doc_key", "block_idx", "kind", "text")
     t = F.when(F.col("kind") == "t", "T").otherwise(T.heading_kind(F.col("text")))
     a = lines.withColumn("t", t)
     a = a.withColumns({
@@ -124,7 +131,12 @@ def heading_names(lines: DataFrame) -> DataFrame:
 
 def appendices(blocks: DataFrame) -> DataFrame:
     """(doc_key, pl_idx, so, ten, noi_dung): appendices in order; lines before the first heading are dropped."""
-    rows = mark_appendix(blocks).filter("in_appendix").withColumn("pl_idx", F.sum(_count(F.col("is_pl"))).over(_doc(0)))
+    return marked_appendices(mark_appendix(blocks))
+
+
+def marked_appendices(marked: DataFrame) -> DataFrame:
+    """``appendices`` of lines that ``mark_appendix`` has marked."""
+    rows = marked.filter("in_appendix").withColumn("pl_idx", F.sum(_count(F.col("is_pl"))).over(_doc(0)))
     g = rows.filter("pl_idx > 0").groupBy("doc_key", "pl_idx").agg(
         F.max(F.when(F.col("is_pl"), F.col("text"))).alias("line"), F.collect_list(F.when(~F.col("is_pl"), F.struct("block_idx", "kind", "text"))).alias("rest")
     )
@@ -136,7 +148,12 @@ def structure(blocks: DataFrame) -> DataFrame:
 
     Names are attached by (document, ordinal); both sides are hashed by document.
     """
-    lines = classify_structure(blocks)
+    return marked_structure(mark_appendix(blocks))
+
+
+def marked_structure(marked: DataFrame) -> DataFrame:
+    """``structure`` of lines that ``mark_appendix`` has marked. The classified lines are stored: nodes and names both read them."""
+    lines = stored(classify_marked(marked), "lines")
     nodes, names = node_texts(lines), heading_names(lines)
     ch = names.filter("level = 'chuong'").select("doc_key", "chuong_ord", F.col("so").alias("chuong_so"), F.col("ten").alias("chuong_ten"))
     mu = names.filter("level = 'muc'").select("doc_key", "chuong_ord", "muc_ord", F.col("so").alias("muc_so"), F.col("ten").alias("muc_ten"))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schemas import CHUNK
+from .stage import stored
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
@@ -14,10 +15,15 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CHUNK).json(path)
 
 
+def read_chunks_per_document(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_key, chunk_seq, ...) from ``write_chunks_per_document``: keys as they were written, places from the files themselves."""
+    return spark.read.schema(f"chunk_seq long, {CHUNK}, doc_key string").json(path)
+
+
 def write_chunks_per_document(chunks: DataFrame, path: str) -> None:
-    """One directory of JSON lines per document, in chunk order."""
+    """One directory of JSON lines per document, in chunk order; a line holds its place, so that order does not rest on that of files."""
     ordered = chunks.repartition("doc_key").sortWithinPartitions("doc_key", "chunk_seq")
-    ordered.select("doc_key", "metadata", "page_content", "noi_dung_tham_chieu").write.mode("overwrite").partitionBy("doc_key").json(path)
+    ordered.select("doc_key", F.col("chunk_seq").cast("long").alias("chunk_seq"), "metadata", "page_content", "noi_dung_tham_chieu").write.mode("overwrite").partitionBy("doc_key").json(path)
 
 
 def merge_chunks(chunks: DataFrame, path: str) -> None:
@@ -26,6 +32,22 @@ def merge_chunks(chunks: DataFrame, path: str) -> None:
     ordered.select("metadata", "page_content", "noi_dung_tham_chieu").write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
+def read_merged(spark: SparkSession, path: str) -> DataFrame:
+    """Merged chunks with ``line``, their 0-based number over all part files in order of name.
+
+    Lines are numbered within each file, whatever its splits, and files begin after the counts of those before.
+    """
+    whole = spark.read.schema(f"{CHUNK}").json(path).select("*", "_metadata.file_name", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at"))
+    kept = stored(whole.filter("metadata is not null"), "merged")
+    place = W.partitionBy("file_name", "file_block_start").orderBy("at")
+    counts = kept.groupBy("file_name", "file_block_start").agg(F.count(F.lit(1)).alias("n"))
+    # One row for each split of a file.
+    before = W.partitionBy(F.lit(1)).orderBy("file_name", "file_block_start").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select("file_name", "file_block_start", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    j = kept.withColumn("nth", F.row_number().over(place) - 1).join(F.broadcast(offsets), ["file_name", "file_block_start"])
+    return j.select((F.col("offset") + F.col("nth")).alias("line"), "metadata", "page_content", "noi_dung_tham_chieu")
+
+
 def upsert_points(existing: DataFrame, incoming: DataFrame, key: str = "row_id", version: str | None = None) -> DataFrame:
     """incoming over existing by key; other existing rows stay. Of incoming rows with one key, that with the largest version stays."""
     if version:

@@ -20,28 +20,56 @@ WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 RAW_BLOCKS = f"doc_key string, source_file string, block_idx int, kind string, text string, rows {TABLE_ROWS}"
 
 
+# What the elements of a run stand for, besides its text.
+IN_RUN = {"tab": "\t", "ptab": "\t", "cr": "\n", "noBreakHyphen": "-"}
+
+
+def _run_text(run: ElementTree.Element) -> str:
+    """Text of a run's own elements; a page or column break is none."""
+    out = []
+    for e in run:
+        name = e.tag.removeprefix(WORD)
+        if name == "t":
+            out.append(e.text or "")
+        elif name == "br":
+            out.append("\n" if e.get(f"{WORD}type", "textWrapping") == "textWrapping" else "")
+        else:
+            out.append(IN_RUN.get(name, ""))
+    return "".join(out)
+
+
 def _text(p: ElementTree.Element) -> str:
-    kinds = {f"{WORD}t": lambda e: e.text or "", f"{WORD}tab": lambda e: "\t", f"{WORD}br": lambda e: "\n", f"{WORD}cr": lambda e: "\n"}
-    return "".join(kinds[e.tag](e) for e in p.iter() if e.tag in kinds)
+    """Text of a paragraph's runs and hyperlinks. Tab stops, text boxes and tracked insertions are no part of it."""
+    runs = (r for child in p for r in ([child] if child.tag == f"{WORD}r" else child.findall(f"{WORD}r") if child.tag == f"{WORD}hyperlink" else []))
+    return "".join(map(_run_text, runs))
+
+
+def table_rows(tbl: ElementTree.Element) -> list[list[dict]]:
+    """Cells of a table's rows, one for each column of its grid: a cell merged over columns or rows appears wherever it reaches, with one cell_id."""
+    rows: list[list[dict]] = []
+    for r, tr in enumerate(tbl.findall(f"{WORD}tr")):
+        cells: list[dict] = []
+        for c, tc in enumerate(tr.findall(f"{WORD}tc")):
+            span, merge = tc.find(f"{WORD}tcPr/{WORD}gridSpan"), tc.find(f"{WORD}tcPr/{WORD}vMerge")
+            columns = int(span.get(f"{WORD}val", "1")) if span is not None else 1
+            above = rows[-1][len(cells) : len(cells) + columns] if rows else []
+            if merge is not None and merge.get(f"{WORD}val", "continue") == "continue" and len(above) == columns:
+                cells += above
+            else:
+                cells += [{"cell_id": f"{r}.{c}", "text": "\n".join(_text(p) for p in tc.findall(f"{WORD}p"))}] * columns
+        rows.append(cells)
+    return rows
 
 
 def file_blocks(content: bytes) -> list[dict]:
-    """Paragraphs and tables of one file's body, in order. A cell merged over columns appears once per column with one cell_id."""
+    """Paragraphs and tables of one file's body, in order."""
     body = ElementTree.parse(zipfile.ZipFile(io.BytesIO(content)).open("word/document.xml")).getroot().find(f"{WORD}body")
     out = []
     for child in body if body is not None else []:
         if child.tag == f"{WORD}p":
             out.append({"kind": "p", "text": _text(child), "rows": None})
         elif child.tag == f"{WORD}tbl":
-            rows = []
-            for r, tr in enumerate(child.findall(f"{WORD}tr")):
-                cells = []
-                for c, tc in enumerate(tr.findall(f"{WORD}tc")):
-                    span = tc.find(f"{WORD}tcPr/{WORD}gridSpan")
-                    times = int(span.get(f"{WORD}val", "1")) if span is not None else 1
-                    cells += [{"cell_id": f"{r}.{c}", "text": "\n".join(_text(p) for p in tc.findall(f"{WORD}p"))}] * times
-                rows.append(cells)
-            out.append({"kind": "t", "text": None, "rows": rows})
+            out.append({"kind": "t", "text": None, "rows": table_rows(child)})
     return out
 
 
