@@ -102,6 +102,33 @@ def ref_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(k.alias("query_id"), text.alias("text"))
 
 
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages as questions over the chunks: some name several places of one document, some a place without a document, the others none."""
+    n = table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("n_docs"))
+    b = table(spark, sf_dir, "benchmark").select("item_id", "text").join(F.broadcast(n))  # one row
+    k = F.col("item_id")
+    places = F.concat(F.lit("điểm a khoản 1 Điều 4, Khoản 3 Điều 11 và Điều 15 Nghị định "), (k % F.col("n_docs")).cast("string"), F.lit("/2024/NĐ-CP: "))
+    said = F.when(k % 3 == 0, F.concat(places, "text")).when(k % 3 == 1, F.concat("text", F.lit(" các hành vi"))).otherwise(F.concat(F.lit("Điều 4 "), "text"))
+    return b.select(k.alias("query_id"), said.alias("text"))
+
+
+def chunk_vectors(spark: SparkSession, sf_dir: str, payload: DataFrame) -> DataFrame:
+    """A vector for every chunk: those of the table in turn."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    n = v.agg(F.count(F.lit(1)).alias("n"))
+    return payload.select("row_id").join(F.broadcast(n)).withColumn("vec_id", F.col("row_id") % F.col("n")).join(v, "vec_id").select("row_id", "embedding")
+
+
+def changed_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(removed, added) rows of an update: labelled documents go, those of quality come back with their source at the end, and all benchmark passages are new."""
+    l = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    d = table(spark, sf_dir, "documents").join(l, "doc_id")
+    removed = d.select(F.col("doc_id").alias("row_id"), F.col("text").alias("page_content"))
+    again = d.filter("quality = 1").select(F.col("doc_id").alias("row_id"), F.concat_ws(" ", "text", "source").alias("page_content"))
+    new = table(spark, sf_dir, "benchmark").select((-1 - F.col("item_id")).alias("row_id"), F.col("text").alias("page_content"))
+    return removed, again.unionByName(new)
+
+
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assistant turns with citations; some are refusals."""
     c = table(spark, sf_dir, "conversations").filter("role = 'assistant'")

@@ -367,3 +367,44 @@ FROM q""",
 SELECT query_id, CASE WHEN n = 0 OR length(prompt) % 5 = 0 THEN '' WHEN length(prompt) % 3 = 0 THEN '{REFUSAL}.' ELSE CAST(length(prompt) AS VARCHAR) END AS answer,
        n = 0 OR (length(prompt) % 5 <> 0 AND length(prompt) % 3 = 0) AS refused, CASE WHEN n > 0 AND length(prompt) % 5 = 0 THEN 'timeout' END AS error FROM p""",
 }
+
+
+# Retrieval over chunks: the corpus and the questions take the places of documents and passages in the shared parts.
+QS = """
+qs AS (
+  SELECT item_id AS query_id, CASE WHEN item_id % 3 = 0 THEN 'điểm a khoản 1 Điều 4, Khoản 3 Điều 11 và Điều 15 Nghị định ' || (item_id % n) || '/2024/NĐ-CP: ' || text
+                                   WHEN item_id % 3 = 1 THEN text || ' các hành vi' ELSE 'Điều 4 ' || text END AS text
+  FROM benchmark, (SELECT count(*) AS n FROM documents)),
+crp AS MATERIALIZED (SELECT row_id AS doc_id, page_content AS text FROM pay)"""
+_CBM = BM[BM.index("tk AS (") :].replace("FROM documents)", "FROM crp)").replace("CROSS JOIN documents", "CROSS JOIN crp").replace("documents.doc_id", "crp.doc_id")
+_CDE = DE.replace("SELECT vec_id AS row_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings", "SELECT row_id, CAST(embedding AS DOUBLE[]) AS v FROM pay JOIN embeddings ON vec_id = row_id % (SELECT count(*) FROM embeddings)")
+RETRIEVE = f"""{CHUNKS},{QS},
+q0 AS (SELECT query_id, text, regexp_extract_all(text, '{REF}') AS refs, {ex('upper(text)', FULL_NUMBER, 1)} || '/' || {ex('upper(text)', FULL_NUMBER, 2)} || '/' || {ex('upper(text)', FULL_NUMBER, 3)} AS so_hieu FROM qs),
+q1 AS (SELECT query_id, so_hieu, unnest(list_zip(refs, range(0, len(refs)))) AS z FROM q0),
+rr AS (
+  SELECT query_id, z[2] AS ref_idx, so_hieu, CAST({ex('z[1]', REF, 3)} AS INTEGER) AS dieu_so, TRY_CAST(nullif({ex('z[1]', REF, 2)}, '') AS INTEGER) AS khoan_so, lower(nullif({ex('z[1]', REF, 1)}, '')) AS diem
+  FROM q1),
+e0 AS (
+  SELECT query_id, row_id, min(ref_idx) AS ref_idx
+  FROM rr r JOIN pay p ON p.so_hieu = r.so_hieu AND p.dieu_so = r.dieu_so AND (r.khoan_so IS NULL OR r.khoan_so = p.khoan_so) AND (r.diem IS NULL OR r.diem = p.diem) GROUP BY ALL),
+ex AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY ref_idx, row_id) AS pos, row_id, CAST(0 AS DOUBLE) AS score FROM e0),
+bq AS (SELECT * FROM qs WHERE query_id NOT IN (SELECT query_id FROM ex)),
+{_CBM},{_CDE},{FU[FU.index("fu AS (") :]},
+el AS MATERIALIZED (
+  SELECT query_id, pos, row_id, score, false AS is_sibling FROM ex
+  UNION ALL SELECT f.query_id, pos, row_id, score, false FROM fp f JOIN bq USING (query_id) WHERE pos <= CASE WHEN {has('text', BROAD)} THEN 25 ELSE 15 END),
+{ATT}"""
+ORACLES |= {
+    "upsert_batches": ORACLES["upsert"],
+    "bm25_blocks": f"WITH {BM} SELECT query_id, row_id, round(score, 6) AS score, rank FROM bt",
+    "stats_after_upsert": f"""WITH ql AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id),
+new AS (SELECT text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ql)
+        UNION ALL SELECT concat_ws(' ', text, source) FROM documents JOIN ql USING (doc_id) WHERE quality = 1 UNION ALL SELECT text FROM benchmark),
+{STATS.replace('FROM documents)', 'FROM new)')} SELECT term, df, round(idf, 6) AS idf FROM ts""",
+    "retrieve": f"""WITH {RETRIEVE} SELECT a.query_id, a.pos, a.row_id, round(CASE WHEN a.is_sibling THEN 0 ELSE coalesce(e.score, 0) END, 9) AS score, a.is_sibling, chunk_id, so_hieu, dieu_so, khoan_so, diem
+FROM (SELECT * EXCLUDE (score) FROM att) a JOIN pay p ON p.row_id = a.row_id LEFT JOIN el e ON e.query_id = a.query_id AND e.row_id = a.row_id""",
+    "model_rerank": f"""WITH {FU}, h AS (SELECT f.query_id, f.pos, f.row_id, q.text AS q, d.text AS d FROM fp f JOIN bq q USING (query_id) JOIN documents d ON d.doc_id = f.row_id WHERE f.pos <= 30),
+s AS (SELECT query_id, pos, row_id, q, -CAST(abs(length(d) - 20 * length(q)) AS DOUBLE) AS score FROM h),
+p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS np FROM s)
+SELECT query_id, np AS pos, row_id, score, false AS is_sibling FROM p WHERE np <= CASE WHEN {has('q', BROAD)} THEN 25 ELSE 5 END""",
+}

@@ -11,13 +11,18 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import answer as A
 from ..operators import bm25 as B
+from ..operators import bm25_index as BI
 from ..operators import chunks as C
 from ..operators import dense as D
+from ..operators import dense_index as DI
+from ..operators import ledger as L
 from ..operators import retrieve as R
 from ..operators import structure as S
 from ..sources import chunk_files as CF
 from ..sources import documents as S1
+from ..sources import point_table as PT
 from ..sources.chunk_files import upsert_points
+from ..schemas import TOP_K_RAG
 from ..sources.stage import shared_folder, stored
 from . import fixtures as X
 
@@ -132,6 +137,17 @@ def upsert(spark, sf):
     return upsert_points(latest(e.filter("event_id % 2 = 0")), e.filter("event_id % 2 = 1"), "user_id", "event_id")
 
 
+@query
+def upsert_batches(spark, sf):
+    """The rows of ``upsert`` from a stored point table: two batches by version, the second run twice."""
+    e = X.table(spark, sf, "events").select("event_id", "user_id", "event_type")
+    path = f"{shared_folder(spark)}/lexforge/points-{uuid.uuid4().hex}"
+    PT.apply_points(e.filter("event_id % 2 = 0"), path, "user_id", "event_id", number=0)
+    for _ in range(2):
+        PT.apply_points(e.filter("event_id % 2 = 1"), path, "user_id", "event_id", number=1)
+    return PT.read_points(spark, path)
+
+
 @query
 def points_per_source(spark, sf):
     return C.points_per_source(X.payload(spark, sf))
@@ -148,6 +164,16 @@ def term_stats(spark, sf):
     return B.term_stats(B.postings(r), B.corpus_stats(r)).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
+@query
+def stats_after_upsert(spark, sf):
+    """Term statistics after an update, from those before it and the changed rows."""
+    r = X.rows(spark, sf)
+    removed, added = X.changed_rows(spark, sf)
+    counts, stats = stored(B.term_counts(r), "term-counts"), stored(B.corpus_stats(r), "corpus-stats")
+    after = stored(B.apply_counts(counts, B.counts_delta(removed, added)), "term-counts")
+    return B.term_idf(after, B.apply_stats(stats, removed, added)).select("term", "df", F.round("idf", 6).alias("idf"))
+
+
 @query
 def postings(spark, sf):
     return B.postings(X.rows(spark, sf)).select("row_id", "term", "tf", F.col("dl").cast("long").alias("dl"))
@@ -159,14 +185,20 @@ def bm25_topk(spark, sf):
     return top.join(X.rows(spark, sf), "row_id").select("query_id", "row_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"), F.length("page_content").cast("long").alias("n_chars"))
 
 
+@query
+def bm25_blocks(spark, sf):
+    top = BI.bm25_block_topk(X.rows(spark, sf), X.bench_queries(spark, sf))
+    return top.select("query_id", "row_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @query
 def dense_topk(spark, sf):
-    top = D.dense_topk(X.vectors(spark, sf), X.query_vectors(spark, sf))
+    top = DI.pivot_topk(X.vectors(spark, sf), X.query_vectors(spark, sf))
     return top.select("query_id", "row_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 def _fused(spark, sf):
-    return R.rrf_fuse(D.dense_topk(X.vectors(spark, sf), X.query_vectors(spark, sf)), B.bm25_topk(X.rows(spark, sf), X.bench_queries(spark, sf)))
+    return R.rrf_fuse(DI.pivot_topk(X.vectors(spark, sf), X.query_vectors(spark, sf)), B.bm25_topk(X.rows(spark, sf), X.bench_queries(spark, sf)))
 
 
 def _hits(df):
@@ -234,6 +266,45 @@ def explicit_else_hybrid(spark, sf):
     return _hits(R.explicit_else_hybrid(explicit, hybrid))
 
 
+@query
+def retrieve(spark, sf):
+    """Questions over chunks, from index to hits, with one id for a chunk throughout: explicit references if they find something, else BM25 and dense search fused; then siblings and payload."""
+    p = stored(X.payload(spark, sf), "points")
+    q = X.questions(spark, sf)
+    explicit = R.resolve_explicit_refs(R.extract_legal_refs(q, R.short_numbers(p)), p)
+    found = stored(explicit, "explicit")
+    open_ = q.join(found.select("query_id").distinct(), "query_id", "left_anti")
+    vectors = X.query_vectors(spark, sf).join(open_.select("query_id"), "query_id", "left_semi")
+    fused = R.rrf_fuse(DI.pivot_topk(X.chunk_vectors(spark, sf, p), vectors), BI.bm25_block_topk(p.select("row_id", "page_content"), open_))
+    hits = stored(R.explicit_else_hybrid(found, R.top_k_fused(fused, open_, TOP_K_RAG)), "hits")
+    every = R.attach_payload(R.attach_index_siblings(hits, p, R.clause_index(p)), p)
+    return _hits(every.withColumn("pos", F.col("pos").cast("long"))).join(every.select("query_id", "row_id", "chunk_id", "so_hieu", "dieu_so", "khoan_so", "diem"), ["query_id", "row_id"])
+
+
+@query
+def model_rerank(spark, sf):
+    """Hits in the order of a model's scores, asked once for each pair of texts."""
+    q, rows = X.bench_queries(spark, sf), X.rows(spark, sf)
+    hits = stored(R.top_k_fused(_fused(spark, sf), q, 5, rerank_top_n=30), "hits")
+    pairs = hits.select("query_id", "row_id").join(rows, "row_id").join(q, "query_id")
+    path = f"{shared_folder(spark)}/lexforge/ledger-{uuid.uuid4().hex}"
+    scored = L.ask(pairs, F.concat("text", F.lit(PAIR), "page_content"), "length", _by_length, path, "new_score", "double", waves=2)
+    return _hits(R.rerank(hits, scored.select("query_id", "row_id", "new_score"), q))
+
+
+PAIR = "\x1e"
+
+
+def _by_length():
+    """A stand-in for a model of pairs: texts of about twenty times the question's length come first."""
+
+    def score(prompt):
+        question, content = prompt.split(PAIR, 1)
+        return -float(abs(len(content) - 20 * len(question)))
+
+    return lambda pdf: [score(p) for p in pdf["prompt"]]
+
+
 @query
 def rerank(spark, sf):
     q, rows = X.bench_queries(spark, sf), X.rows(spark, sf)

@@ -1,4 +1,4 @@
-"""Dense search and user-supplied models, block-wise in numpy."""
+"""User-supplied models over tables; search over their vectors is in ``dense_index``."""
 
 from __future__ import annotations
 
@@ -6,59 +6,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..schemas import CANDIDATES, EMBED_BATCH
-from .bm25 import rank_hits
-
-BLOCK = 1024
-
-
-def _packed(df: DataFrame, id_col: str, block: int) -> DataFrame:
-    """One row per block of at most ``block`` vectors: ids and the unit-length matrix as bytes. Null vectors are left out."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, len(b), block):
-                part = b.slice(lo, block)
-                m = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1).astype(np.float64)
-                m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-                ids = part.column(0).to_numpy().astype("<i8")
-                yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary())], ["ids", "matrix"])
-
-    rows = df.select(F.col(id_col).cast("long"), "embedding").filter(F.col("embedding").isNotNull())
-    return rows.mapInArrow(run, "ids binary, matrix binary")
-
-
-def dense_scores(vectors: DataFrame, queries: DataFrame, n: int = CANDIDATES, block: int = BLOCK) -> DataFrame:
-    """(query_id, row_id, score): of each block of vectors, the n rows of highest cosine for each query.
-
-    vectors: (row_id, embedding), queries: (query_id, embedding), one dimension. The
-    query set meets the vectors in blocks, one matrix product per pair of blocks, so a
-    task holds two blocks at a time; neither side passes through the driver. Spark
-    broadcasts the blocks of queries when they are small. Zero vectors score 0.
-    """
-    v = _packed(vectors, "row_id", block)
-    q = _packed(queries, "query_id", block).select(F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for ids, m, q_ids, q_m in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                rid, qid = np.frombuffer(ids, "<i8"), np.frombuffer(q_ids, "<i8")
-                s = np.round(np.frombuffer(m).reshape(len(rid), -1) @ np.frombuffer(q_m).reshape(len(qid), -1).T, 6)
-                top = np.stack([np.lexsort((rid, -s[:, j]))[:n] for j in range(len(qid))], axis=1)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.tile(qid, len(top))), pa.array(rid[top].ravel()), pa.array(np.take_along_axis(s, top, axis=0).ravel())], ["query_id", "row_id", "score"]
-                )
-
-    return v.join(q).mapInArrow(run, "query_id long, row_id long, score double")
-
-
-def dense_topk(vectors: DataFrame, queries: DataFrame, n: int = CANDIDATES) -> DataFrame:
-    """(query_id, row_id, score, rank): only each task's candidates are shuffled."""
-    return rank_hits(dense_scores(vectors, queries, n), n)
+from ..schemas import EMBED_BATCH
 
 
 def embed(df: DataFrame, text_col: str, encoder: Callable[[list[str]], np.ndarray], dim: int, prefix: str = "", out_col: str = "embedding", batch: int = EMBED_BATCH) -> DataFrame:
@@ -107,9 +58,11 @@ def map_model(df: DataFrame, make: Callable[[], Callable[[pd.DataFrame], list]],
             errors: list[str | None] = [None] * len(pdf)
             try:
                 values = list(model(pdf))
-            except Exception:  # noqa: BLE001 - a failing model must not fail the job
+            except Exception as failed:  # noqa: BLE001 - a failing model must not fail the job
                 values = [None] * len(pdf)
-                for i in range(len(pdf)):
+                if len(pdf) == 1:  # nothing to be told apart by asking again
+                    errors[0] = str(failed)
+                for i in range(len(pdf) if len(pdf) > 1 else 0):
                     try:
                         values[i] = list(model(pdf.iloc[i : i + 1]))[0]
                     except Exception as e:  # noqa: BLE001

@@ -5,23 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.chunk_files import upsert_points
+from ..sources.point_table import apply_points
 
 
-def stream_upserts(updates: DataFrame, table_path: str, checkpoint: str, key: str = "row_id", version: str = "version") -> StreamingQuery:
-    """Apply each micro-batch of ``updates`` to the stored points.
+def stream_upserts(updates: DataFrame, path: str, checkpoint: str, key: str = "row_id", version: str | None = "version", source: str = "stream", buckets: int = 64) -> StreamingQuery:
+    """Apply each micro-batch of ``updates`` to the point table at ``path``, which may exist already.
 
-    Each batch writes a new generation of the table beside the last and is named by
-    its batch id, so a batch that is run again after a failure overwrites its own
-    output and starts from the same generation: the result is the same.
+    A batch rewrites the buckets that it touches. Batches are applied under their ids,
+    so one that is run again after a failure changes nothing if it was applied.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        if batch_id == 0:
-            points = upsert_points(batch.limit(0), batch, key, version)
-        else:
-            points = upsert_points(spark.read.parquet(f"{table_path}/generation={batch_id - 1}"), batch, key, version)
-        points.write.mode("overwrite").parquet(f"{table_path}/generation={batch_id}")
+        apply_points(batch, path, key, version, source, batch_id, buckets)
 
     return updates.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -51,3 +51,28 @@ def test_model_rerank(spark):
     scored = D.map_model(pairs, lambda: lambda pdf: [float(len(set(q.split()) & set(c.split()))) for q, c in zip(pdf["text"], pdf["page_content"], strict=True)], "new_score", "double")
     got = R.rerank(hits, scored.select("query_id", "row_id", "new_score"), queries, top_k=2).orderBy("pos").collect()
     assert [(r["row_id"], r["score"]) for r in got] == [(11, 2.0), (12, 2.0)]
+
+
+def test_runs_and_merged_cells():
+    """Only runs and hyperlinks count, whose tabs are text and whose page breaks are not; a cell merged over rows is in each of them."""
+    import io
+    import zipfile
+
+    w = S.WORD[1:-1]
+    p = (
+        '<w:p><w:pPr><w:tabs><w:tab w:val="left"/></w:tabs></w:pPr><w:r><w:t>Điều</w:t><w:tab/><w:t>1</w:t><w:br/><w:t>a</w:t><w:br w:type="page"/><w:noBreakHyphen/></w:r>'
+        "<w:hyperlink><w:r><w:t>link</w:t></w:r></w:hyperlink><w:ins><w:r><w:t>new</w:t></w:r></w:ins><w:r><w:drawing><w:txbxContent><w:p><w:r><w:t>box</w:t></w:r></w:p></w:txbxContent></w:drawing></w:r></w:p>"
+    )
+    cell = lambda t, props="": f"<w:tc><w:tcPr>{props}</w:tcPr><w:p><w:r><w:t>{t}</w:t></w:r></w:p></w:tc>"
+    top = cell("tall", '<w:gridSpan w:val="2"/><w:vMerge w:val="restart"/>') + cell("x")
+    low = cell("", '<w:gridSpan w:val="2"/><w:vMerge/>') + cell("y")
+    body = f"{p}<w:tbl><w:tr>{top}</w:tr><w:tr>{low}</w:tr><w:tr>{low}</w:tr><w:tr>{cell('1')}{cell('2')}{cell('3')}</w:tr></w:tbl><w:tbl><w:tr>{cell('lost', '<w:vMerge/>')}</w:tr></w:tbl>"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body>{body}</w:body></w:document>')
+    para, table, alone = S.file_blocks(out.getvalue())
+    assert para["text"] == "Điều\t1\na-link"
+    assert [[(c["cell_id"], c["text"]) for c in r] for r in table["rows"]] == [
+        [("0.0", "tall"), ("0.0", "tall"), ("0.1", "x")], [("0.0", "tall"), ("0.0", "tall"), ("1.1", "y")], [("0.0", "tall"), ("0.0", "tall"), ("2.1", "y")], [("3.0", "1"), ("3.1", "2"), ("3.2", "3")],
+    ]
+    assert alone["rows"] == [[{"cell_id": "0.0", "text": "lost"}]]
