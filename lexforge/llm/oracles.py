@@ -6,23 +6,21 @@ WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 OP2 = r"""
 WITH seen AS (
-  SELECT page_id, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '') AS host,
-         coalesce(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), ''), '/') AS path,
-         DATE '2024-01-01' + CAST(page_id % 365 AS INTEGER) AS fetched_at
-  FROM pages),
+  SELECT page_id, CASE WHEN h <> '' AND NOT regexp_matches(h, '\s') THEN h END AS host, coalesce(nullif(p, ''), '/') AS path, DATE '2024-01-01' + CAST(page_id % 365 AS INTEGER) AS fetched_at
+  FROM (SELECT page_id, lower(rtrim(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '.')) AS h,
+               regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1) AS p FROM pages)),
 hosts AS (SELECT host AS domain, min(page_id) AS k FROM seen WHERE host IS NOT NULL GROUP BY host),
 entries AS (
   SELECT 'ads' AS list_name, domain, '/' AS prefix, DATE '2024-01-01' + CAST(k % 200 AS INTEGER) AS since, 'add' AS action FROM hosts WHERE k % 3 = 0
   UNION ALL SELECT 'ads', domain, '/', DATE '2024-01-01' + CAST(k % 200 + 60 AS INTEGER), 'remove' FROM hosts WHERE k % 3 = 0
   UNION ALL SELECT 'ads', domain, '/', DATE '2024-01-01' + CAST(k % 200 + 120 AS INTEGER), 'add' FROM hosts WHERE k % 6 = 0
-  UNION ALL SELECT 'spam', domain, '/en/', DATE '2024-01-01' + CAST(k % 100 AS INTEGER), 'add' FROM hosts WHERE k % 3 = 1),
-spans AS (
-  SELECT *, lead(since) OVER (PARTITION BY list_name, domain, prefix ORDER BY since) AS valid_until FROM entries),
-hit AS (
-  SELECT s.page_id, p.list_name
-  FROM seen s JOIN spans p ON (s.host = p.domain OR ends_with(s.host, '.' || p.domain))
-  WHERE p.action = 'add' AND p.since <= s.fetched_at AND (p.valid_until IS NULL OR s.fetched_at < p.valid_until) AND starts_with(s.path, p.prefix)),
-per AS (SELECT page_id, count(*) AS n, string_agg(DISTINCT list_name, ',' ORDER BY list_name) AS lists FROM hit GROUP BY page_id)
+  UNION ALL SELECT 'spam', domain, '/en', DATE '2024-01-01' + CAST(k % 100 AS INTEGER), 'add' FROM hosts WHERE k % 3 = 1),
+last AS (
+  SELECT page_id, list_name, domain, prefix, arg_max(action, {'at': since, 'act': action}) AS action
+  FROM seen JOIN entries ON (host = domain OR (ends_with(host, '.' || domain) AND contains(domain, '.')))
+   AND since <= fetched_at AND (path = prefix OR starts_with(path, CASE WHEN ends_with(prefix, '/') THEN prefix ELSE prefix || '/' END))
+  GROUP BY ALL),
+per AS (SELECT page_id, count(*) AS n, string_agg(DISTINCT list_name, ',' ORDER BY list_name) AS lists FROM last WHERE action = 'add' GROUP BY page_id)
 SELECT page_id, host, CAST(fetched_at AS VARCHAR) AS fetched_at, CAST(coalesce(n, 0) AS BIGINT) AS n_active, coalesce(lists, '') AS lists, coalesce(n, 0) > 0 AS blocked
 FROM seen LEFT JOIN per USING (page_id)
 """

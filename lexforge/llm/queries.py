@@ -41,7 +41,7 @@ SELECT 'ads', domain, '/', date_add(DATE'2024-01-01', CAST(k % 200 + 60 AS INT))
 UNION ALL
 SELECT 'ads', domain, '/', date_add(DATE'2024-01-01', CAST(k % 200 + 120 AS INT)), 'add' FROM hosts WHERE k % 6 = 0
 UNION ALL
-SELECT 'spam', domain, '/en/', date_add(DATE'2024-01-01', CAST(k % 100 AS INT)), 'add' FROM hosts WHERE k % 3 = 1
+SELECT 'spam', domain, '/en', date_add(DATE'2024-01-01', CAST(k % 100 AS INT)), 'add' FROM hosts WHERE k % 3 = 1
 """
 
 

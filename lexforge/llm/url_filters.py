@@ -6,9 +6,11 @@ become validity intervals [from, until) by looking at the next entry of the same
 pattern. A capture is judged by the entries active when it was fetched: an as-of
 join on the pattern's host and the capture's time.
 
-Distinct hosts, not captures, are expanded to their parent domains and joined to
-the list, so a host that holds a third of all captures meets the list once; its
-captures then join over salted keys.
+Equal captures are folded to one row with their number. Distinct hosts, not captures,
+are expanded to their parent domains and joined to the listed patterns. The as-of join
+then pairs each capture with those intervals of its host's patterns that hold its fetch
+time: of one pattern there is one at most. A host that holds a third of all captures is
+dealt over salted keys for it.
 
 Defined results: a null or unreadable URL or a null time is never listed; repeated
 entries have no effect; of entries of the same pattern and time the last action in
@@ -22,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import lookup
+from .common import shuffle_width
 
 # Scheme, optional user part, host, optional port, path.
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
@@ -64,22 +66,33 @@ def judge_captures(captures: DataFrame, entries: DataFrame, id_col: str = "page_
     seen = captures.select(
         F.col(id_col).alias("id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"), F.col(time_col).alias("fetched")
     )
-    intervals = validity_intervals(entries)
-    hosts = seen.select("host").filter("host is not null").distinct()
+    every = ["id", "host", "path", "fetched"]
+    folded = seen.groupBy(*every).agg(F.count(F.lit(1)).alias("copies"))
+    met = as_of(folded, validity_intervals(entries))
+    judged = met.groupBy(*every).agg(
+        F.min("copies").alias("copies"), F.count("list_name").alias("n_active"), F.array_join(F.sort_array(F.collect_set("list_name")), ",").alias("lists")
+    )
+    return judged.select(
+        F.col("id").alias(id_col), "host", F.col("fetched").alias(time_col), "n_active", "lists", (F.col("n_active") > 0).alias("blocked"),
+        F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"),
+    ).drop("copy")
+
+
+def as_of(captures: DataFrame, intervals: DataFrame, salts: int | None = None) -> DataFrame:
+    """captures (host, path, fetched, ...) with list_name, domain and prefix of each interval that holds: one row for each, one with nulls where there is none.
+
+    A pattern covers its domain with all subdomains, and whole steps of a path. Captures
+    are dealt into ``salts`` parts (by default twice the shuffle width); a host's few
+    intervals go to each part that has captures of it.
+    """
+    hosts = captures.select("host").filter("host is not null").distinct()
     reach = hosts.select("host", F.explode(parent_domains(F.col("host"))).alias("domain")).join(intervals, "domain")
-    # Intervals that can apply to a host: as many as the list has for its few parent domains, not as the host has captures.
-    per_host = reach.groupBy("host").agg(F.collect_list(F.struct("list_name", "domain", "prefix", "valid_from", "valid_until")).alias("rules"))
-    joined = lookup(seen, per_host, ["host"], ["id"])
-    path = F.col("path")
+    dealt = captures.withColumn("part", F.pmod(F.xxhash64("path", "fetched", *[c for c in captures.columns if c not in ("host", "path", "fetched")]), F.lit(salts or 2 * shuffle_width(captures.sparkSession))))
+    rules = dealt.select("host", "part").distinct().join(reach, "host")
+    c, r = dealt.alias("c"), rules.alias("r")
+    path, prefix = F.col("c.path"), F.col("r.prefix")
     # "/en" covers "/en" and "/en/x", not "/english".
-    under = lambda prefix: path.startswith(prefix) & (prefix.endswith("/") | (path == prefix) | path.startswith(F.concat(prefix, F.lit("/"))))
-    active = F.filter(
-        F.coalesce("rules", F.array().cast("array<struct<list_name:string,domain:string,prefix:string,valid_from:date,valid_until:date>>")),
-        lambda r: (r["valid_from"] <= F.col("fetched")) & (r["valid_until"].isNull() | (F.col("fetched") < r["valid_until"])) & under(r["prefix"]),
-    )
-    return joined.withColumn("active", active).select(
-        F.col("id").alias(id_col), "host", F.col("fetched").alias(time_col),
-        F.size("active").cast("long").alias("n_active"),
-        F.array_join(F.sort_array(F.array_distinct(F.transform("active", lambda r: r["list_name"]))), ",").alias("lists"),
-        (F.size("active") > 0).alias("blocked"),
-    )
+    under = path.startswith(prefix) & (prefix.endswith("/") | (path == prefix) | path.startswith(F.concat(prefix, F.lit("/"))))
+    holds = (F.col("r.valid_from") <= F.col("c.fetched")) & (F.col("r.valid_until").isNull() | (F.col("c.fetched") < F.col("r.valid_until")))
+    on = (F.col("c.host") == F.col("r.host")) & (F.col("c.part") == F.col("r.part")) & holds & under
+    return c.join(r, on, "left").select("c.*", "r.list_name", "r.domain", "r.prefix").drop("part")
