@@ -9,8 +9,11 @@
    is fitted on its length counts: first the same fraction of each length, then the
    longest lengths that still fit, then bounded-knapsack dynamic programming over what
    is left. If no choice of the documents left meets it, some of those taken are given
-   back, twice as many words each time, until the sum is met or all are given back: the
-   sum is the closest to the budget that any choice of documents has.
+   back, twice as many words each time, until the sum is met. Memory does not follow the
+   budget, see ``exchangeable``: of each length only so many need to be given back, and
+   the sum is the closest to the budget that any choice of documents has. Only if even
+   these have more than ``MOST_SUMS`` sums (many sizes, all of thousands of words, that
+   after MOST_SUMS words of exchange still miss the budget) is it the closest found.
 4. The documents to take of one length are the first by seeded hash. Their quota is
    dealt over the parts of the histogram, about ``rows_in_part`` documents each, so a
    length that a third of all rows share is ranked in many separate groups.
@@ -92,8 +95,12 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
     goal = budget // (unit := int(np.gcd.reduce(lengths[lengths > 0]))) * unit  # sums are multiples of the lengths' common divisor
     if left == budget - goal:
         return take
-    room, longest = 12 * int(lengths[lengths > 0].min()), int(lengths.max())
-    while room < min(budget, total - budget + longest):
+    miss, best = budget - goal, (left, take)
+    longest = int(lengths.max())
+    room = 12 * int(lengths[lengths > 0].min())
+    cap = exchangeable(lengths, counts, take, unit)
+    enough = left + int((cap * lengths).sum())
+    while room < min(enough, budget, total - budget + longest, MOST_SUMS * unit):
         # Documents are given back, short and long ones in turn: both open sums that the others lack.
         given, freed = take.copy(), left
         ends = [i for i in order if lengths[i] > 0 and given[i]]
@@ -104,17 +111,46 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
                     freed += int(lengths[i])
             ends = [i for i in (ends[0], *ends[1:-1], ends[-1]) if given[i]] if len(ends) > 1 else [i for i in ends if given[i]]
         chosen, met = subset_sum(lengths, counts - given, freed)
-        if met == freed - (budget - goal):
-            return given + chosen
+        best = min(best, (freed - met, given + chosen), key=lambda x: x[0])
+        if best[0] == miss:
+            return best[1]
         room = 2 * max(room, freed)
-    # No more can be given back than that: all sums are looked at, of what is taken or of what is left out.
-    if budget <= total - budget + longest:
+    # No more sums can be opened than the smallest of these has.
+    most = MOST_SUMS * unit
+    if budget <= min(most, total - budget + longest):
         return subset_sum(lengths, counts, budget)[0]
-    return np.where(lengths > 0, counts, 0) - subset_sum(lengths, counts, total - budget + longest, total - budget)[0]
+    if total - budget + longest <= most:
+        return np.where(lengths > 0, counts, 0) - subset_sum(lengths, counts, total - budget + longest, total - budget)[0]
+    if enough <= most:
+        return take - cap + subset_sum(lengths, counts - take + cap, enough)[0]
+    return best[1]
+
+
+MOST_SUMS = 1 << 22
+
+
+def exchangeable(lengths: np.ndarray, counts: np.ndarray, take: np.ndarray, unit: int) -> np.ndarray:
+    """How many documents of each length of a choice ``take``, to which no more fits, must be given back at most to reach the best choice.
+
+    Let L be the longest length and let documents be added to the choice while the sum
+    is at most the budget, else given back, until it is the best choice. All sums on the
+    way lie within L of the budget. If a sum came twice, the steps between could be left
+    out, so the way has at most 2 L steps (in units of the lengths' common divisor), half
+    of them additions, and gives back L * L at most. Nor is a length given back that is
+    also added: what goes is covered by the other lengths that come, but for L.
+    """
+    w = lengths // unit
+    longest = int(w.max())
+    spare = np.minimum(counts - take, 2 * longest) * w
+    others = int(spare.sum()) - spare + longest
+    return np.minimum(take, np.minimum(np.minimum(longest * longest, others) // np.maximum(w, 1) + 1, 2 * longest)) * (w > 0)
 
 
 def subset_sum(lengths: np.ndarray, counts: np.ndarray, budget: int, least: int | None = None) -> tuple[np.ndarray, int]:
     """(documents of each length, their sum), by dynamic programming over sums: the largest sum up to the budget or, if ``least`` is given, the smallest from there."""
+    unit = int(np.gcd.reduce(lengths[lengths > 0])) if (lengths > 0).any() else 1
+    lengths, budget = lengths // unit, budget // unit  # sums are multiples of it
+    least = None if least is None else -(-least // unit)
     goal = budget if least is None else least
     by = np.full(budget + 1, -1, dtype=np.int32)  # the length that a sum was first reached with
     by[0] = len(lengths)
@@ -126,9 +162,11 @@ def subset_sum(lengths: np.ndarray, counts: np.ndarray, budget: int, least: int
         rows = -(-(budget + 1) // n)
         open_ = np.zeros(rows * n, dtype=bool)
         open_[: budget + 1] = by >= 0
-        row = np.arange(rows, dtype=np.int64)[:, None]
-        last = np.maximum.accumulate(np.where(open_.reshape(rows, n), row, -spare - rows), axis=0)
-        new = ((row - last) <= spare).reshape(-1)[: budget + 1] & (by < 0)
+        spare = min(spare, rows)
+        row = np.arange(rows, dtype=np.int32)[:, None]
+        last = np.where(open_.reshape(rows, n), row, np.int32(-spare - rows))
+        np.maximum.accumulate(last, axis=0, out=last)
+        new = (row - last <= spare).reshape(-1)[: budget + 1] & (by < 0)
         by[new] = i
     reached = np.flatnonzero(by >= 0)
     at = met = int(reached[-1] if least is None else reached[np.searchsorted(reached, least)])
@@ -137,7 +175,7 @@ def subset_sum(lengths: np.ndarray, counts: np.ndarray, budget: int, least: int
         i = int(by[at])
         take[i] += 1
         at -= int(lengths[i])
-    return take, met
+    return take, met * unit
 
 
 FITTED = "src string, size long, full long, quota long, source_size long, target double"
