@@ -16,6 +16,7 @@ columns of the input are left alone (``measures`` selects only id and text).
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -116,9 +117,9 @@ def compile_rules(rules) -> Column:
 def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base_rules=BASE_RULES, rules=METHOD_RULES) -> DataFrame:
     """measures plus base_failed, one column per rule and the verdict ``kept``."""
     m = measures(docs, id_col, text_col)
-    # In whole numbers, so that the boundary case is exact.
+    # In exact numbers, so that the boundary case is exact; a limit may have decimals.
     base_failed = ~compile_rules([r for r in base_rules if r.measure != "repeat_percent"])
     for r in base_rules:
         if r.measure == "repeat_percent":
-            base_failed = base_failed | (100 * F.col("n_repeat_words") > int(r.high) * F.col("n_words"))
+            base_failed = base_failed | (100 * F.col("n_repeat_words") > F.lit(Decimal(str(r.high))) * F.col("n_words"))
     return m.withColumn("base_failed", base_failed).withColumn("kept", ~F.col("base_failed") & compile_rules(rules))
