@@ -55,9 +55,7 @@ def registry(spark: SparkSession, sf_dir: str, gaps: bool = False) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str, linked: bool = True) -> DataFrame:
-    # With appendices the marked lines are read twice, so they are stored.
     marked = S.mark_appendix(blocks(spark, sf_dir))
-    marked = stored(marked, "marked") if linked else marked
     made = C.build_chunks(C.chunk_leaves(S.marked_structure(marked)), registry(spark, sf_dir))
     return C.link_appendices(stored(made, "chunks"), S.marked_appendices(marked)) if linked else made
 

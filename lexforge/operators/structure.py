@@ -1,10 +1,13 @@
-"""Hierarchy of statutes by window functions.
+"""Hierarchy of statutes by prefix scans.
 
-A document's blocks in order are classified by shape and by what came before; the
-state (current chapter, section, article, clause, point) is carried by running
-counts and last values over one window per document. All windows partition by the
-document first, so one shuffle by document serves them all; texts are assembled by
-aggregation on keys that refine it.
+A document's blocks in order are classified by shape and by what came before. The
+state (current chapter, section, article, clause, point) is made of counts, of counts
+since the last block of some kind, and of last places. All of these are put together
+from parts: a document is cut into segments of ``SEGMENT`` blocks, each segment is
+scanned by itself, and what it hands on (its totals) is summed over the segments before
+it, one row for each. So a document of any length is worked on by many tasks, and only
+the rows of one segment are ever sorted together. The scans carry no texts; these are
+joined to the result and assembled by aggregation on keys that refine the document.
 
 blocks: (doc_key string, block_idx int, kind "p" or "t", text string); for a table
 the text is its Markdown. Blank paragraphs and empty tables are left out.
@@ -19,75 +22,101 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..sources.stage import stored
 
-
-def _doc(last: int):
-    """The document's blocks from its first to the current one (0) or the one before (-1)."""
-    return W.partitionBy("doc_key").orderBy("block_idx").rowsBetween(W.unboundedPreceding, last)
+SEGMENT = 4096
+PART = ["doc_key", "segment"]
 
 
 def _count(condition: Column) -> Column:
     return F.when(condition, 1).otherwise(0)
 
 
+def scan(rows: DataFrame, counts: dict[str, tuple[Column, Column | None]], lasts: dict[str, Column] | None = None) -> DataFrame:
+    """rows (doc_key, segment, block_idx, ...) with running values over each document in order of block_idx.
+
+    counts: name -> (condition, reset): blocks of the condition so far, this one counted,
+    since the last block of ``reset`` if it is given; no block has both. lasts: name ->
+    number: the largest so far, this block left out.
+    """
+    lasts = lasts or {}
+    order = W.partitionBy(*PART).orderBy("block_idx")
+    upto, before = order.rowsBetween(W.unboundedPreceding, 0), order.rowsBetween(W.unboundedPreceding, -1)
+    own = rows.withColumns({f"c_{n}": F.sum(_count(c)).over(upto) for n, (c, _) in counts.items()} | {f"l_{n}": F.max(v).over(before) for n, v in lasts.items()})
+    reset = {n: r for n, (_, r) in counts.items() if r is not None}
+    own = own.withColumns({f"r_{n}": F.max(F.when(r, F.col(f"c_{n}"))).over(upto) for n, r in reset.items()}) if reset else own
+    totals = own.groupBy(*PART).agg(
+        *[F.max(f"c_{n}").alias(f"t_{n}") for n in counts], *[F.max(f"r_{n}").alias(f"a_{n}") for n in reset], *[F.max(v).alias(f"m_{n}") for n, v in lasts.items()]
+    )
+    # One row for each segment of a document.
+    past = W.partitionBy("doc_key").orderBy("segment").rowsBetween(W.unboundedPreceding, -1)
+    handed = totals.withColumns({f"b_{n}": F.coalesce(F.sum(f"t_{n}").over(past), F.lit(0)) for n in counts} | {f"p_{n}": F.max(f"m_{n}").over(past) for n in lasts})
+    since = {f"b_{n}": F.col(f"b_{n}") - F.coalesce(F.max(F.col(f"b_{n}") + F.col(f"a_{n}")).over(past), F.lit(0)) for n in reset}
+    handed = (handed.withColumns(since) if since else handed).select(*PART, *[f"b_{n}" for n in counts], *[f"p_{n}" for n in lasts])
+    j = own.join(handed, PART)
+    value = lambda n: F.col(f"b_{n}") + F.col(f"c_{n}")
+    found = {n: F.when(F.col(f"r_{n}").isNotNull(), F.col(f"c_{n}") - F.col(f"r_{n}")).otherwise(value(n)) if n in reset else value(n) for n in counts}
+    found |= {n: F.greatest(f"l_{n}", f"p_{n}") for n in lasts}
+    return j.select(*rows.columns, *[v.alias(n) for n, v in found.items()])
+
+
 def clean_blocks(blocks: DataFrame) -> DataFrame:
     t = F.when(F.col("kind") == "p", T.strip(F.col("text"))).otherwise(F.col("text"))
     return blocks.select("doc_key", "block_idx", "kind", t.alias("text")).filter(F.coalesce("text", F.lit("")) != "")
 
 
-def mark_appendix(blocks: DataFrame) -> DataFrame:
-    """Clean blocks with ``in_appendix``: from the first appendix heading that no article heading follows."""
-    paragraph = F.col("kind") == "p"
-    b = clean_blocks(blocks).withColumn("is_dieu", paragraph & F.col("text").rlike(T.ARTICLE)).withColumn("is_pl", paragraph & T.is_appendix_heading(F.col("text")))
-    whole = W.partitionBy("doc_key")
-    b = b.withColumn("last_dieu", F.coalesce(F.max(F.when(F.col("is_dieu"), F.col("block_idx"))).over(whole), F.lit(-1)))
-    start = F.min(F.when(F.col("is_pl") & (F.col("block_idx") > F.col("last_dieu")), F.col("block_idx"))).over(whole)
-    return b.withColumn("pl_start", start).withColumn("in_appendix", F.coalesce(F.col("block_idx") >= F.col("pl_start"), F.lit(False))).drop("last_dieu")
-
+def mark_appendix(blocks: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """Clean blocks with their shape t, is_pl (an appendix heading) and ``in_appendix``: from the first appendix heading that no article heading follows.
 
-def classify_structure(blocks: DataFrame) -> DataFrame:
+    The shapes are stored, as the scans read them several times.
+    """
+    b = clean_blocks(blocks).withColumn("segment", F.floor(F.col("block_idx") / segment).cast("int"))
+    shape = F.when(F.col("kind") == "t", "T").otherwise(T.heading_kind(F.col("text")))
+    b = stored(b.withColumns({"t": shape, "is_pl": (F.col("kind") == "p") & T.is_appendix_heading(F.col("text"))}), "shapes")
+    place = b.select("doc_key", "segment", "block_idx", "t", "is_pl")
+    last = place.filter("t = 'D'").groupBy("doc_key").agg(F.max("block_idx").alias("last_dieu"))
+    heads = place.filter("is_pl").join(last, "doc_key", "left").filter(F.col("block_idx") > F.coalesce("last_dieu", F.lit(-1)))
+    start = heads.groupBy("doc_key").agg(F.min("block_idx").alias("pl_start"))
+    by_segment = place.select(*PART).distinct().join(start, "doc_key")
+    return b.join(by_segment, PART, "left").withColumn("in_appendix", F.coalesce(F.col("block_idx") >= F.col("pl_start"), F.lit(False)))
+
+
+def classify_structure(blocks: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """Main-part lines with their role (eff) and the ordinals of the node they belong to.
 
     eff: chuong, chuong_name, muc, muc_name, dieu, khoan, diem, body. active: the line
     belongs to an article. (dgrp, khoan_ord, diem_ord) is the node; 0 where there is none.
     """
-    return classify_marked(mark_appendix(blocks))
+    return classify_marked(mark_appendix(blocks, segment))
 
 
 def classify_marked(marked: DataFrame) -> DataFrame:
     """``classify_structure`` of lines that ``mark_appendix`` has marked."""
-    lines = marked.filter(~F.col("in_appendix")).select("doc_key", "block_idx", "kind", "text")
-    t = F.when(F.col("kind") == "t", "T").otherwise(T.heading_kind(F.col("text")))
-    a = lines.withColumn("t", t)
-    a = a.withColumns({
-        "dgrp": F.sum(_count(F.col("t") == "D")).over(_doc(0)),
-        "has_ch": F.coalesce(F.max(F.col("t").isin("C", "D")).over(_doc(-1)), F.lit(False)),
-    })
-    grp = W.partitionBy("doc_key", "dgrp").orderBy("block_idx")
-    g_before, g_upto = grp.rowsBetween(W.unboundedPreceding, -1), grp.rowsBetween(W.unboundedPreceding, 0)
-    ever = lambda c: F.coalesce(F.max(c).over(g_before), F.lit(False))
-    b = a.withColumns({
-        "m_seen": ever((F.col("t") == "M") & F.col("has_ch")),
-        "c_seen": ever(F.col("t") == "C"),
-        "last_ck": F.last(F.when(F.col("t").isin("C", "K"), F.col("t")), ignorenulls=True).over(g_before),
+    main = marked.filter(~F.col("in_appendix"))
+    t, at = F.col("t"), F.col("block_idx")
+    place = lambda c: F.when(c, at)
+    a = scan(main.select(*PART, "block_idx", "t"), {"dgrp": (t == "D", None)}, {
+        "before_d": place(t == "D"), "last_c": place(t == "C"), "last_m": place(t == "M"), "last_ck": F.when(t.isin("C", "K"), at * 2 + _count(t == "C")), "first_cd": -place(t.isin("C", "D")),
     })
+    # An article's group begins with its heading; what came before it is of no account.
+    begin = F.when(t == "D", at).otherwise(F.coalesce("before_d", F.lit(-1)))
+    first = -F.col("first_cd")
+    in_group = lambda c: F.coalesce(c > F.col("begin"), F.lit(False))
+    a = a.withColumn("begin", begin)
+    m_seen = in_group(F.col("last_m")) & F.coalesce(F.col("last_m") > first, F.lit(False))
+    c_last = in_group(F.floor(F.col("last_ck") / 2)) & (F.col("last_ck") % 2 == 1)
     eff = (
-        F.when(F.col("t") == "T", "body").when(F.col("t") == "D", "dieu").when(F.col("m_seen") & (F.col("t") == "M"), "muc").when(F.col("m_seen"), "muc_name")
-        .when((F.col("last_ck") == "C") & ~F.col("t").isin("M", "D", "K"), "chuong_name").when(F.col("t") == "C", "chuong")
-        .when((F.col("t") == "M") & F.col("has_ch"), "muc").when((F.col("t") == "K") & (F.col("dgrp") > 0) & ~F.col("c_seen"), "khoan").otherwise("body")
+        F.when(t == "T", "body").when(t == "D", "dieu").when(m_seen & (t == "M"), "muc").when(m_seen, "muc_name")
+        .when(c_last & ~t.isin("M", "D", "K"), "chuong_name").when(t == "C", "chuong")
+        .when((t == "M") & first.isNotNull(), "muc").when((t == "K") & (F.col("dgrp") > 0) & ~in_group(F.col("last_c")), "khoan").otherwise("body")
     )
-    c = b.withColumn("eff", eff)
-    c = c.withColumns({
-        "active": (F.col("dgrp") > 0) & ~F.coalesce(F.max(F.col("eff").isin("chuong", "muc")).over(g_before), F.lit(False)) & ~F.col("eff").isin("chuong", "muc"),
-        "khoan_ord": F.sum(_count(F.col("eff") == "khoan")).over(g_upto),
-        "chuong_ord": F.sum(_count(F.col("eff") == "chuong")).over(_doc(0)),
-    })
-    d = c.withColumn("eff", F.when((F.col("eff") == "body") & (F.col("t") == "P") & F.col("active") & (F.col("khoan_ord") > 0), "diem").otherwise(F.col("eff")))
-    k_upto = W.partitionBy("doc_key", "dgrp", "khoan_ord").orderBy("block_idx").rowsBetween(W.unboundedPreceding, 0)
-    m_upto = W.partitionBy("doc_key", "chuong_ord").orderBy("block_idx").rowsBetween(W.unboundedPreceding, 0)
-    return d.withColumns({
-        "diem_ord": F.sum(_count(F.col("eff") == "diem")).over(k_upto),
-        "muc_ord": F.sum(_count(F.col("eff") == "muc")).over(m_upto),
-    }).select("doc_key", "block_idx", "kind", "text", "t", "eff", "active", "dgrp", "khoan_ord", "diem_ord", "chuong_ord", "muc_ord")
+    b = stored(a.select(*PART, "block_idx", "t", "dgrp", "begin", eff.alias("eff")), "roles")
+    e = F.col("eff")
+    c = scan(b, {"khoan_ord": (e == "khoan", t == "D"), "chuong_ord": (e == "chuong", None), "muc_ord": (e == "muc", e == "chuong")}, {"last_cm": place(e.isin("chuong", "muc"))})
+    c = c.withColumn("active", (F.col("dgrp") > 0) & ~in_group(F.col("last_cm")) & ~e.isin("chuong", "muc"))
+    c = stored(c.withColumn("eff", F.when((e == "body") & (t == "P") & F.col("active") & (F.col("khoan_ord") > 0), "diem").otherwise(e)), "roles")
+    d = scan(c, {"diem_ord": (e == "diem", (t == "D") | (e == "khoan"))})
+    d = d.select(*PART, "block_idx", "eff", "active", "dgrp", "khoan_ord", "diem_ord", "chuong_ord", "muc_ord")
+    texts = main.select(*PART, "block_idx", "kind", "text", "t")
+    return texts.join(d, [*PART, "block_idx"]).select("doc_key", "block_idx", "kind", "text", "t", "eff", "active", "dgrp", "khoan_ord", "diem_ord", "chuong_ord", "muc_ord")
 
 
 def _joined(pieces: Column, leading: bool) -> Column:
@@ -136,7 +165,9 @@ def appendices(blocks: DataFrame) -> DataFrame:
 
 def marked_appendices(marked: DataFrame) -> DataFrame:
     """``appendices`` of lines that ``mark_appendix`` has marked."""
-    rows = marked.filter("in_appendix").withColumn("pl_idx", F.sum(_count(F.col("is_pl"))).over(_doc(0)))
+    rows = marked.filter("in_appendix")
+    number = scan(rows.select(*PART, "block_idx", "is_pl"), {"pl_idx": (F.col("is_pl"), None)})
+    rows = rows.select(*PART, "block_idx", "kind", "text").join(number, [*PART, "block_idx"])
     g = rows.filter("pl_idx > 0").groupBy("doc_key", "pl_idx").agg(
         F.max(F.when(F.col("is_pl"), F.col("text"))).alias("line"), F.collect_list(F.when(~F.col("is_pl"), F.struct("block_idx", "kind", "text"))).alias("rest")
     )
