@@ -14,13 +14,18 @@ from pyspark.sql import functions as F
 from ..operators import chunks as C
 from ..operators import structure as S
 from ..sources.documents import WORD
-from ..sources.stage import stored
+from ..sources.stage import spread, stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents for what costs time for each character of a text."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 #: Lines of documents in the shape of a statute, by their place in the document.
 BLOCK_LINE = """CASE
  WHEN n >= 12 AND i = n - 2 THEN concat('Phụ lục I ', s)
@@ -38,7 +43,7 @@ BLOCK_LINE = """CASE
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = F.filter(F.transform(F.split("text", r"[\n.]+"), lambda x: F.trim(x)), lambda x: x != "")
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_key"), pieces.alias("l"))
+    d = texts(spark, sf_dir).select(F.col("doc_id").cast("string").alias("doc_key"), pieces.alias("l"))
     e = d.select("doc_key", F.size("l").alias("n"), F.posexplode("l").alias("i", "s"))
     return e.select("doc_key", F.col("i").alias("block_idx"), F.lit("p").alias("kind"), F.expr(BLOCK_LINE).alias("text"))
 
@@ -66,7 +71,7 @@ def payload(spark: SparkSession, sf_dir: str, linked: bool = False) -> DataFrame
 
 
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), F.col("text").alias("page_content"))
+    return texts(spark, sf_dir).select(F.col("doc_id").alias("row_id"), F.col("text").alias("page_content"))
 
 
 def bench_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +145,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def statute_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, content): every document as a .docx file, its lines as paragraphs and a table with cells merged over columns and rows after them."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-\x08\x0B-\x1F]", " ").alias("text"), "lang", F.coalesce("source", F.lit("-")).alias("source"))
+    d = texts(spark, sf_dir).select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-\x08\x0B-\x1F]", " ").alias("text"), "lang", F.coalesce("source", F.lit("-")).alias("source"))
 
     def write(batches):
         for pdf in batches:

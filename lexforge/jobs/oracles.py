@@ -270,8 +270,12 @@ k AS (SELECT doc_key, dgrp, khoan_ord, CAST(max(number) FILTER (WHERE diem_ord =
       FROM nd WHERE khoan_ord > 0 GROUP BY ALL)
 SELECT a.doc_key, CAST(a.dgrp AS BIGINT) AS dgrp, dieu_so, dieu_preview, CAST(khoan_ord AS BIGINT) AS khoan_ord, khoan_so, khoan_preview, n_diem FROM a LEFT JOIN k ON k.doc_key = a.doc_key AND k.dgrp = a.dgrp""",
     "link_appendices": f"WITH {CHUNKS} SELECT doc_key, {L('chunk_seq')}, refs FROM pay",
-    "table_markdown": """WITH r AS (SELECT r_name, '| ' || n_name || ' | ' || r_name || ' region | ' || n_name || ' |' AS line, n_nationkey AS k FROM nation JOIN region ON n_regionkey = r_regionkey),
-g AS (SELECT r_name, list(line ORDER BY k) AS l FROM r GROUP BY r_name) SELECT r_name, l[1] || chr(10) || '| --- | --- | --- |' || coalesce(chr(10) || nullif(array_to_string(l[2:], chr(10)), ''), '') AS markdown FROM g""",
+    "table_markdown": """WITH r AS (
+  SELECT l_orderkey, {'a': l_linenumber, 'b': l_partkey, 'c': l_returnflag, 'd': l_linestatus} AS k, CASE l_linestatus WHEN 'F' THEN 2 ELSE 3 END AS n,
+         '| ' || l_linenumber || ' | ' || l_partkey || CASE l_linestatus WHEN 'F' THEN '' ELSE ' | ' || l_returnflag || ' ' || l_linestatus END || ' |' AS line
+  FROM lineitem),
+g AS (SELECT l_orderkey, list(line ORDER BY k) AS l, arg_min(n, k) AS n FROM r GROUP BY l_orderkey)
+SELECT l_orderkey, l[1] || chr(10) || CASE n WHEN 2 THEN '| --- | --- |' ELSE '| --- | --- | --- |' END || coalesce(chr(10) || nullif(array_to_string(l[2:], chr(10)), ''), '') AS markdown FROM g""",
     "row_ids": f"WITH {CHUNKS} SELECT doc_key, {L('chunk_seq', 'row_id')} FROM pay",
     "registry_join": f"WITH {CHUNKS} SELECT doc_key, so_hieu, co_quan_ban_hanh, con_hieu_luc, count(*) AS n_blocks FROM blk JOIN gap USING (doc_key) GROUP BY ALL",
     "unregistered": f"WITH {CHUNKS} SELECT DISTINCT doc_key FROM blk WHERE doc_key NOT IN (SELECT doc_key FROM gap)",

@@ -23,12 +23,16 @@ from ..sources import documents as S1
 from ..sources import point_table as PT
 from ..sources.chunk_files import upsert_points
 from ..schemas import TOP_K_RAG
-from ..sources.stage import shared_folder, stored
+from ..sources.stage import keep_until_release, shared_folder, stored
 from . import fixtures as X
 
 QUERIES = {}
 
 
+def _new_path(spark: SparkSession, name: str) -> str:
+    return keep_until_release(f"{shared_folder(spark)}/lexforge/{name}-{uuid.uuid4().hex}")
+
+
 def query(f):
     QUERIES[f.__name__.removesuffix("_")] = f
     return f
@@ -36,7 +40,7 @@ def query(f):
 
 @query
 def tokenize(spark: SparkSession, sf: str) -> DataFrame:
-    return X.table(spark, sf, "documents").select("doc_id", F.array_join(T.tokenize(F.col("text")), " ").alias("tokens"))
+    return X.texts(spark, sf).select("doc_id", F.array_join(T.tokenize(F.col("text")), " ").alias("tokens"))
 
 
 @query
@@ -101,12 +105,13 @@ def link_appendices(spark, sf):
 
 @query
 def table_markdown(spark, sf):
-    n = X.table(spark, sf, "nation").join(X.table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    cell = lambda i, t: F.struct(i.alias("cell_id"), t.alias("text"))
-    name, region = F.col("n_name"), F.concat(F.col("r_name"), F.lit("\nregion "))
-    row = F.array(cell(F.lit("a"), name), cell(F.lit("b"), region), cell(F.lit("b"), region), cell(F.lit("c"), name))
-    g = n.groupBy("r_name").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", row.alias("row")))).alias("rs"))
-    return g.select("r_name", T.table_to_markdown(F.transform("rs", lambda x: x["row"])).alias("markdown"))
+    """The lines of every order as a table; in finished lines the part's cell reaches over the last column."""
+    l = X.table(spark, sf, "lineitem")
+    cell = lambda i, t: F.struct(F.lit(i).alias("cell_id"), t.cast("string").alias("text"))
+    part, flag = cell("b", F.concat(F.lit(" "), "l_partkey")), cell("c", F.concat("l_returnflag", F.lit("\n"), "l_linestatus"))
+    row = F.array(cell("a", F.col("l_linenumber")), part, F.when(F.col("l_linestatus") == "F", part).otherwise(flag))
+    g = l.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_returnflag", "l_linestatus", row.alias("row")))).alias("rs"))
+    return g.select("l_orderkey", T.table_to_markdown(F.transform("rs", lambda x: x["row"])).alias("markdown"))
 
 
 @query
@@ -141,7 +146,7 @@ def upsert(spark, sf):
 def upsert_batches(spark, sf):
     """The rows of ``upsert`` from a stored point table: two batches by version, the second run twice."""
     e = X.table(spark, sf, "events").select("event_id", "user_id", "event_type")
-    path = f"{shared_folder(spark)}/lexforge/points-{uuid.uuid4().hex}"
+    path = _new_path(spark, "points")
     PT.apply_points(e.filter("event_id % 2 = 0"), path, "user_id", "event_id", number=0)
     for _ in range(2):
         PT.apply_points(e.filter("event_id % 2 = 1"), path, "user_id", "event_id", number=1)
@@ -230,13 +235,13 @@ def doc_id(spark, sf):
 
 @query
 def explicit_lookup(spark, sf):
-    p = stored(X.payload(spark, sf), "points")
+    p = X.payload(spark, sf)
     return _hits(R.resolve_explicit_refs(R.extract_legal_refs(X.ref_queries(spark, sf), R.short_numbers(p)), p))
 
 
 @query
 def location_filter(spark, sf):
-    p = stored(X.payload(spark, sf), "points")
+    p = X.payload(spark, sf)
     pick = lambda name, df: df.select(F.lit(name).alias("place"), "row_id", "chunk_id", "score")
     return (
         pick("article", R.filter_location(p, "1/2024/NĐ-CP", 4)).unionByName(pick("clause", R.filter_location(p, "2/2024/NĐ-CP", "4", 1)))
@@ -251,7 +256,7 @@ def sibling_map(spark, sf):
 
 @query
 def attach_siblings(spark, sf):
-    p = stored(X.payload(spark, sf), "points")
+    p = X.payload(spark, sf)
     hits = R.resolve_explicit_refs(R.extract_legal_refs(X.ref_queries(spark, sf), R.short_numbers(p)), p)
     return _hits(R.attach_index_siblings(hits, p, R.clause_index(p)))
 
@@ -259,7 +264,7 @@ def attach_siblings(spark, sf):
 @query
 def explicit_else_hybrid(spark, sf):
     """Questions of two sets with ids of their own: a question with references has the hits of these, any other the hybrid hits."""
-    p = stored(X.payload(spark, sf), "points")
+    p = X.payload(spark, sf)
     refs = R.extract_legal_refs(X.ref_queries(spark, sf), R.short_numbers(p))
     explicit = R.resolve_explicit_refs(refs, p)
     hybrid = R.top_k_fused(_fused(spark, sf), X.bench_queries(spark, sf), 15)
@@ -269,7 +274,7 @@ def explicit_else_hybrid(spark, sf):
 @query
 def retrieve(spark, sf):
     """Questions over chunks, from index to hits, with one id for a chunk throughout: explicit references if they find something, else BM25 and dense search fused; then siblings and payload."""
-    p = stored(X.payload(spark, sf), "points")
+    p = X.payload(spark, sf)
     q = X.questions(spark, sf)
     explicit = R.resolve_explicit_refs(R.extract_legal_refs(q, R.short_numbers(p)), p)
     found = stored(explicit, "explicit")
@@ -287,7 +292,7 @@ def model_rerank(spark, sf):
     q, rows = X.bench_queries(spark, sf), X.rows(spark, sf)
     hits = stored(R.top_k_fused(_fused(spark, sf), q, 5, rerank_top_n=30), "hits")
     pairs = hits.select("query_id", "row_id").join(rows, "row_id").join(q, "query_id")
-    path = f"{shared_folder(spark)}/lexforge/ledger-{uuid.uuid4().hex}"
+    path = _new_path(spark, "ledger")
     scored = L.ask(pairs, F.concat("text", F.lit(PAIR), "page_content"), "length", _by_length, path, "new_score", "double", waves=2)
     return _hits(R.rerank(hits, scored.select("query_id", "row_id", "new_score"), q))
 
@@ -322,7 +327,7 @@ def history(spark, sf):
 
 @query
 def context(spark, sf):
-    p = stored(X.payload(spark, sf, linked=True), "points")
+    p = X.payload(spark, sf, linked=True)
     q = X.ref_queries(spark, sf)
     hits = R.resolve_explicit_refs(R.extract_legal_refs(q, R.short_numbers(p)), p)
     c = A.build_context(R.attach_payload(R.attach_siblings(hits, R.build_sibling_map(p)), p), q)
@@ -364,7 +369,7 @@ def route(spark, sf):
 
 @query
 def validity(spark, sf):
-    p = stored(X.payload(spark, sf), "points")
+    p = X.payload(spark, sf)
     k = F.col("row_id")
     changed = F.when(k % 4 == 0, "sua_doi").when(k % 4 == 1, "khac").when(k % 8 == 2, "bai_bo")
     v = A.annotate_validity(F.col("con_hieu_luc"), F.when(k % 2 == 0, "2025-01-01"), changed, F.when(k % 3 == 0, F.col("so_hieu")))
@@ -398,7 +403,7 @@ def read_blocks(spark, sf):
 
 @query
 def load_registry(spark, sf):
-    path = f"{shared_folder(spark)}/lexforge/registry-{uuid.uuid4().hex}"
+    path = _new_path(spark, "registry")
     X.registry(spark, sf).drop("source_file").write.json(path)
     return S1.load_registry(spark, path)
 
@@ -406,7 +411,7 @@ def load_registry(spark, sf):
 @query
 def chunk_files(spark, sf):
     """Chunks written document by document, read, merged into one set of files, and read again with the number of their line."""
-    path = f"{shared_folder(spark)}/lexforge/chunk-files-{uuid.uuid4().hex}"
+    path = _new_path(spark, "chunk-files")
     CF.write_chunks_per_document(stored(X.chunks(spark, sf, linked=False), "chunks"), f"{path}/each")
     CF.merge_chunks(CF.read_chunks_per_document(spark, f"{path}/each"), f"{path}/all")
     return CF.read_merged(spark, f"{path}/all").select("line", "metadata.*", "page_content")
@@ -415,8 +420,8 @@ def chunk_files(spark, sf):
 @query
 def reset_index(spark, sf):
     """Stored points replaced by those of other files."""
-    path = f"{shared_folder(spark)}/lexforge/index-{uuid.uuid4().hex}"
-    points = stored(X.payload(spark, sf), "points")
+    path = _new_path(spark, "index")
+    points = X.payload(spark, sf)
     CF.reset_index(points.withColumn("source_file", F.lit("old")), path)
     CF.reset_index(points, path)
     return C.points_per_source(spark.read.parquet(path))
@@ -431,7 +436,7 @@ def _embedded(rows, kind):
 
 @query
 def embed_passages(spark, sf):
-    return _embedded(X.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), "passage")
+    return _embedded(X.texts(spark, sf).select(F.col("doc_id").alias("id"), "text"), "passage")
 
 
 @query

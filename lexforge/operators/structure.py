@@ -43,8 +43,9 @@ def scan(rows: DataFrame, counts: dict[str, tuple[Column, Column | None]], lasts
     own = rows.withColumns({f"c_{n}": F.sum(_count(c)).over(upto) for n, (c, _) in counts.items()} | {f"l_{n}": F.max(v).over(before) for n, v in lasts.items()})
     reset = {n: r for n, (_, r) in counts.items() if r is not None}
     own = own.withColumns({f"r_{n}": F.max(F.when(r, F.col(f"c_{n}"))).over(upto) for n, r in reset.items()}) if reset else own
-    totals = own.groupBy(*PART).agg(
-        *[F.max(f"c_{n}").alias(f"t_{n}") for n in counts], *[F.max(f"r_{n}").alias(f"a_{n}") for n in reset], *[F.max(v).alias(f"m_{n}") for n, v in lasts.items()]
+    # Without resets a segment's totals need no window.
+    totals = (own if reset else rows).groupBy(*PART).agg(
+        *[F.sum(_count(c)).alias(f"t_{n}") for n, (c, _) in counts.items()], *[F.max(f"r_{n}").alias(f"a_{n}") for n in reset], *[F.max(v).alias(f"m_{n}") for n, v in lasts.items()]
     )
     # One row for each segment of a document.
     past = W.partitionBy("doc_key").orderBy("segment").rowsBetween(W.unboundedPreceding, -1)
@@ -75,7 +76,7 @@ def mark_appendix(blocks: DataFrame, segment: int = SEGMENT) -> DataFrame:
     last = place.filter("t = 'D'").groupBy("doc_key").agg(F.max("block_idx").alias("last_dieu"))
     heads = place.filter("is_pl").join(last, "doc_key", "left").filter(F.col("block_idx") > F.coalesce("last_dieu", F.lit(-1)))
     start = heads.groupBy("doc_key").agg(F.min("block_idx").alias("pl_start"))
-    by_segment = place.select(*PART).distinct().join(start, "doc_key")
+    by_segment = stored(place.select(*PART).distinct().join(start, "doc_key"), "appendix-starts")  # one row a segment, read by every scan
     return b.join(by_segment, PART, "left").withColumn("in_appendix", F.coalesce(F.col("block_idx") >= F.col("pl_start"), F.lit(False)))
 
 
