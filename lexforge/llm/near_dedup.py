@@ -149,10 +149,32 @@ def texts_of(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str) -> Da
     return found.dropDuplicates(["rep"])
 
 
+PER_TEXT = 512  # pairs that share one copy of a text
+
+
+def parts_of_pairs(pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) with part_a and part_b: the pairs of one text are dealt into parts of about PER_TEXT."""
+    out = pairs
+    for key, other in (("a", "b"), ("b", "a")):
+        # Only texts in many pairs, such as the centre of a star, have a row here.
+        many = pairs.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / PER_TEXT).alias("parts")).filter("parts > 1")
+        out = lookup(out, many, [key], [other]).withColumn(f"part_{key}", F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1)))).drop("parts")
+    return out
+
+
+def with_text(pairs: DataFrame, dealt: DataFrame, texts: DataFrame, key: str) -> DataFrame:
+    """The pairs, dealt into parts as ``dealt`` says, with text_<key>; each part of a text's pairs has a copy of the text."""
+    part = f"part_{key}"
+    copies = dealt.groupBy(F.col(key).alias("of"), F.col(part).alias("copy")).agg(F.count(F.lit(1)).alias("pairs"))
+    # Texts without a pair stay behind; the first copy is nearly always the only one.
+    each = texts.join(copies, texts["rep"] == copies["of"]).select("of", "copy", F.col("text").alias(f"text_{key}"))
+    return pairs.join(each, (pairs[key] == each["of"]) & (pairs[part] == each["copy"])).drop("of", "copy", part)
+
+
 def verify(texts: DataFrame, pairs: DataFrame, k: int, least: float) -> DataFrame:
-    """The pairs (a, b) of representatives whose texts are linked. Texts go to the pairs one side at a time; Spark may split a hot one in both joins."""
-    left = pairs.join(texts, pairs["b"] == texts["rep"]).select("a", "b", F.col("text").alias("text_b"))
-    both = left.join(texts, left["a"] == texts["rep"]).select("a", "b", F.col("text").alias("text_a"), "text_b")
+    """The pairs (a, b) of representatives whose texts are linked. Texts go to the pairs one side at a time, a hot one in copies."""
+    dealt = materialize(parts_of_pairs(pairs), "dealt-pairs")
+    both = with_text(with_text(dealt, dealt, texts, "b"), dealt, texts, "a").select("a", "b", "text_a", "text_b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes(plain_word)
@@ -220,18 +242,26 @@ def rare_prefixes(ranked: DataFrame, least: float) -> DataFrame:
     return ranked.mapInArrow(emit, "low int, high int, gram long, rep long, n int, is_low boolean")
 
 
+CELL = 1024
+
+
 def rare_pairs(prefixes: DataFrame, roots: DataFrame, least: float) -> DataFrame:
     """(a, b), a < b, of texts of different components that meet on a rare shingle."""
     key = ["low", "high", "gram"]
     known = roots.select(F.col("id").alias("rep"), "root")
     rows = materialize(prefixes.join(known, "rep", "left").withColumn("root", F.coalesce("root", "rep")), "prefixes")
     per_root = rows.groupBy(*key, "root").agg(F.count(F.lit(1)).alias("texts"))
-    homes = per_root.groupBy(*key).agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("texts", "root"))["root"].alias("home")).filter("roots > 1").drop("roots")
+    most = F.max(F.struct("texts", "root"))
+    homes = per_root.groupBy(*key).agg(F.count(F.lit(1)).alias("roots"), most["root"].alias("home"), most["texts"].alias("at_home"), F.sum("texts").alias("all")).filter("roots > 1")
+    # A frequent shingle's texts meet in cells of at most about CELL by CELL of them.
+    homes = homes.select(*key, "home", F.ceil((F.col("all") - F.col("at_home")) / CELL).alias("parts_x"), F.ceil(F.col("all") / CELL).alias("parts_y"))
     mixed = materialize(lookup(rows, homes, key, ["rep"]).filter("home is not null"), "mixed")
-    left = mixed.filter("root <> home").select(*key, F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("root").alias("root_x"), F.col("is_low").alias("low_x"))
-    right = mixed.select(*key, F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("root").alias("root_y"), F.col("is_low").alias("low_y"))
+    own = lambda parts: F.pmod(F.xxhash64("rep"), F.col(parts))
+    each = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1))
+    left = mixed.filter("root <> home").select(*key, own("parts_x").alias("at_x"), each("parts_y").alias("at_y"), F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("root").alias("root_x"), F.col("is_low").alias("low_x"))
+    right = mixed.select(*key, each("parts_x").alias("at_x"), own("parts_y").alias("at_y"), F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("root").alias("root_y"), F.col("is_low").alias("low_y"))
     steps = (F.col("low") == F.col("high")) | (F.col("low_x") != F.col("low_y"))
-    met = left.join(right, key).filter((F.col("root_x") != F.col("root_y")) & steps & _close("nx", "ny", least))
+    met = left.join(right, [*key, "at_x", "at_y"]).filter((F.col("root_x") != F.col("root_y")) & steps & _close("nx", "ny", least))
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 

@@ -186,6 +186,27 @@ def test_near_dedup_hub(spark):
     assert {(r["class_id"], r["class_size"]) for r in got} == {(0, 41)}
 
 
+def test_near_dedup_hot_parts(spark, monkeypatch):
+    """A text in many pairs and a shingle in many texts are worked on in parts; the result is that of one part, and no cell has more pairs than its share."""
+    monkeypatch.setattr(near_dedup, "PER_TEXT", 3)
+    monkeypatch.setattr(near_dedup, "CELL", 2)
+    base = [f"w{i}" for i in range(300)]
+    groups = [[f"g{g}x{i}" if 100 <= i < 240 else w for i, w in enumerate(base)] for g in range(6)]
+    rows = [(10 * g + j, " ".join(words[: 7 * j] + [f"v{g}_{j}"] + words[7 * j + 1 :])) for g, words in enumerate(groups) for j in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["class_id"], r["class_size"]) for r in near_dedup.near_duplicates(docs, small=2).collect()}
+    assert got == {d: (d // 10 * 10, 10) for d, _ in rows}
+    pairs = spark.createDataFrame([(0, i) for i in range(1, 31)] + [(i, 40) for i in range(30)], "a long, b long")
+    dealt = near_dedup.parts_of_pairs(pairs)
+    assert sorted(map(tuple, dealt.select("a", "b").collect())) == sorted(map(tuple, pairs.collect()))
+    assert dealt.select("part_a").filter("a = 0").distinct().count() > 5 and dealt.select("part_b").filter("b = 40").distinct().count() > 5
+    # Prefix rows of one frequent shingle, each text a component of its own but for two at home.
+    prefixes = spark.createDataFrame([(1, 1, 7, r, 50, True) for r in range(9)], "low int, high int, gram long, rep long, n int, is_low boolean")
+    roots = spark.createDataFrame([(0, 0), (1, 0)], "id long, root long")
+    met = sorted(map(tuple, near_dedup.rare_pairs(prefixes, roots, 0.8).collect()))
+    assert met == [(a, b) for a in range(9) for b in range(a + 1, 9) if (a, b) != (0, 1)]
+
+
 def test_near_dedup_lengths(spark):
     """Long versions in a bucket that a short original leads."""
     h, base, n = WordHashes(plain_word), [f"w{i}" for i in range(100)], 0
