@@ -78,8 +78,8 @@ def dedup_decisions(
         merged = sorted_runs(level.withColumn("run", other)).groupBy("run", *KEY).agg(_best("keep_id", "home", keep).alias("best"), F.sum("group_size").alias("group_size"))
         level = merged.select("run", *KEY, "best.keep_id", F.abs("best.home").alias("home"), "group_size")
     # The way back down: each leaf run has one entry of a text, however many rows that has.
-    found = first.select("run", *KEY).join(level.drop("run"), KEY)
-    marked = leaves.join(found, ["run", *KEY])
+    found = first.select("run", *KEY).join(level.drop("run").hint("merge"), KEY)
+    marked = leaves.join(found.hint("merge"), ["run", *KEY])
     once = F.row_number().over(W.partitionBy("run", *KEY, "doc_id").orderBy("doc_id")) == 1
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("run") == F.col("home")) & once
     return marked.withColumn("kept", kept).drop("run", "home")
@@ -92,6 +92,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0"))
     stay = dedup_decisions(docs, id_col, text_col, keep, fan_in).filter("kept").select(key("doc_id").alias(named), F.col("digest").alias(digest)).distinct()
     keyed = docs.withColumns({named: key(id_col), digest: F.unhex(F.sha2(text_of(text_col), 256)), nth: row_hash(docs)})
-    joined = keyed.join(stay, [named, digest], "left_semi")
+    joined = keyed.join(stay.hint("merge"), [named, digest], "left_semi")
     first = F.row_number().over(W.partitionBy(named, digest).orderBy(nth))
     return joined.withColumn(nth, first).filter(F.col(nth) == 1).select(*[f"`{c}`" for c in docs.columns])

@@ -221,7 +221,7 @@ def mixture_plan(
     spare = F.col("quota") - F.coalesce(F.sum("n").over(before), F.lit(0))
     cell_quota = joined.select("src", "size", "part", "full", "source_size", "target", F.greatest(F.lit(0), F.least("n", spare)).alias("quota"))
     # Every (source, length, part) has one row here, so the join below is on keys of at most a part's rows.
-    plan = sized.join(cell_quota, same(sized, cell_quota) & (sized["size"] == cell_quota["size"]) & (sized["part"] == cell_quota["part"]))
+    plan = sized.join(cell_quota.hint("merge"), same(sized, cell_quota) & (sized["size"] == cell_quota["size"]) & (sized["part"] == cell_quota["part"]))
     plan = plan.drop(cell_quota["src"], cell_quota["size"], cell_quota["part"])
     nth = F.row_number().over(W.partitionBy("src", "size", "part").orderBy("rank", "doc_id"))
     times = F.when(F.col("size") > 0, F.col("full") + (nth <= F.col("quota")).cast("long")).otherwise(F.lit(0))
@@ -241,7 +241,7 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     plan = plan.select(key("doc_id").alias(named), key("src").alias(src), F.col("size").alias(size), "times")
     plan = plan.groupBy(named, src, size).agg(F.sort_array(F.collect_list("times"), asc=False).alias(times)).filter(F.get(times, F.lit(0)) > 0)
     keyed = docs.withColumns({named: key(id_col), src: key(source_col), size: word_count(text_of(text_col)), nth: row_hash(docs)})
-    joined = keyed.join(plan, [named, src, size])
+    joined = keyed.join(plan.hint("merge"), [named, src, size])
     number = F.row_number().over(W.partitionBy(named, src, size).orderBy(nth))
     counted = joined.withColumn(nth, number).withColumn(nth, F.get(times, F.col(nth) - 1).cast("int")).filter(F.col(nth) > 0)
     return counted.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(nth)))).select(*[f"`{c}`" for c in docs.columns])

@@ -34,7 +34,9 @@ diagonal: a pair further from it than the similarity allows cannot be matched.
    components. Near copies with too many changes of their own have nothing left to
    meet on. No pair at 0.8 or more among these texts is lost.
 
-Nothing is collected to the driver but counts, and no bucket is gathered in a task.
+Nothing is collected to the driver but counts, and no bucket is gathered in a task. All
+joins are merges: Spark sizes exploded and well compressed tables too low, and a
+broadcast of them would pass whole through the driver.
 
 Defined results: null text counts as empty; all texts without a word are one class;
 a text of fewer than five words has one shingle, all its words; ids may be of any type
@@ -145,7 +147,7 @@ def sketches(docs: DataFrame, bands: int, picks: int, k: int, id_col: str, text_
 def texts_of(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(rep, text) of the representatives (rep, doc_id, raw), one row each; rows are found by id and text, as ids may be null or shared."""
     rows = docs.select(F.col(id_col).alias("__id"), raw_digest(text_col).alias("__raw"), utf8(text_col).alias("text"))
-    found = rows.join(reps, (rows["__raw"] == reps["raw"]) & rows["__id"].eqNullSafe(reps["doc_id"])).select("rep", "text")
+    found = rows.join(reps.hint("merge"), (rows["__raw"] == reps["raw"]) & rows["__id"].eqNullSafe(reps["doc_id"])).select("rep", "text")
     return found.dropDuplicates(["rep"])
 
 
@@ -167,8 +169,8 @@ def with_text(pairs: DataFrame, dealt: DataFrame, texts: DataFrame, key: str) ->
     part = f"part_{key}"
     copies = dealt.groupBy(F.col(key).alias("of"), F.col(part).alias("copy")).agg(F.count(F.lit(1)).alias("pairs"))
     # Texts without a pair stay behind; the first copy is nearly always the only one.
-    each = texts.join(copies, texts["rep"] == copies["of"]).select("of", "copy", F.col("text").alias(f"text_{key}"))
-    return pairs.join(each, (pairs[key] == each["of"]) & (pairs[part] == each["copy"])).drop("of", "copy", part)
+    each = texts.join(copies.hint("merge"), texts["rep"] == copies["of"]).select("of", "copy", F.col("text").alias(f"text_{key}"))
+    return pairs.join(each.hint("merge"), (pairs[key] == each["of"]) & (pairs[part] == each["copy"])).drop("of", "copy", part)
 
 
 def verify(texts: DataFrame, pairs: DataFrame, k: int, least: float) -> DataFrame:
@@ -249,7 +251,7 @@ def rare_pairs(prefixes: DataFrame, roots: DataFrame, least: float) -> DataFrame
     """(a, b), a < b, of texts of different components that meet on a rare shingle."""
     key = ["low", "high", "gram"]
     known = roots.select(F.col("id").alias("rep"), "root")
-    rows = materialize(prefixes.join(known, "rep", "left").withColumn("root", F.coalesce("root", "rep")), "prefixes")
+    rows = materialize(prefixes.join(known.hint("merge"), "rep", "left").withColumn("root", F.coalesce("root", "rep")), "prefixes")
     per_root = rows.groupBy(*key, "root").agg(F.count(F.lit(1)).alias("texts"))
     most = F.max(F.struct("texts", "root"))
     homes = per_root.groupBy(*key).agg(F.count(F.lit(1)).alias("roots"), most["root"].alias("home"), most["texts"].alias("at_home"), F.sum("texts").alias("all")).filter("roots > 1")
@@ -261,7 +263,7 @@ def rare_pairs(prefixes: DataFrame, roots: DataFrame, least: float) -> DataFrame
     left = mixed.filter("root <> home").select(*key, own("parts_x").alias("at_x"), each("parts_y").alias("at_y"), F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("root").alias("root_x"), F.col("is_low").alias("low_x"))
     right = mixed.select(*key, each("parts_x").alias("at_x"), own("parts_y").alias("at_y"), F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("root").alias("root_y"), F.col("is_low").alias("low_y"))
     steps = (F.col("low") == F.col("high")) | (F.col("low_x") != F.col("low_y"))
-    met = left.join(right, [*key, "at_x", "at_y"]).filter((F.col("root_x") != F.col("root_y")) & steps & _close("nx", "ny", least))
+    met = left.join(right.hint("merge"), [*key, "at_x", "at_y"]).filter((F.col("root_x") != F.col("root_y")) & steps & _close("nx", "ny", least))
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -280,10 +282,10 @@ def components(links: DataFrame) -> DataFrame:
     few = 1 + edges.count() // 200_000
     labels = materialize(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "id").coalesce(few), "labels")
     while True:
-        around = edges.join(labels, edges["b"] == labels["id"]).groupBy("a").agg(F.min("root").alias("near"))
-        hooked = labels.join(around, labels["id"] == around["a"]).select("id", F.col("root").alias("old"), F.least("root", "near").alias("near"))
+        around = edges.join(labels.hint("merge"), edges["b"] == labels["id"]).groupBy("a").agg(F.min("root").alias("near"))
+        hooked = labels.join(around.hint("merge"), labels["id"] == around["a"]).select("id", F.col("root").alias("old"), F.least("root", "near").alias("near"))
         jump = labels.select(F.col("id").alias("j"), F.col("root").alias("further"))
-        stepped = hooked.join(jump, hooked["near"] == jump["j"], "left").select("id", "old", F.least("near", F.coalesce("further", "near")).alias("root"))
+        stepped = hooked.join(jump.hint("merge"), hooked["near"] == jump["j"], "left").select("id", "old", F.least("near", F.coalesce("further", "near")).alias("root"))
         labels = materialize(stepped.coalesce(few), "labels")
         if labels.filter("old <> root").isEmpty():
             return labels.select("id", "root")
@@ -300,10 +302,10 @@ def _candidates(members: DataFrame, small: int, least: float) -> DataFrame:
     """(a, b), a < b: all pairs of small buckets and the stars of large ones, from (value, rep, n, size)."""
     few = members.filter(F.col("size") <= small)
     one, two = (few.select("value", F.col("rep").alias(r), F.col("n").alias(n)) for r, n in (("a", "na"), ("b", "nb")))
-    pairs = one.join(two, "value").filter((F.col("a") < F.col("b")) & _close("na", "nb", least)).select("a", "b")
+    pairs = one.join(two.hint("merge"), "value").filter((F.col("a") < F.col("b")) & _close("na", "nb", least)).select("a", "b")
     large = members.filter(F.col("size") > small)
     central = large.groupBy("rep").agg(F.sum("size").alias("score"))
-    centres = large.join(central, "rep").groupBy("value").agg(F.max(F.struct("score", (-F.col("rep")).alias("minus"), F.col("n").alias("nc"))).alias("c"))
+    centres = large.join(central.hint("merge"), "rep").groupBy("value").agg(F.max(F.struct("score", (-F.col("rep")).alias("minus"), F.col("n").alias("nc"))).alias("c"))
     rays = lookup(large.select("value", "rep", "n"), centres.select("value", (-F.col("c.minus")).alias("centre"), "c.nc"), ["value"], ["rep"])
     rays = rays.filter((F.col("rep") != F.col("centre")) & _close("n", "nc", least))
     return pairs.union(rays.select(F.least("rep", "centre"), F.greatest("rep", "centre"))).distinct()
@@ -321,23 +323,23 @@ def _classes(docs: DataFrame, least: float, bands: int, picks: int, k: int, smal
     banded = reps.filter("s.n > 0").select("rep", F.col("s.n").alias("n"), F.explode("s.bands").alias("value"))
     sizes = banded.groupBy("value").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = materialize(lookup(banded, sizes, ["value"], ["rep"]).filter("size is not null"), "buckets")
-    texts = materialize(texts_of(docs, reps.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "doc_id", "raw"), id_col, text_col), "texts")
+    texts = materialize(texts_of(docs, reps.join(members.select("rep").distinct().hint("merge"), "rep", "left_semi").select("rep", "doc_id", "raw"), id_col, text_col), "texts")
     tried = materialize(_candidates(members, small, least), "pairs")
     roots = components(materialize(verify(texts, tried, k, least), "links"))
 
     # Texts of large buckets with more than one component: the exact filter takes them all.
-    large = members.filter(F.col("size") > small).select("value", "rep").join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    large = members.filter(F.col("size") > small).select("value", "rep").join(roots.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     mixed = large.groupBy("value").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1")
     open_ = lookup(large.select("value", "rep"), mixed, ["value"], ["rep"]).filter("r0 is not null").select("rep").distinct()
-    ranked = rare_first(texts.join(open_, "rep", "left_semi"), k)
-    more = materialize(rare_pairs(rare_prefixes(ranked, least), roots, least).join(tried, ["a", "b"], "left_anti"), "pairs")
+    ranked = rare_first(texts.join(open_.hint("merge"), "rep", "left_semi"), k)
+    more = materialize(rare_pairs(rare_prefixes(ranked, least), roots, least).join(tried.hint("merge"), ["a", "b"], "left_anti"), "pairs")
     if not more.isEmpty():
         # Of the links so far a star of each component is enough.
         stars = roots.filter("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b"))
         roots = components(verify(texts, more, k, least).union(stars))
     root_of = roots.select(F.col("id").alias("rep"), "root")
-    groups = reps.join(root_of, "rep", "left").select("words", "doc_id", F.coalesce("root", "rep").alias("root"), "rows")
-    sized = groups.join(groups.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("rows").alias("class_size")), "root")
+    groups = reps.join(root_of.hint("merge"), "rep", "left").select("words", "doc_id", F.coalesce("root", "rep").alias("root"), "rows")
+    sized = groups.join(groups.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("rows").alias("class_size")).hint("merge"), "root")
     return lookup(thin.select("doc_id", "raw", "words"), sized.select("words", "root", "class_id", "class_size"), ["words"], ["doc_id", "raw"])
 
 
@@ -355,6 +357,6 @@ def near_dedup(
     stay = stay.select(F.col("s.doc_id").alias(named), F.col("s.raw").alias(raw))
     digest = raw_digest(text_col)
     keyed = docs.withColumn(nth, digest)
-    joined = keyed.join(stay, (keyed[nth] == stay[raw]) & docs[id_col].eqNullSafe(stay[named]), "left_semi")
+    joined = keyed.join(stay.hint("merge"), (keyed[nth] == stay[raw]) & docs[id_col].eqNullSafe(stay[named]), "left_semi")
     first = F.row_number().over(W.partitionBy(nth, id_col).orderBy(row_hash(docs)))
     return joined.withColumn(raw, first).filter(F.col(raw) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lexforge.llm import mixture, near_dedup, quality_rules, secrets, toxicity, url_filters
+from lexforge.llm.common import lookup
 from lexforge.llm.queries import tokenizer_path
 from lexforge.llm.shingles import WordHashes, plain_word
 
@@ -202,3 +203,13 @@ def test_rule_limit_with_decimals(spark):
     got = {r["doc_id"]: r["base_failed"] for r in quality_rules.quality_verdicts(docs, base_rules=rules).collect()}
     measured = {r["doc_id"]: 100 * r["n_repeat_words"] > 33.5 * r["n_words"] for r in quality_rules.measures(docs).collect()}
     assert got == measured and len(set(got.values())) == 2
+
+
+def test_no_broadcast_of_tables_sized_too_low(spark):
+    """Spark sizes exploded rows as those they come from; neither a lookup nor the candidates broadcast them."""
+    few = spark.range(2000).withColumnRenamed("id", "rep")
+    rows = few.select("rep", F.explode(F.sequence(F.lit(0), F.lit(200))).alias("value"))
+    sizes = rows.groupBy("value").agg(F.count(F.lit(1)).alias("size"))
+    members = rows.select("value", "rep", F.lit(5).alias("n"), F.lit(2).alias("size"))
+    for df in (lookup(rows, sizes, ["value"], ["rep"]), near_dedup._candidates(members, 8, 0.8)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
