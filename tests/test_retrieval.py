@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexforge.operators import bm25 as B
 from lexforge.operators import bm25_index as BI
+from lexforge.operators import bm25_search as BS
 from lexforge.operators import chunks as C
 from lexforge.operators import dense_index as DI
 from lexforge.operators import ledger as L
@@ -241,3 +242,19 @@ def test_chunk_files_keep_keys_and_order(spark, tmp_path):
     CF.merge_chunks(back, f"file://{tmp_path}/all")
     merged = CF.read_merged(spark, f"file://{tmp_path}/all").orderBy("line").collect()
     assert [r["metadata"]["chunk_id"] for r in merged] == [f"{k}:{s}" for k, s in pairs] and [r["line"] for r in merged] == list(range(len(pairs)))
+
+
+def test_bm25_topk_shuffles_no_postings(spark, texts, asked):
+    """Every task hands on its best rows only, and they are those of scoring all pairs, for queries in one part or many."""
+    posts, stats = stored(B.postings(texts), "p"), B.corpus_stats(texts)
+    every = B.pad_zero_scores(B.bm25_scores(posts, B.term_stats(posts, stats), stats, asked), texts, asked, 7)
+    want = {tuple(r) for r in B.rank_hits(every, 7).select("query_id", "row_id", F.round("score", 9), "rank").collect()}
+    top = B.bm25_topk(texts, asked, 7)
+    assert {tuple(r) for r in top.select("query_id", "row_id", F.round("score", 9), "rank").collect()} == want and len(want) == 35
+    assert "SortMergeJoin" not in (plan := top._jdf.queryExecution().executedPlan().toString()) and "Generate" not in plan and "HashJoin" not in plan
+    tokens, weights, avgdl = B.search_input(texts, asked)
+    parted = B.rank_hits(BS.searched(tokens, asked, weights, avgdl, 7, BS.scan_rows, most=100), 7)
+    assert {tuple(r) for r in parted.select("query_id", "row_id", F.round("score", 9), "rank").collect()} == want
+    assert B.bm25_topk(texts.limit(0), asked).count() == B.bm25_topk(texts, asked.limit(0)).count() == 0
+    blank = texts.select("row_id", F.lit(None).cast("string").alias("page_content"))
+    assert [r["row_id"] for r in BI.bm25_block_topk(blank, asked.filter("query_id = 1"), 3).orderBy("rank").collect()] == [0, 1, 2]
