@@ -13,6 +13,7 @@ from lexforge.operators import dense_index as DI
 from lexforge.operators import ledger as L
 from lexforge.operators import retrieve as R
 from lexforge.operators.numbering import numbered
+from lexforge.schemas import CHUNK
 from lexforge.sources import chunk_files as CF
 from lexforge.sources import point_table as PT
 from lexforge.sources.stage import stored
@@ -258,3 +259,19 @@ def test_bm25_topk_shuffles_no_postings(spark, texts, asked):
     assert B.bm25_topk(texts.limit(0), asked).count() == B.bm25_topk(texts, asked.limit(0)).count() == 0
     blank = texts.select("row_id", F.lit(None).cast("string").alias("page_content"))
     assert [r["row_id"] for r in BI.bm25_block_topk(blank, asked.filter("query_id = 1"), 3).orderBy("rank").collect()] == [0, 1, 2]
+
+
+def test_chunk_files_follow_size(spark, tmp_path):
+    """Chunks of many documents are a few files, each of whole documents in order; ids are given without shuffling or storing texts."""
+    rows = spark.range(900).select((F.col("id") % 300).cast("string").alias("doc_key"), F.floor(F.col("id") / 300).cast("int").alias("chunk_seq"))
+    meta = F.from_json(F.lit('{"dieu_so": 1}'), CHUNK.split(", page_content")[0].removeprefix("metadata ")).alias("metadata")
+    chunks = rows.select("*", meta, F.concat("doc_key", F.lit(" "), "chunk_seq").alias("page_content"), F.array().cast("array<string>").alias("noi_dung_tham_chieu"))
+    CF.write_chunks_per_document(chunks, f"file://{tmp_path}/each")
+    assert not [p for p in (tmp_path / "each").iterdir() if p.is_dir()] and len(list((tmp_path / "each").glob("part-*"))) <= 8
+    back = CF.read_chunks_per_document(spark, f"file://{tmp_path}/each").select("doc_key", "chunk_seq", "page_content", F.col("_metadata.file_name").alias("file"))
+    assert {tuple(r)[:3] for r in back.collect()} == {tuple(r) for r in chunks.select("doc_key", "chunk_seq", "page_content").collect()}
+    assert back.groupBy("doc_key").agg(F.countDistinct("file").alias("n")).filter("n > 1").isEmpty()
+    twice = chunks.unionByName(chunks.filter("doc_key = '5'"))
+    got = C.assign_row_ids(twice)
+    assert [r["row_id"] for r in got.orderBy("row_id").collect()] == list(range(903))
+    assert "page_content" not in got.select("row_id")._jdf.queryExecution().optimizedPlan().toString()
