@@ -59,12 +59,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fresh, lookup, materialize, row_hash
+from .common import fresh, lookup, materialize, pieces, row_hash
 from .shingles import MULT, WordHashes, labelled, mix, plain_word, windows
 from .tokens import utf8
 
 K = 5
 
+#: Words that a task keeps the hashes of. Most words of a large corpus are seen once; more of them cost memory and save little.
+WORDS_KEPT = 100_000
+
 
 def text_shingles(data: bytes, hashes: WordHashes, k: int = K) -> np.ndarray:
     return labelled(windows(hashes.of(data), k))
@@ -127,8 +130,8 @@ def sketches(docs: DataFrame, bands: int, picks: int, k: int, id_col: str, text_
     rows = docs.select(F.col(id_col).alias("doc_id"), utf8(text_col).alias("utf8"), raw_digest(text_col).alias("raw"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes(plain_word)
-        for b in batches:
+        hashes = WordHashes(plain_word, WORDS_KEPT)
+        for b in (piece for batch in batches for piece in pieces(batch)):
             digest, n, values = [], [], []
             for text in b.column(1).to_pylist():
                 words = hashes.of(text)
@@ -179,9 +182,9 @@ def verify(texts: DataFrame, pairs: DataFrame, k: int, least: float) -> DataFram
     both = with_text(with_text(dealt, dealt, texts, "b"), dealt, texts, "a").select("a", "b", "text_a", "text_b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes(plain_word)
+        hashes = WordHashes(plain_word, WORDS_KEPT)
         last, shingles = b"", None  # rows of one id on the left come one after another
-        for b in batches:
+        for b in (piece for batch in batches for piece in pieces(batch)):
             keep = []
             for ta, tb in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 if shingles is None or ta != last:
@@ -197,8 +200,8 @@ def rare_first(texts: DataFrame, k: int) -> DataFrame:
     """(rep, n, alive): number of shingles and those that another text has too, rarest first."""
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes(plain_word)
-        for b in batches:
+        hashes = WordHashes(plain_word, WORDS_KEPT)
+        for b in (piece for batch in batches for piece in pieces(batch)):
             for rep, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 found = text_shingles(text, hashes, k).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), rep)), pa.array(np.full(len(found), len(found), np.int32)), pa.array(found)], ["rep", "n", "gram"])
@@ -223,7 +226,7 @@ def rare_prefixes(ranked: DataFrame, least: float) -> DataFrame:
         return math.floor(math.log(n) / width + 1e-9)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (piece for batch in batches for piece in pieces(batch)):
             low, high, gram, reps, ns, is_low = [], [], [], [], [], []
             for rep, n, alive in zip(*[b.column(c).to_pylist() for c in range(3)], strict=True):
                 own = step(n)
@@ -351,12 +354,11 @@ def near_dedup(
     Of rows equal in id and text the one with the smallest hash of all columns stays.
     """
     classes = _classes(docs, least, bands, picks, k, small, id_col, text_col)
-    named, raw, nth = fresh(docs, "id", "raw", "nth")
+    key, met, nth = fresh(docs, "key", "met", "nth")
     # Ids and digests are shuffled, texts once; of rows that share the smallest id the smallest digest stays.
-    stay = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("root").agg(F.min(F.struct("doc_id", "raw")).alias("s"))
-    stay = stay.select(F.col("s.doc_id").alias(named), F.col("s.raw").alias(raw))
-    digest = raw_digest(text_col)
-    keyed = docs.withColumn(nth, digest)
-    joined = keyed.join(stay.hint("merge"), (keyed[nth] == stay[raw]) & docs[id_col].eqNullSafe(stay[named]), "left_semi")
-    first = F.row_number().over(W.partitionBy(nth, id_col).orderBy(row_hash(docs)))
-    return joined.withColumn(raw, first).filter(F.col(raw) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    stay = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("root").agg(F.min(F.struct("raw", F.col("doc_id").alias("id"))).alias(met)).select(met)
+    # One key for join and window, in which null ids are equal, so that texts are dealt out once; ids and digests are hashed, so texts are sorted once.
+    keyed = docs.withColumn(key, F.struct(raw_digest(text_col).alias("raw"), F.col(id_col).alias("id")))
+    joined = keyed.join(stay.hint("shuffle_hash"), keyed[key] == stay[met], "left_semi")
+    first = F.row_number().over(W.partitionBy(key).orderBy(row_hash(docs)))
+    return joined.withColumn(nth, first).filter(F.col(nth) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])

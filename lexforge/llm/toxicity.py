@@ -39,10 +39,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize
+from .common import fresh, materialize, pieces
 from .tokens import utf8
 
-CACHE_WORDS = 600_000
+#: Words that a task keeps in a dictionary; arrays of their buckets take more room each, so a quarter as many.
+CACHE_WORDS = 240_000
 
 
 @dataclass(frozen=True)
@@ -85,13 +86,13 @@ def word_buckets(word: str, buckets: int, n_min: int, n_max: int) -> list[int]:
 def _bags(batches: Iterator[pa.RecordBatch], buckets: int, n_min: int, n_max: int):
     """(doc_id, toxic, distinct buckets, weights) of each text; the weights of a text with words sum to 1."""
     known: dict[bytes, np.ndarray] = {}
-    for b in batches:
+    for b in (piece for batch in batches for piece in pieces(batch)):
         for doc_id, toxic, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
             words, parts = text.split(), []
             for w in words:
                 got = known.get(w)
                 if got is None:
-                    if len(known) >= CACHE_WORDS // 8:
+                    if len(known) >= CACHE_WORDS // 4:
                         known.clear()
                     got = known[w] = np.array(word_buckets(normal_word(w), buckets, n_min, n_max), dtype=np.int32)
                 parts.append(got)
@@ -244,7 +245,7 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", score_c
         word = Words()
         for b in batches:
             logits = []
-            for text in b.column(len(held)).to_pylist():
+            for text in (t for piece in pieces(b) for t in piece.column(len(held)).to_pylist()):
                 chunks = text.split()
                 logits.append(model.bias + (sum(map(word.__getitem__, chunks)) / len(chunks) if chunks else 0.0))
             with np.errstate(over="ignore"):

@@ -6,10 +6,11 @@ import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lexforge.llm import mixture, near_dedup, quality_rules, secrets, toxicity, url_filters
-from lexforge.llm.common import lookup
+from lexforge.llm.common import lookup, pieces
 from lexforge.llm.queries import tokenizer_path
 from lexforge.llm.shingles import WordHashes, plain_word
 
@@ -213,3 +214,15 @@ def test_no_broadcast_of_tables_sized_too_low(spark):
     members = rows.select("value", "rep", F.lit(5).alias("n"), F.lit(2).alias("size"))
     for df in (lookup(rows, sizes, ["value"], ["rep"]), near_dedup._candidates(members, 8, 0.8)):
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_near_dedup_moves_texts_once(spark):
+    """The rows that stay are found with one exchange and one sort of the texts; Python holds a few texts and words at a time."""
+    rows = [(1, "a b", "x"), (1, "a b", "y"), (None, "c d", "x"), (None, "c d", "x"), (2, "a b", "z"), (3, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = near_dedup.near_dedup(docs)
+    plan = kept._jdf.queryExecution().executedPlan().toString().split("SortAggregate")[0]
+    assert "ShuffledHashJoin" in plan and plan.count("Exchange") <= 3 and "SortMergeJoin" not in plan
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == [(0, "c d"), (1, "a b"), (3, None)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1200))], ["i"])
+    assert [p.num_rows for p in pieces(batch)] == [512, 512, 176] and near_dedup.WORDS_KEPT <= 100_000
