@@ -43,6 +43,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialize
+from .common import pieces as runs_of
 from .tokens import encoder, utf8
 
 COLUMNS = ["doc_id", "piece", "start", "length", "ids_crc32"]
@@ -55,7 +56,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: in
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        for b in batches:
+        for b in (x for batch in batches for x in runs_of(batch)):
             at, nth, start, length, crc = [], [], [], [], []
             for k, text in enumerate(b.column(1).to_pylist()):
                 ids = enc.ids(text) + tail

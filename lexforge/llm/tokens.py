@@ -3,8 +3,8 @@
 The tokenizer file is a parameter. A tokenizer whose pre-tokenizer drops white
 space gives a text the concatenated ids of its white-space separated chunks, so
 chunks are encoded once per worker and looked up after that; any other tokenizer
-encodes whole texts. The caches are cleared when they reach a fixed size, which
-costs time, never exactness.
+encodes whole texts. Of the caches, what was not used since a fixed number of new
+entries goes, which costs time, never exactness.
 
 Token counts: documents are aggregated to an exact histogram of encoded lengths;
 suffix sums over it answer totals, quantiles and truncated totals for every limit.
@@ -24,9 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, pieces
 
-CACHE_ENTRIES = 800_000
+#: New entries of a cache until those not used among them are dropped; at most twice as many are held. Chunks are put together from units, so they matter less.
+CACHED_CHUNKS, CACHED_UNITS = 50_000, 150_000
 
 
 class Encoder(dict):
@@ -38,6 +39,8 @@ class Encoder(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.units: dict[str, bytes] = {}
+        self.old_chunks: dict[bytes, bytes] = {}
+        self.old_units: dict[str, bytes] = {}
         config = json.loads(self.tokenizer.to_str())
         probe = self._whole("Ab c9,  d\n'll é")
         self.by_chunk = probe == b"".join(self._whole(x) for x in ("Ab", "c9,", "d", "'ll", "é")) and "Removed" in json.dumps(config["pre_tokenizer"])
@@ -54,30 +57,37 @@ class Encoder(dict):
 
     def _unit(self, unit: str) -> bytes:
         got = self.units.get(unit)
+        if got is not None:
+            return got
+        got = self.old_units.get(unit)
+        if len(self.units) >= CACHED_UNITS:
+            self.old_units, self.units = self.units, {}
         if got is None:
-            if len(self.units) >= CACHE_ENTRIES:
-                self.units.clear()
             if unit.isalpha() and (unit.isascii() or max(unit) < "\u0130"):
                 mapped = unit if unit.isascii() else unit.encode().decode("latin-1").translate(self.letters)
                 got = array("I", [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
             else:
                 got = self._whole(unit)
-            self.units[unit] = got
+        self.units[unit] = got
         return got
 
     def __missing__(self, chunk: bytes) -> bytes:
-        if len(self) >= CACHE_ENTRIES:
+        got = self.old_chunks.get(chunk)
+        if len(self) >= CACHED_CHUNKS:
+            self.old_chunks = dict(self)
             self.clear()
-        text = chunk.decode("utf-8", "replace")
+        if got is None:
+            got = self._chunk(chunk.decode("utf-8", "replace"))
+        self[chunk] = got
+        return got
+
+    def _chunk(self, text: str) -> bytes:
         if self.by_unit and (text.isascii() or max(text) < "\u0130"):
             lower = text.lower()
             bare = lower.rstrip(".,!?;:|%&*$#")
             # An all-letter unit and the punctuation after it, or either alone; else the chunk as it is.
-            got = self._unit(bare) + self._unit(lower[len(bare) :]) if bare != lower and bare.isalpha() else self._unit(lower)
-        else:
-            got = self._unit(text)
-        self[chunk] = got
-        return got
+            return self._unit(bare) + self._unit(lower[len(bare) :]) if bare != lower and bare.isalpha() else self._unit(lower)
+        return self._unit(text)
 
     def ids(self, data: bytes) -> bytes:
         """Ids of a whole text, as bytes."""
@@ -108,7 +118,7 @@ def token_lengths(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        for b in batches:
+        for b in (x for batch in batches for x in pieces(batch)):
             n = pa.array([len(enc.ids(x)) // 4 for x in b.column("__utf8").to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], n], [*b.schema.names[:-1], "n_tokens"])
 

@@ -104,6 +104,18 @@ def test_chunk_encoder():
         assert enc.ids(t.encode()) == np.array(tk.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
+def test_encoder_keeps_few_entries():
+    """Caches that fill up keep the ids right and what they hold bounded."""
+    from tokenizers import Tokenizer
+
+    tk, enc = Tokenizer.from_file(tokenizer_path()), tokens.Encoder(tokenizer_path())
+    for lo in range(0, 500_000, 50_000):
+        text = " ".join(f"w{i}, the" for i in range(lo, lo + 50_000))
+        got = enc.ids(text.encode())
+        assert lo % 200_000 or got == np.array(tk.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    assert len(enc) + sum(len(x) for x in vars(enc).values() if isinstance(x, dict)) <= 450_000
+
+
 def test_token_counts(corpus, empty):
     lengths = tokens.token_lengths(corpus, tokenizer_path())
     n = np.array([r["n_tokens"] for r in lengths.collect()])
