@@ -3,7 +3,7 @@
 The tokenizer file is a parameter. A tokenizer whose pre-tokenizer drops white
 space gives a text the concatenated ids of its white-space separated chunks, so
 chunks are encoded once per worker and looked up after that; any other tokenizer
-encodes whole texts. Of the caches, what was not used since a fixed number of new
+encodes whole texts. Of the cache, what was not used since a fixed number of new
 entries goes, which costs time, never exactness.
 
 Token counts: documents are aggregated to an exact histogram of encoded lengths;
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize, pieces
 
-#: New entries of a cache until those not used among them are dropped; at most twice as many are held. Chunks are put together from units, so they matter less.
-CACHED_CHUNKS, CACHED_UNITS = 50_000, 150_000
+#: New entries of the cache until those not used among them are dropped; at most twice as many are held.
+CACHE_ENTRIES = 300_000
 
 
 class Encoder(dict):
@@ -38,9 +38,7 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.units: dict[str, bytes] = {}
-        self.old_chunks: dict[bytes, bytes] = {}
-        self.old_units: dict[str, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         config = json.loads(self.tokenizer.to_str())
         probe = self._whole("Ab c9,  d\n'll é")
         self.by_chunk = probe == b"".join(self._whole(x) for x in ("Ab", "c9,", "d", "'ll", "é")) and "Removed" in json.dumps(config["pre_tokenizer"])
@@ -56,28 +54,18 @@ class Encoder(dict):
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _unit(self, unit: str) -> bytes:
-        got = self.units.get(unit)
-        if got is not None:
-            return got
-        got = self.old_units.get(unit)
-        if len(self.units) >= CACHED_UNITS:
-            self.old_units, self.units = self.units, {}
-        if got is None:
-            if unit.isalpha() and (unit.isascii() or max(unit) < "\u0130"):
-                mapped = unit if unit.isascii() else unit.encode().decode("latin-1").translate(self.letters)
-                got = array("I", [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
-            else:
-                got = self._whole(unit)
-        self.units[unit] = got
-        return got
+        if unit.isalpha() and (unit.isascii() or max(unit) < "\u0130"):
+            mapped = unit if unit.isascii() else unit.encode().decode("latin-1").translate(self.letters)
+            return array("I", [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
+        return self._whole(unit)
 
     def __missing__(self, chunk: bytes) -> bytes:
-        got = self.old_chunks.get(chunk)
-        if len(self) >= CACHED_CHUNKS:
-            self.old_chunks = dict(self)
-            self.clear()
+        got = self.old.get(chunk)
         if got is None:
             got = self._chunk(chunk.decode("utf-8", "replace"))
+        if len(self) >= CACHE_ENTRIES:
+            self.old = dict(self)
+            self.clear()
         self[chunk] = got
         return got
 
@@ -86,7 +74,9 @@ class Encoder(dict):
             lower = text.lower()
             bare = lower.rstrip(".,!?;:|%&*$#")
             # An all-letter unit and the punctuation after it, or either alone; else the chunk as it is.
-            return self._unit(bare) + self._unit(lower[len(bare) :]) if bare != lower and bare.isalpha() else self._unit(lower)
+            if bare != lower and bare.isalpha():
+                return self[bare.encode()] + self[lower[len(bare) :].encode()]
+            return self[lower.encode()] if lower != text else self._unit(text)
         return self._unit(text)
 
     def ids(self, data: bytes) -> bytes:
