@@ -275,3 +275,22 @@ def test_chunk_files_follow_size(spark, tmp_path):
     got = C.assign_row_ids(twice)
     assert [r["row_id"] for r in got.orderBy("row_id").collect()] == list(range(903))
     assert "page_content" not in got.select("row_id")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lines_of_split_files(spark, tmp_path):
+    """Lines of plain files that are read in several splits, several to a task, are numbered in order; nothing is stored or shuffled for it."""
+    rows = [f'{{"metadata": {{"chunk_id": "{f:02d}:{i}"}}, "page_content": "{"x" * (i % 50)}", "noi_dung_tham_chieu": []}}' for f in range(3) for i in range(400)]
+    for f in range(3):
+        (tmp_path / f"part-{f}.json").write_text("\n\n".join(rows[400 * f : 400 * f + 400]) + "\n")
+    was = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        merged = CF.read_merged(spark, f"file://{tmp_path}")
+        got = merged.orderBy("line").collect()
+        assert merged.rdd.getNumPartitions() > 3
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert [(r["line"], r["metadata"]["chunk_id"]) for r in got] == [(400 * f + i, f"{f:02d}:{i}") for f in range(3) for i in range(400)]
+    assert not any("page_content" in x for x in merged._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in x)
