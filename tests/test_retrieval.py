@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexforge.operators import answer as A
 from lexforge.operators import bm25 as B
 from lexforge.operators import bm25_index as BI
 from lexforge.operators import bm25_search as BS
@@ -294,3 +295,24 @@ def test_lines_of_split_files(spark, tmp_path):
             spark.conf.set(k, v)
     assert [(r["line"], r["metadata"]["chunk_id"]) for r in got] == [(400 * f + i, f"{f:02d}:{i}") for f in range(3) for i in range(400)]
     assert not any("page_content" in x for x in merged._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in x)
+
+
+def test_contexts_from_slices(spark):
+    """Contexts made in slices of points are those of dealing every text out by question: hits in one slice or several, of rows that are not there, ids with gaps, none."""
+    rng = np.random.default_rng(8)
+    rows = [(int(i), f"{i % 3}/2024", f"văn bản {i % 3}", int(i) % 5, None if i % 4 else 2, None if i % 3 else "a", f"text {i}'s\n{'x' * (int(i) % 9)}") for i in range(60) if i % 7]
+    p = spark.createDataFrame(rows, "row_id long, so_hieu string, ten_van_ban string, dieu_so int, khoan_so int, diem string, page_content string")
+    refs = spark.createDataFrame([(i, ["Phụ lục I: it's", "b\\c"]) for i in (1, 8, 30)], "row_id long, refs array<string>")
+    hits = []
+    for k in range(40):
+        near = int(rng.integers(0, 60))
+        ids = rng.permutation(60)[: k % 4] if k % 2 else rng.permutation(np.arange(near - near % 8, near - near % 8 + 8))[: k % 5]
+        hits += [(k, n + 1, int(i), bool(n % 2)) for n, i in enumerate(ids)]
+    hits = spark.createDataFrame(hits, "query_id long, pos int, row_id long, is_sibling boolean")
+    q = spark.range(42).select(F.col("id").alias("query_id"), F.lit("hỏi").alias("text"))
+    full = p.join(refs.withColumnRenamed("refs", "noi_dung_tham_chieu"), "row_id", "left")
+    want = {r["query_id"]: r["context"] for r in A.build_context(R.attach_payload(hits, full), q).collect()}
+    for size in (8, 64):
+        got = A.contexts(q, hits, p, refs, size).collect()
+        assert len(got) == 42 and {r["query_id"]: r["context"] for r in got} == want and {r["text"] for r in got} == {"hỏi"}
+    assert len({c for c in want.values()}) > 20 and want[41] == A.NO_CONTEXT
