@@ -316,3 +316,18 @@ def test_contexts_from_slices(spark):
         got = A.contexts(q, hits, p, refs, size).collect()
         assert len(got) == 42 and {r["query_id"]: r["context"] for r in got} == want and {r["text"] for r in got} == {"hỏi"}
     assert len({c for c in want.values()}) > 20 and want[41] == A.NO_CONTEXT
+
+
+def test_vectors_are_dealt_out_as_given(spark):
+    """Vectors of single precision take four bytes a number until they are in blocks; those are unit vectors, whichever precision was given."""
+    from lexforge.sources import stage
+
+    v, rows = vectors_of(spark, 300, np.random.default_rng(3))
+    rows = rows.withColumnRenamed("id", "row_id")
+    for df, size in ((rows, 4), (rows.select("row_id", F.col("embedding").cast("array<double>").alias("embedding")), 8)):
+        before = len(stage._stored)
+        blocks = DI.pivot_blocks(df, DI.unit(v[:3].astype(np.float64)), 50)
+        kept = [p for p in stage._stored[before:] if "/assigned-" in p]
+        assert spark.read.parquet(kept[0]).filter(F.length("v") != size * 16).isEmpty()
+        got = {int(i): x for r in blocks.collect() for i, x in zip(np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["matrix"]).reshape(-1, 16), strict=True)}
+        assert len(got) == 300 and all((got[i] == u).all() for i, u in enumerate(DI.unit(v.astype(np.float64))))
